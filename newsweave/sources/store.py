@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from newsweave import settings
+from newsweave.functions.dates import utc_literal
 from newsweave.operators.ranking import keep_first, keep_last
 from newsweave.operators.retention import (
     purge_keep,
@@ -61,11 +62,12 @@ class ArticleStore:
         A known address keeps its id. The batch is computed once; the store is
         read for two narrow columns, without this batch's own earlier attempt.
         """
+        extra = tuple(name for name in order if name not in STORE_FIELDS)
         incoming = materialize(
             conform(
                 prepare(articles, run_ts).withColumn("batch", F.lit(batch)),
                 STORE_FIELDS,
-                tuple(order),
+                extra,
             )
         )
         latest = keep_last(incoming, order)
@@ -79,7 +81,7 @@ class ArticleStore:
             )
         )
         outcome = materialize(upsert_outcome(known, articles))
-        self._replace_partitions(carry_ids(latest, known).drop(*order))
+        self._replace_partitions(carry_ids(latest, known))
         return outcome
 
     def recent(
@@ -116,12 +118,17 @@ class ArticleStore:
         if dry_run:
             return report
         day = F.lit(cutoff.date())
-        boundary = self.log().where(F.col("scraped_date") == day)
-        self._replace_partitions(purge_keep(boundary, cutoff))
-        expired = self.log().where(F.col("scraped_date") < day)
-        emptied = boundary.groupBy(*PARTITIONS).agg(F.max("scraped_at").alias("newest")).where(
-            F.col("newest") < F.lit(cutoff)
+        boundary = F.col("scraped_date") == day
+        self._replace_partitions(purge_keep(self.log().where(boundary), cutoff))
+        # A batch with no survivor wrote nothing above, so its folder still stands.
+        rewritten = self.log()
+        emptied = (
+            rewritten.where(boundary)
+            .groupBy(*PARTITIONS)
+            .agg(F.max("scraped_at").alias("newest"))
+            .where(F.col("newest") < utc_literal(cutoff))
         )
+        expired = rewritten.where(F.col("scraped_date") < day)
         # Folder names only: at most one row per day and batch.
         folders = expired.select(*PARTITIONS).distinct().union(emptied.select(*PARTITIONS))
         for row in folders.collect():
