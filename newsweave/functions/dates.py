@@ -14,7 +14,9 @@ ISO = (
     r"(?:.(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?"
     r"(?: ?([+-])([01]\d|2[0-3])(?::?([0-5]\d)(?::?([0-5]\d))?)?)?)?$"
 )
-DATE, HOUR, MINUTE, SECOND, FRACTION, SIGN, OFF_HOUR, OFF_MINUTE, OFF_SECOND = range(1, 10)
+DATE, HOUR, MINUTE, SECOND, FRACTION, SIGN, OFF_HOUR, OFF_MINUTE, OFF_SECOND = range(9)
+PARTS = 9
+MARK = "\x01"
 
 # 'Mon, 13 Jan 2025 12:00:00 GMT'; the weekday is optional.
 RFC822 = (
@@ -27,38 +29,45 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 EARLIEST = "0001-01-01 00:00:00"
 
 
-def _part(text: Column, group: int, default: str = "00") -> Column:
-    piece = F.regexp_extract(text, ISO, group)
-    return F.when(piece == "", default).otherwise(piece)
+def _parts(text: Column) -> Column:
+    """The parts of an ISO text, '' for those not given. One regex pass; any other
+    text comes back as an array of another length."""
+    marked = F.regexp_replace(text, ISO, MARK.join(f"${group + 1}" for group in range(PARTS)))
+    return F.split(marked, MARK)
 
 
-def _micros(text: Column) -> Column:
-    return F.substring(F.rpad(F.regexp_extract(text, ISO, FRACTION), 6, "0"), 1, 6)
+def _two(part: Column) -> Column:
+    return F.lpad(part, 2, "0")
 
 
-def _wall_clock(text: Column) -> Column:
-    """Local time of an ISO text, null when it is not one or names no real time."""
+def _micros(parts: Column) -> Column:
+    return F.rpad(parts[FRACTION], 6, "0")
+
+
+def _wall_clock(parts: Column) -> Column:
+    """Local time, null when the text was not ISO or names no real time."""
     moment = F.concat(
-        _part(text, DATE), F.lit(" "), _part(text, HOUR), F.lit(":"), _part(text, MINUTE),
-        F.lit(":"), _part(text, SECOND), F.lit("."), _micros(text),
+        parts[DATE], F.lit(" "), _two(parts[HOUR]), F.lit(":"), _two(parts[MINUTE]),
+        F.lit(":"), _two(parts[SECOND]), F.lit("."), _micros(parts),
     ).try_cast("timestamp_ntz")
-    return F.when(text.rlike(ISO) & ~text.startswith("0000"), moment)
+    return F.when((F.size(parts) == PARTS) & ~parts[DATE].startswith("0000"), moment)
 
 
-def _offset(text: Column) -> Column:
-    """Offset from UTC as a day-time interval, zero when none is given."""
+def _utc(parts: Column) -> Column:
     seconds = (
-        _part(text, OFF_HOUR).cast("int") * 3600
-        + _part(text, OFF_MINUTE).cast("int") * 60
-        + _part(text, OFF_SECOND).cast("int")
+        _two(parts[OFF_HOUR]).try_cast("int") * 3600
+        + _two(parts[OFF_MINUTE]).try_cast("int") * 60
+        + _two(parts[OFF_SECOND]).try_cast("int")
     )
-    signed = F.when(F.regexp_extract(text, ISO, SIGN) == "-", -seconds).otherwise(seconds)
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), signed.cast("decimal(18,6)"))
+    east = F.when(parts[SIGN] == "-", -seconds).otherwise(seconds)
+    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), east.cast("decimal(18,6)"))
+    clock = _wall_clock(parts)
+    return F.when(parts[SIGN] != "", clock - offset).otherwise(clock)
 
 
 def iso_to_utc(text: Column) -> Column:
     """UTC time of an ISO text; text without an offset is taken as UTC."""
-    return _wall_clock(text) - _offset(text)
+    return let(_parts(text), lambda parts: F.when(F.size(parts) == PARTS, _utc(parts)))
 
 
 def _spell_out_zone(text: Column) -> Column:
@@ -108,19 +117,18 @@ def newest_first_key(published_ts: Column) -> Column:
     return F.coalesce(published_ts, F.lit(EARLIEST).cast("timestamp_ntz"))
 
 
-def _full_iso(text: Column) -> Column:
+def _full_iso(parts: Column) -> Column:
     """An ISO text in its full form, its own offset kept."""
-    micros = _micros(text)
-    sign = F.regexp_extract(text, ISO, SIGN)
-    off_second = _part(text, OFF_SECOND)
+    micros = _micros(parts)
+    off_second = _two(parts[OFF_SECOND])
     return F.concat(
-        _part(text, DATE), F.lit("T"), _part(text, HOUR), F.lit(":"), _part(text, MINUTE),
-        F.lit(":"), _part(text, SECOND),
+        parts[DATE], F.lit("T"), _two(parts[HOUR]), F.lit(":"), _two(parts[MINUTE]),
+        F.lit(":"), _two(parts[SECOND]),
         F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""),
         F.when(
-            sign != "",
+            parts[SIGN] != "",
             F.concat(
-                sign, _part(text, OFF_HOUR), F.lit(":"), _part(text, OFF_MINUTE),
+                parts[SIGN], _two(parts[OFF_HOUR]), F.lit(":"), _two(parts[OFF_MINUTE]),
                 F.when(off_second != "00", F.concat(F.lit(":"), off_second)).otherwise(""),
             ),
         ).otherwise(""),
@@ -140,7 +148,12 @@ def normalize_published(published: Column, run_ts: datetime) -> Column:
         F.when(text == "", now)
         .when(~text.contains("T"), text)
         .otherwise(
-            let(spelled, lambda t: F.when(_wall_clock(t).isNotNull(), _full_iso(t)).otherwise(now))
+            let(
+                _parts(spelled),
+                lambda parts: F.when(
+                    (F.size(parts) == PARTS) & _wall_clock(parts).isNotNull(), _full_iso(parts)
+                ).otherwise(now),
+            )
         )
     )
 

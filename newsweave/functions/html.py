@@ -7,13 +7,14 @@ unbounded input are possessive or reluctant over single classes: no
 backtracking and no recursion, however long the text.
 """
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsweave.functions.text import first_of, let, or_blank
 from newsweave.functions.urls import (
     first_valid_image,
-    is_valid_image_url,
     normalize_image_url,
     srcset_first,
 )
@@ -25,8 +26,8 @@ TOKEN = (
     r"|<[a-z][^\s/>]*+(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
 )
 ATTRIBUTE = r"(?s)([^\s=/>\"'<]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
-NAMELESS = r"(?s)^[^=]*=\s*"
-QUOTED = r"(?s)^([\"'])(.*)\1$"
+NAME_PART = r"(?s)^[^=]*=\s*"
+QUOTES = r"(?s)^([\"'])(.*)\1$"
 
 # Named characters an address is likely to hold; '&' comes last.
 NAMED_CHARACTERS = {
@@ -72,29 +73,29 @@ def start_tags(html: Column, names: list[str]) -> Column:
     )
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a start tag (its last one), '' when absent."""
-    written = F.filter(
-        F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)),
-        lambda pair: pair.rlike(rf"(?is)^{name}\s*="),
+def _attributes(tag: Column) -> Column:
+    """The attributes of a start tag as written, name and value."""
+    return F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+
+
+def _written_value(tag: Column, name: str) -> Column:
+    """Value of an attribute (its last one) as written, '' when absent."""
+    named = F.filter(_attributes(tag), lambda pair: pair.rlike(rf"(?is)^{name}\s*="))
+    value = F.regexp_replace(or_blank(F.try_element_at(named, F.lit(-1))), NAME_PART, "")
+    return F.regexp_replace(value, QUOTES, "$2")
+
+
+def _image_addresses(tag: Column) -> Column:
+    written = F.array(*[_written_value(tag, name) for name in ("src", "data-src", "srcset")])
+    return let(
+        F.transform(written, unescape),
+        lambda values: F.array(values[0], values[1], srcset_first(values[2])),
     )
-    value = F.regexp_replace(or_blank(F.try_element_at(written, F.lit(-1))), NAMELESS, "")
-    bare = F.when(value.rlike(QUOTED), F.regexp_extract(value, QUOTED, 2)).otherwise(value)
-    return let(bare, unescape)
 
 
 def image_candidates(html: Column) -> Column:
     """Addresses an HTML text offers for images, in the order they are tried."""
-    return F.flatten(
-        F.transform(
-            start_tags(html, ["img"]),
-            lambda tag: F.array(
-                attribute(tag, "src"),
-                attribute(tag, "data-src"),
-                srcset_first(attribute(tag, "srcset")),
-            ),
-        )
-    )
+    return F.flatten(F.transform(start_tags(html, ["img"]), _image_addresses))
 
 
 def first_image(html: Column) -> Column:
@@ -103,9 +104,19 @@ def first_image(html: Column) -> Column:
     return F.coalesce(normalize_image_url(chosen), F.lit(""))
 
 
-def _meta_content(metas: Column, key: str, value: str) -> Column:
-    return attribute(
-        or_blank(first_of(F.filter(metas, lambda tag: attribute(tag, key) == value))), "content"
+# Metadata that names a page's image, in the order tried.
+IMAGE_METADATA = [
+    ("property", "og:image"),
+    ("name", "twitter:image"),
+    ("name", "featured-image"),
+]
+
+
+def _first_meta(metas: Column, key: str, value: str) -> Column:
+    """The first meta tag with exactly this key."""
+    pair = rf"(?s)^(?i:{key})\s*=\s*([\"']?){re.escape(value)}\1$"
+    return or_blank(
+        first_of(F.filter(metas, lambda tag: F.exists(_attributes(tag), lambda p: p.rlike(pair))))
     )
 
 
@@ -113,11 +124,8 @@ def page_image(html: Column) -> Column:
     """Image a page names in its metadata: the first of each kind, in order."""
 
     def choose(metas: Column) -> Column:
-        offered = F.array(
-            _meta_content(metas, "property", "og:image"),
-            _meta_content(metas, "name", "twitter:image"),
-            _meta_content(metas, "name", "featured-image"),
-        )
-        return normalize_image_url(first_of(F.filter(offered, is_valid_image_url)))
+        firsts = F.array(*[_first_meta(metas, key, value) for key, value in IMAGE_METADATA])
+        offered = F.transform(firsts, lambda tag: let(_written_value(tag, "content"), unescape))
+        return normalize_image_url(or_blank(first_valid_image(offered)))
 
     return let(start_tags(or_blank(html), ["meta"]), choose)

@@ -1,39 +1,36 @@
 """URL expressions: validity, normal form, host, and absolute links."""
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsweave.functions.text import first_of, let, or_blank, strip
+from newsweave.functions.text import first_of, or_blank, strip
 
-# What makes an address unfit to be an image.
+# What makes an address fit or unfit to be an image.
+IMAGE_PREFIXES = ["http://", "https://", "//"]
 NOT_IMAGE_ENDINGS = [".pdf", ".doc", ".docx", ".zip", ".mp4", ".avi", ".mp3"]
 NOT_IMAGE_PARTS = ["localhost", "127.0.0.1"]
-IMAGE_PREFIXES = ["http://", "https://", "//"]
 MIN_IMAGE_URL_CHARS = 10
 
-# Network location: what follows '//' up to the path, query or fragment.
-AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
+def _either(texts: list[str]) -> str:
+    return "|".join(re.escape(text) for text in texts)
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions)
 
+# All of it as one pattern, so that one pass over the address decides.
+IMAGE_URL = (
+    rf"(?s)^(?=.{{{MIN_IMAGE_URL_CHARS}}})(?:{_either(IMAGE_PREFIXES)})"
+    rf"(?!.*(?i:{_either(NOT_IMAGE_PARTS)}))(?!.*(?i:{_either(NOT_IMAGE_ENDINGS)})\z)"
+)
 
-def _acceptable(address: Column) -> Column:
-    folded = F.lower(address)
-    return (
-        _any([address.startswith(prefix) for prefix in IMAGE_PREFIXES])
-        & ~_any([folded.endswith(ending) for ending in NOT_IMAGE_ENDINGS])
-        & ~_any([folded.contains(part) for part in NOT_IMAGE_PARTS])
-        & (F.length(address) >= MIN_IMAGE_URL_CHARS)
-    )
+# Network location: what follows '//' up to the path, query or fragment.
+AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
 
 def is_valid_image_url(url: Column) -> Column:
     """Whether the trimmed address may be an image; null is false."""
-    return F.coalesce(_acceptable(strip(url)), F.lit(False))
+    return F.coalesce(strip(url).rlike(IMAGE_URL), F.lit(False))
 
 
 def normalize_image_url(url: Column) -> Column:
@@ -71,12 +68,9 @@ def absolutize_href(href: Column, base: str) -> Column:
 
 def may_have_page_image(url: Column, domains: list[str], max_chars: int) -> Column:
     """Whether a page is worth a look: short http(s) address at a trusted domain."""
-    address = or_blank(url)
+    anywhere = "|".join(re.escape(domain) for domain in domains)
     return (
-        (F.length(address) <= max_chars)
-        & (address.startswith("http://") | address.startswith("https://"))
-        & let(
-            F.lower(address),
-            lambda folded: _any([folded.contains(domain) for domain in domains]),
-        )
+        (F.length(or_blank(url)) <= max_chars)
+        & url.rlike("^https?://")
+        & url.rlike(f"(?i){anywhere}")
     )
