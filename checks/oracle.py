@@ -13,6 +13,7 @@ FIXED = {"events": "events", "pages": "pages", "documents": "documents"}
 WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 NOW = "'2024-01-31T12:00:00'"
 CUTOFF = "timestamp '2024-01-17 00:00:00'"
+PURGED = "timestamp '2024-01-01 12:00:00'"
 SPLIT = "timestamp '2024-01-16 00:00:00'"
 
 
@@ -325,6 +326,18 @@ BODIES = {
                else strftime(scraped_at, '.%f') end as scraped_at from articles""",
     "snapshot_backup": f"""select n as source_rows, n as copied_rows, true as identical
         from (select count(*) + count(*) filter (where scraped_at < {CUTOFF}) as n from articles)""",
+    "daily_job": f"""select count(*) filter (where not known) as inserted,
+          count(*) filter (where known) as updated, 0 as rejected,
+          (select count(*) from stored where scraped_at < {PURGED}) as deleted_count,
+          (select count(*) from stored where scraped_at >= {PURGED}) + count(*) filter (where not known)
+            as total_articles,
+          count(*) as listed
+        from (select i.url, s.url is not null as known from (
+                select * from (select * from articles where url <> '' and scraped_at >= {SPLIT}
+                  qualify row_number() over (partition by url order by ord) = 1)
+                order by coalesce({published_ts('published')}, timestamp '0001-01-01 00:00:00') desc, ord
+                limit 50) i
+              left join stored s on s.url = i.url and s.scraped_at >= {PURGED})""",
     "article_count": "select count(*) as total_articles from articles",
     "age_buckets": """select count(*) as total_articles,
           count(*) filter (where scraped_at >= timestamp '2024-01-24 00:00:00') as last_week,

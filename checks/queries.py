@@ -94,7 +94,11 @@ def number_articles(spark, sf_dir):
 @query
 def top_n_digest(spark, sf_dir):
     chosen = digest(
-        views.articles(spark, sf_dir), views.pages_meta(spark, sf_dir), arrival=["ord"], domains=DOMAINS
+        views.articles(spark, sf_dir),
+        views.pages_meta(spark, sf_dir),
+        arrival=["ord"],
+        domains=DOMAINS,
+        reread=True,
     )
     return chosen.select("ord", "title", "url", "published", "image", "had_image")
 

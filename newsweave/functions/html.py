@@ -20,10 +20,10 @@ from newsweave.functions.urls import (
 )
 
 TOKEN = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b.*?</script"
-    r"|<style\b.*?</style"
-    r"|<[a-z][^\s/>]*+(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
+    r"(?is)<(?:!--.*?-->"
+    r"|script\b.*?</script"
+    r"|style\b.*?</style"
+    r"|[a-z][^\s/>]*+(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>)"
 )
 ATTRIBUTE = r"(?s)([^\s=/>\"'<]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
 NAME_PART = r"(?s)^[^=]*=\s*"

@@ -51,42 +51,59 @@ def page_images(
     return found.where(present(F.col("page_image")))
 
 
-def _filled(
-    marked: DataFrame, images: DataFrame, domains: list[str], defaults: DataFrame | None
+def _choose(looked_up: DataFrame, defaults: DataFrame | None, columns: list) -> DataFrame:
+    final = F.when(F.col("had_image"), F.col("image")).otherwise(
+        F.coalesce("page_image", "fallback")
+    )
+    return fallback_image(looked_up, defaults).withColumn("image", final).select(*columns)
+
+
+def _marked(articles: DataFrame) -> DataFrame:
+    return articles.withColumn("had_image", has_image(F.col("image")))
+
+
+def enrich_images(
+    articles: DataFrame,
+    pages: DataFrame,
+    domains: list[str] = settings.TRUSTED_DOMAINS,
+    newest: list | None = None,
+    defaults: DataFrame | None = None,
 ) -> DataFrame:
-    """Look up images for the articles that lack one and may have a page.
+    """Fill in missing images in a table of any size; adds ``had_image``.
 
-    All other articles, nearly the whole table, pass by the join: they are not
-    shuffled, and their addresses cannot pile up in one join partition.
+    Only articles that lack an image and may have a page are joined, on
+    address, to one short row per page. All others, nearly the whole table,
+    pass by the join: they are not shuffled, and their addresses cannot pile up
+    in one join partition. The table is read once for either part.
     """
+    marked = _marked(articles)
     worth_a_look = ~F.col("had_image") & may_have_page_image(
         F.col("url"), domains, settings.MAX_PAGE_URL_CHARS
     )
-    looked_up = marked.where(worth_a_look).join(images, "url", "left")
-    passed_by = marked.where(~worth_a_look).withColumn("page_image", F.lit(None).cast("string"))
-    final = F.when(F.col("had_image"), F.col("image")).otherwise(
-        F.coalesce("page_image", "fallback")
+    looked_up = marked.where(worth_a_look).join(
+        page_images(pages, domains, newest), "url", "left"
     )
-    both = looked_up.unionByName(passed_by)
-    return (
-        fallback_image(both, defaults).withColumn("image", final).select(*marked.columns)
+    passed_by = marked.where(~worth_a_look).withColumn(
+        "page_image", F.lit(None).cast("string")
     )
+    return _choose(looked_up.unionByName(passed_by), defaults, marked.columns)
 
 
-def enrich_images(
-    articles: DataFrame,
+def enrich_unique(
+    unique: DataFrame,
     pages: DataFrame,
     domains: list[str] = settings.TRUSTED_DOMAINS,
     newest: list | None = None,
     defaults: DataFrame | None = None,
 ) -> DataFrame:
-    """Fill in images for a table of any size; adds ``had_image``.
+    """``enrich_images`` for articles just made unique by address.
 
-    Pages are reduced to address and image in their own scan, then joined on
-    address, one row per page.
+    Those are already partitioned by address, so one join on it fills them in
+    with no further shuffle of articles, and no address is there twice.
     """
-    marked = articles.withColumn("had_image", has_image(F.col("image")))
-    return _filled(marked, page_images(pages, domains, newest), domains, defaults)
+    marked = _marked(unique)
+    looked_up = marked.join(page_images(pages, domains, newest), "url", "left")
+    return _choose(looked_up, defaults, marked.columns)
 
 
 def enrich_few(
@@ -101,10 +118,10 @@ def enrich_few(
     The articles are computed once; their addresses then filter the page scan
     through a semi join, whose side Spark broadcasts by its known size.
     """
-    marked = materialize(articles.withColumn("had_image", has_image(F.col("image"))))
-    wanted = marked.where(~F.col("had_image")).select("url").distinct()
+    few = materialize(articles)
+    wanted = few.where(~has_image(F.col("image"))).select("url").distinct()
     own_pages = pages.join(wanted, "url", "left_semi")
-    return _filled(marked, page_images(own_pages, domains, newest), domains, defaults)
+    return enrich_unique(few, own_pages, domains, newest, defaults)
 
 
 def with_images_first(enriched: DataFrame, order: list) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from newsweave import settings
 from newsweave.functions.dates import newest_first_key
-from newsweave.operators.images import enrich_few, enrich_images, with_images_first
+from newsweave.operators.images import enrich_few, enrich_unique, with_images_first
 from newsweave.operators.ranking import (
     keep_first,
     newest_first,
     with_published_time,
 )
 from newsweave.schema import ARRIVAL
+from newsweave.session import materialize
 from newsweave.sources.api import api_articles
 from newsweave.sources.dims import category_dim, source_rows
 from newsweave.sources.feeds import feed_articles
@@ -56,6 +57,23 @@ def digest_order(arrival: list = ARRIVAL) -> list[Column]:
     return [newest_first_key(F.col("published_ts")).desc(), *[F.col(name) for name in arrival]]
 
 
+def newest_unique(
+    articles: DataFrame, size: int, arrival: list, parse_rfc822: bool, reread: bool
+) -> DataFrame:
+    """The ``size`` newest of the first arrivals per address.
+
+    With ``reread`` the choice is made on addresses and dates alone, and the few
+    chosen rows are then picked from a second scan: no text is ever shuffled.
+    """
+    narrow = articles.select("url", "published", *arrival) if reread else articles
+    unique = with_published_time(keep_first(narrow, arrival), parse_rfc822)
+    top = newest_first(unique, arrival).limit(size)
+    if not reread:
+        return top
+    chosen = materialize(top.select("published_ts", *arrival))
+    return articles.join(chosen, arrival)
+
+
 def digest(
     articles: DataFrame,
     pages: DataFrame,
@@ -64,18 +82,21 @@ def digest(
     domains: list[str] = settings.TRUSTED_DOMAINS,
     newest_page: list | None = None,
     parse_rfc822: bool = False,
+    reread: bool = False,
 ) -> DataFrame:
     """The ``size`` newest unique articles with images filled in.
 
     First arrival per address, newest first, then cut, then enriched: pages are
     only looked up for rows that made the cut. Rows that had an image come
-    first. No size gives all unique articles.
+    first. No size gives all unique articles. Set ``reread`` when ``articles`` is
+    a stored table, cheap to scan twice; leave it off for freshly parsed ones.
     """
-    unique = with_published_time(keep_first(articles, arrival), parse_rfc822)
-    if size is None:
-        enriched = enrich_images(unique, pages, domains, newest_page)
+    if size is None or size > FEW:
+        enriched = with_published_time(keep_first(articles, arrival), parse_rfc822)
+        if size is not None:
+            enriched = newest_first(enriched, arrival).limit(size)
+        enriched = enrich_unique(enriched, pages, domains, newest_page)
     else:
-        top = newest_first(unique, arrival).limit(size)
-        enrich = enrich_few if size <= FEW else enrich_images
-        enriched = enrich(top, pages, domains, newest_page)
+        top = newest_unique(articles, size, arrival, parse_rfc822, reread)
+        enriched = enrich_few(top, pages, domains, newest_page)
     return with_images_first(enriched, digest_order(arrival))
