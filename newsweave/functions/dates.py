@@ -32,7 +32,8 @@ EARLIEST = "0001-01-01 00:00:00"
 def _parts(text: Column) -> Column:
     """The parts of an ISO text, '' for those not given. One regex pass; any other
     text comes back as an array of another length."""
-    marked = F.regexp_replace(text, ISO, MARK.join(f"${group + 1}" for group in range(PARTS)))
+    unmarked = F.translate(text, MARK, "\x02")
+    marked = F.regexp_replace(unmarked, ISO, MARK.join(f"${group + 1}" for group in range(PARTS)))
     return F.split(marked, MARK)
 
 
