@@ -253,11 +253,11 @@ BODIES = {
           select page_id, len(regexp_extract_all(html, 'href="[^"]*"')) + k, replace(path, '{n}', cast(page_id as varchar))
           from pages, (values (0, '/p/{n}-0'), (1, '/@w/{n}-1'), (2, 'https://medium.com/p/{n}-2'),
             (3, '/p/{n}-3'), (5, '/p/{n}-5'), (6, '/p/{n}-6')) as g(k, path))""",
-    "article_previews": """select row_number() over (order by ord) as index, title, source, url,
+    "article_previews": """select row_number() over (order by ord) as number, title, source, url,
           array_to_string(tags, ', ') as tags_text,
           substr(summary, 1, 150) || case when length(summary) > 150 then '...' else '' end as summary_preview
         from articles""",
-    "url_lines": "select row_number() over (order by ord) as index, url from articles where url <> ''",
+    "url_lines": "select row_number() over (order by ord) as number, url from articles where url <> ''",
     "filter_source": "select ord, title, source from articles where source = 'src3.example.com'",
     "published_normalize": f"select ord, {api_published('published')} as published from articles",
     "feed_ingest_xml": """select source_rank, payload_id, position, title, url, published, summary, source,
@@ -348,8 +348,8 @@ BODIES = {
     "dedup_metrics": """select count(*) as rows_in, count(*) filter (where url = '') as blank_urls,
           count(distinct url) filter (where url <> '') as rows_out,
           count(*) - count(distinct url) filter (where url <> '') as removed from articles""",
-    "empty_sources": """select source from suppliers
-        where source not in (select source from articles where url <> '')""",
+    "empty_sources": """select 'src' || p_partkey || '.example.com' as source from part
+        where 'src' || p_partkey || '.example.com' not in (select source from articles where url <> '')""",
     "category_capacity": """select count(*) as categories, sum(max_limit) as max_articles
         from category_dim where category in (select category from api_items)""",
     "category_priority": """select category, delivered, max_limit, priority

@@ -489,9 +489,9 @@ def dedup_metrics(spark, sf_dir):
 
 @query
 def empty_sources(spark, sf_dir):
-    """Publishers, one per supplier, that delivered no article with an address."""
-    sources = views.table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("src"), F.col("s_suppkey").cast("string"), F.lit(".example.com")).alias("source")
+    """Publishers, one per part, that delivered no article with an address."""
+    sources = views.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("src"), F.col("p_partkey").cast("string"), F.lit(".example.com")).alias("source")
     )
     delivered = views.articles(spark, sf_dir).where(present(F.col("url")))
     return statistics.empty_sources(sources, delivered)

@@ -16,12 +16,12 @@ def article_preview(articles: DataFrame, order: list) -> DataFrame:
             "summary_preview": preview(F.col("summary"), settings.PREVIEW_CHARS),
         }
     ).drop("summary", "tags", "image")
-    return number_rows(shown, order, "index").select(
-        "index", "title", "source", "url", "tags_text", "summary_preview"
+    return number_rows(shown, order, "number").select(
+        "number", "title", "source", "url", "tags_text", "summary_preview"
     )
 
 
 def url_list(articles: DataFrame, order: list) -> DataFrame:
     """Numbered addresses, blank ones left out."""
     filled = articles.where(present(F.col("url"))).drop("summary", "tags", "image")
-    return number_rows(filled, order, "index").select("index", "url")
+    return number_rows(filled, order, "number").select("number", "url")
