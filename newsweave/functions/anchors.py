@@ -10,7 +10,7 @@ import re
 import sys
 from bisect import bisect_right
 from collections import Counter
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
@@ -31,66 +31,85 @@ ANCHORS = ArrayType(
     )
 )
 
-# Elements that never have content, elements whose style may name
-# a background image, and the elements looked up near a link.
+# Elements that never have content, and those whose style may name
+# a background image.
 VOID = set(
     "area base basefont bgsound br col command embed frame hr image img input isindex "
     "keygen link menuitem meta nextid param source spacer track wbr".split()
 )
-STYLED = {"div", "span", "section", "article"}
-UNREAD_TEXT = {"script", "style", "template"}
+STYLED = ["div", "span", "section", "article"]
+
+MARKUP = re.compile(
+    r"<(?:!--.*?(?:-->|\Z)"
+    r"|[!?][^>]*+>"
+    r"|(?P<unread>script|style)\b[^>]*+>.*?(?=</(?P=unread)\b|\Z)"
+    r"|/(?P<closing>[a-z][^\s/>]*+)[^>]*+>"
+    r"|(?P<opening>[a-z][^\s/>]*+)(?P<attributes>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>)",
+    re.IGNORECASE | re.DOTALL,
+)
+ATTRIBUTE = re.compile(r"([^\s=/>\"'<]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 BACKGROUND = re.compile(r"url\([\"']?(.*?)[\"']?\)")
 
 
-class _Page(HTMLParser):
+class _Page:
     """Elements in document order; each knows its parent and where it ends."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.names, self.attributes, self.parents, self.ends = ["#page"], [{}], [-1], [None]
-        self.open, self.by_kind, self.text = [0], {}, {}
-        self.open_count, self.open_links = Counter(), []
-        self.feed(html)
-        self.close()
+        self.names, self.written, self.parents, self.ends = ["#page"], [""], [-1], [None]
+        self.by_kind, self.texts = {}, {}
+        self.open, self.open_count, self.open_links = [0], Counter(), []
+        read = 0
+        for token in MARKUP.finditer(html):
+            if self.open_links:
+                self._read(html[read : token.start()])
+            read = token.end()
+            if token["opening"]:
+                self._enter(token["opening"].lower(), token["attributes"])
+            elif token["closing"]:
+                self._leave(token["closing"].lower())
+        self._read(html[read:])
         while self.open:
             self._close_innermost()
 
-    def _close_innermost(self):
-        at = self.open.pop()
-        self.ends[at] = len(self.names)
-        self.open_count[self.names[at]] -= 1
-        if self.open_links[-1:] == [at]:
-            self.open_links.pop()
+    def _read(self, text: str):
+        for link in self.open_links:
+            self.texts[link].append(unescape(text).strip())
 
-    def handle_starttag(self, tag, attrs):
+    def _enter(self, name: str, written: str):
         here = len(self.names)
-        self.names.append(tag)
-        self.attributes.append({name: value or "" for name, value in attrs})
+        self.names.append(name)
+        self.written.append(written)
         self.parents.append(self.open[-1])
         self.ends.append(here + 1)
-        self.by_kind.setdefault(tag, []).append(here)
-        if tag not in VOID:
-            self.open.append(here)
-            self.open_count[tag] += 1
-        if tag == "a":
-            self.text[here] = []
+        self.by_kind.setdefault(name, []).append(here)
+        if name in VOID:
+            return
+        self.open.append(here)
+        self.open_count[name] += 1
+        if name == "a":
+            self.texts[here] = []
             self.open_links.append(here)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
+        if written.endswith("/"):
             self._close_innermost()
 
-    def handle_endtag(self, tag):
-        if self.open_count[tag]:
-            while self.names[self.open[-1]] != tag:
+    def _leave(self, name: str):
+        if self.open_count[name]:
+            while self.names[self.open[-1]] != name:
                 self._close_innermost()
             self._close_innermost()
 
-    def handle_data(self, data):
-        if self.names[self.open[-1]] not in UNREAD_TEXT:
-            for at in self.open_links:
-                self.text[at].append(data)
+    def _close_innermost(self):
+        at = self.open.pop()
+        self.ends[at] = len(self.names)
+        self.open_count[self.names[at]] -= 1
+        if self.open_links[-1:] == [at]:
+            self.open_links.pop()
+
+    def attributes(self, at: int) -> dict[str, str]:
+        return {
+            name.lower(): unescape(double or single or bare)
+            for name, double, single, bare in ATTRIBUTE.findall(self.written[at])
+        }
 
     def within(self, container: int, kind: str) -> list[int]:
         """Elements of a kind inside a container, in document order."""
@@ -112,16 +131,17 @@ def _images_near(page: _Page, anchor: int) -> list[str]:
     offered = []
     for container in containers:
         for image in page.within(container, "img")[:1]:
-            image = page.attributes[image]
+            image = page.attributes(image)
             offered += [image.get("src"), image.get("data-src")]
             offered.append(_srcset_first(image.get("srcset", "")))
-    styled = sorted(at for kind in STYLED for at in page.within(outer, kind))
-    for style in (page.attributes[at].get("style", "") for at in styled):
-        if "background-image" in style:
-            offered += BACKGROUND.findall(style)[:1]
+    for at in sorted(at for kind in STYLED for at in page.within(outer, kind)):
+        if "background-image" in page.written[at].lower():
+            style = page.attributes(at).get("style", "")
+            if "background-image" in style:
+                offered += BACKGROUND.findall(style)[:1]
     for picture in page.within(outer, "picture")[:1]:
         for source in page.within(picture, "source")[:1]:
-            offered.append(_srcset_first(page.attributes[source].get("srcset", "")))
+            offered.append(_srcset_first(page.attributes(source).get("srcset", "")))
     return [address for address in offered if address]
 
 
@@ -130,14 +150,15 @@ def page_anchors(html: str) -> list[dict]:
     if html is None:
         return None
     page = _Page(html)
+    links = [(at, page.attributes(at)) for at in page.by_kind.get("a", [])]
     return [
         {
-            "href": page.attributes[at]["href"],
-            "text": "".join(piece.strip() for piece in page.text[at]),
+            "href": attributes["href"],
+            "text": "".join(page.texts[at]),
             "image_candidates": _images_near(page, at),
         }
-        for at in page.by_kind.get("a", [])
-        if "href" in page.attributes[at]
+        for at, attributes in links
+        if "href" in attributes
     ]
 
 

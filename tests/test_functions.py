@@ -241,6 +241,87 @@ def test_unescape(evaluate):
     assert evaluate(html.unescape, given) == wanted
 
 
+class _Tree(HTMLParser):
+    """Nested nodes [name, attributes, children, parent], built the plain way."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.root = self.at = ["", {}, [], None]
+        self.new_text = True
+        self.feed(source)
+        self.close()
+
+    def handle_comment(self, data):
+        self.new_text = True
+
+    def handle_starttag(self, tag, attrs):
+        self.new_text = True
+        node = [tag, {k: v or "" for k, v in attrs}, [], self.at]
+        self.at[2].append(node)
+        if tag not in ("img", "br", "source"):
+            self.at = node
+
+    def handle_endtag(self, tag):
+        self.new_text = True
+        node = self.at
+        while node[3] is not None and node[0] != tag:
+            node = node[3]
+        if node[3] is not None:
+            self.at = node[3]
+
+    def handle_data(self, data):
+        if self.at[0] == "script":
+            return
+        if self.new_text or not self.at[2] or not isinstance(self.at[2][-1], str):
+            self.at[2].append("")
+        self.at[2][-1] += data
+        self.new_text = False
+
+    def walk(self, node):
+        for child in node[2]:
+            if not isinstance(child, str):
+                yield child
+                yield from self.walk(child)
+
+    def words(self, node):
+        return "".join(child.strip() if isinstance(child, str) else self.words(child) for child in node[2])
+
+
+def _plain_anchors(source):
+    tree = _Tree(source)
+    for link in tree.walk(tree.root):
+        if link[0] != "a" or "href" not in link[1]:
+            continue
+        near = [one for one in (link[3], link[3][3]) if one is not None]
+        offered = []
+        for box in near:
+            for img in [one[1] for one in tree.walk(box) if one[0] == "img"][:1]:
+                offered += [img.get("src"), img.get("data-src"), img.get("srcset", "").split(",")[0].strip().split(" ")[0]]
+        for one in tree.walk(near[-1]):
+            if one[0] in ("div", "span") and "background-image" in one[1].get("style", ""):
+                offered += [one[1]["style"].split("url(")[1].split(")")[0].strip("'")]
+        for picture in [one for one in tree.walk(near[-1]) if one[0] == "picture"][:1]:
+            for img in [one[1] for one in tree.walk(picture) if one[0] == "source"][:1]:
+                offered.append(img.get("srcset", "").split(" ")[0])
+        yield link[1]["href"], tree.words(link), [one for one in offered if one]
+
+
+def test_anchors_equal_a_plain_tree():
+    rng = random.Random(3)
+    pieces = [
+        "<div>", "</div>", "<p>", "</p>", "<ul><li>", "</li>", "</ul>", "<a href='/p/{n}?a=1&amp;b=2'>", "<A HREF=/@w/{n}>",
+        "</a>", "<a>", "word {n} &amp; more", " <b> bold </b> ", "<img src='{n}.jpg' data-src=d{n}.jpg>", "<br/>",
+        "<img srcset='s{n}.jpg 1x, t.jpg'/>", "<span style=\"background-image: url('b{n}.jpg')\">", "</span>",
+        "<picture><source srcset='p{n}.jpg 2x'></picture>", "<!-- <a href='no'>no</a> -->", "<script>'<a href=no>'</script>",
+        "<div style='color:red'>", "a < b", "<div title='x > y'/>",
+    ]
+    for _ in range(3000):
+        source = "".join(rng.choice(pieces).format(n=rng.randint(1, 99)) for _ in range(rng.randint(0, 25)))
+        source = source.replace("/>", ">")
+        found = [(one["href"], one["text"], one["image_candidates"]) for one in page_anchors(source)]
+        assert found == list(_plain_anchors(source)), source
+
+
 def test_anchor_context():
     page = (
         "<div><img src='/outer.jpg'><p><a href='/p/1'> One <b> two </b><script>no</script></a>"
