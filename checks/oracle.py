@@ -7,9 +7,13 @@ were built from, so they check the parsing and not just repeat it.
 import re
 
 from checks.views import ARTICLES, CATEGORIES, PAGES_META
+from newsweave.sources.dims import source_rows
 
 FIXED = {"events": "events", "pages": "pages", "documents": "documents"}
 
+SOURCES = ", ".join(
+    f"({rank}, '{url}', {cap})" for _, url, _, cap, rank in source_rows()
+)
 WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 NOW = "'2024-01-31T12:00:00'"
 CUTOFF = "timestamp '2024-01-17 00:00:00'"
@@ -226,7 +230,7 @@ BODIES = {
           when 4 then '' when 6 then ''
           else 'https://cdn.example.com/d/' || doc_id || '.jpg' end as image from documents""",
     "page_meta_image": "select url, page_image from page_images",
-    "srcset_first_candidate": """select ord, split_part(trim(split_part('  ' || image || ' 1x', ',', 1)), ' ', 1)
+    "srcset_first": """select ord, split_part(trim(split_part('  ' || image || ' 1x', ',', 1)), ' ', 1)
         as candidate from articles""",
     "enrich_images": "select ord, url, final_image as image, had_image from enriched",
     "fallback_image": """select e.ord, case when e.had_image or e.final_image <> '' then e.final_image
@@ -240,7 +244,7 @@ BODIES = {
                 round(100.0 * cast(count(*) filter (where had_image) as double) / count(*), 1) as before_percent,
                 round(100.0 * cast(count(*) filter (where trim(final_image) <> '') as double) / count(*), 1)
                   as after_percent from enriched)""",
-    "source_host_of": "select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host from pages",
+    "source_host": "select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host from pages",
     "href_absolutize": """select page_id, position, href,
           case when starts_with(href, '/') then 'https://medium.com' || href else href end as url
         from (
@@ -253,16 +257,21 @@ BODIES = {
           select page_id, len(regexp_extract_all(html, 'href="[^"]*"')) + k, replace(path, '{n}', cast(page_id as varchar))
           from pages, (values (0, '/p/{n}-0'), (1, '/@w/{n}-1'), (2, 'https://medium.com/p/{n}-2'),
             (3, '/p/{n}-3'), (5, '/p/{n}-5'), (6, '/p/{n}-6')) as g(k, path))""",
-    "article_previews": """select row_number() over (order by ord) as number, title, source, url,
+    "article_preview": """select row_number() over (order by ord) as number, title, source, url,
           array_to_string(tags, ', ') as tags_text,
           substr(summary, 1, 150) || case when length(summary) > 150 then '...' else '' end as summary_preview
         from articles""",
-    "url_lines": "select row_number() over (order by ord) as number, url from articles where url <> ''",
+    "url_list": "select row_number() over (order by ord) as number, url from articles where url <> ''",
     "filter_source": "select ord, title, source from articles where source = 'src3.example.com'",
     "published_normalize": f"select ord, {api_published('published')} as published from articles",
     "feed_ingest_xml": """select source_rank, payload_id, position, title, url, published, summary, source,
           array_to_string(tags, '|') as tags_text, image from feed_articles""",
     "feed_image_cascade": "select payload_id, position, url, image from feed_found",
+    "feed_source_config": f"""select rank as source_rank, payload_id, position,
+          regexp_extract(feed_url, '//([^/]*)', 1) as source, title, url
+        from feed_found join (values {SOURCES}) as s(rank, feed_url, feed_cap)
+          on source_rank * 2 % 37 = rank
+        where position < feed_cap""",
     "feed_rejects": """select distinct 'https://' || source || '/feed/' || payload_id as feed_url, payload_id,
           'unreadable' as reason from feed_items where payload_id % 7 = 3""",
     "api_parse": """select payload_id, position, title, url, published, summary, source,
@@ -283,7 +292,7 @@ BODIES = {
     "listing_ingest": f"""select 36 as source_rank, page_id as payload_id, position, title, url,
           {NOW} as published, '' as summary, 'medium.com' as source, 'trending' as tags_text, image
         from listing_links where position < 5""",
-    "union_all_sources": """select title, url, source, image from articles
+    "union_sources": """select title, url, source, image from articles
         union all select null, url, 'pages', null from pages""",
     "daily_digest": """select source_rank, payload_id, position, title, url, published, summary, source,
           tags_text, image, had_image from collected_images

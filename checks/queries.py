@@ -16,17 +16,11 @@ from newsweave import settings
 from newsweave.functions.dates import normalize_published
 from newsweave.functions.html import first_image
 from newsweave.functions.text import present
-from newsweave.functions.urls import (
-    absolutize_href,
-    is_valid_image_url,
-    normalize_image_url,
-    source_host,
-    srcset_first,
-)
+from newsweave.functions import urls
 from newsweave.operators import images, ranking, retention, statistics, upsert
 from newsweave.plans.daily_run import daily_run
-from newsweave.plans.digest import collect_articles, digest, union_sources
-from newsweave.plans.reports import article_preview, url_list
+from newsweave.plans import digest as digests
+from newsweave.plans import reports
 from newsweave.session import scratch_path
 from newsweave.sources import api, dims, feeds, listing, sinks
 from newsweave.sources.store import ArticleStore
@@ -93,7 +87,7 @@ def number_articles(spark, sf_dir):
 
 @query
 def top_n_digest(spark, sf_dir):
-    chosen = digest(
+    chosen = digests.digest(
         views.articles(spark, sf_dir),
         views.pages_meta(spark, sf_dir),
         arrival=["ord"],
@@ -109,14 +103,14 @@ def top_n_digest(spark, sf_dir):
 @query
 def image_valid(spark, sf_dir):
     return views.articles(spark, sf_dir).select(
-        "ord", "image", is_valid_image_url(F.col("image")).alias("valid")
+        "ord", "image", urls.is_valid_image_url(F.col("image")).alias("valid")
     )
 
 
 @query
 def image_normalize(spark, sf_dir):
     return views.articles(spark, sf_dir).select(
-        "ord", normalize_image_url(F.col("image")).alias("image")
+        "ord", urls.normalize_image_url(F.col("image")).alias("image")
     )
 
 
@@ -133,11 +127,11 @@ def page_meta_image(spark, sf_dir):
 
 
 @query
-def srcset_first_candidate(spark, sf_dir):
+def srcset_first(spark, sf_dir):
     srcset = F.concat(
         F.lit("  "), "image", F.lit(" 1x, https://cdn.example.com/"), "source", F.lit(".jpg 2x")
     )
-    return views.articles(spark, sf_dir).select("ord", srcset_first(srcset).alias("candidate"))
+    return views.articles(spark, sf_dir).select("ord", urls.srcset_first(srcset).alias("candidate"))
 
 
 @query
@@ -178,9 +172,9 @@ def coverage_gain(spark, sf_dir):
 
 
 @query
-def source_host_of(spark, sf_dir):
+def source_host(spark, sf_dir):
     pages = views.table(spark, sf_dir, "pages").select("page_id", "url")
-    return pages.select("page_id", source_host(F.col("url")).alias("host"))
+    return pages.select("page_id", urls.source_host(F.col("url")).alias("host"))
 
 
 @query
@@ -189,18 +183,18 @@ def href_absolutize(spark, sf_dir):
     found = views.listing_pages(spark, sf_dir).select(
         "page_id", F.posexplode(links).alias("position", "href")
     )
-    resolved = absolutize_href(F.col("href"), settings.LISTING_BASE)
+    resolved = urls.absolutize_href(F.col("href"), settings.LISTING_BASE)
     return found.withColumn("url", resolved).where(F.col("url").isNotNull())
 
 
 @query
-def article_previews(spark, sf_dir):
-    return article_preview(views.articles(spark, sf_dir), ["ord"])
+def article_preview(spark, sf_dir):
+    return reports.article_preview(views.articles(spark, sf_dir), ["ord"])
 
 
 @query
-def url_lines(spark, sf_dir):
-    return url_list(views.articles(spark, sf_dir), ["ord"])
+def url_list(spark, sf_dir):
+    return reports.url_list(views.articles(spark, sf_dir), ["ord"])
 
 
 @query
@@ -232,6 +226,18 @@ def feed_image_cascade(spark, sf_dir):
     return found.select("payload_id", "position", "url", "image")
 
 
+@query
+def feed_source_config(spark, sf_dir):
+    """Feed documents filed under configured source names, with the configured caps."""
+    names = dims.source_dim(spark).select("name", (F.col("source_rank")).alias("_rank"))
+    payloads = views.feed_payloads(spark, sf_dir)
+    filed = payloads.withColumn("_rank", F.col("source_rank") * 2 % 37).select(
+        "_rank", "payload_id", "payload"
+    ).join(F.broadcast(names), "_rank").select("name", "payload_id", "payload")
+    found = feeds.feed_articles(feeds.with_source(filed, dims.source_dim(spark)))
+    return found.select(*ARRIVAL, "source", "title", "url")
+
+
 @query
 def feed_rejects(spark, sf_dir):
     return feeds.feed_rejects(views.feed_payloads(spark, sf_dir))
@@ -304,14 +310,14 @@ def listing_ingest(spark, sf_dir):
 
 
 @query
-def union_all_sources(spark, sf_dir):
+def union_sources(spark, sf_dir):
     a = views.articles(spark, sf_dir).select("title", "url", "source", "image")
     p = views.pages_meta(spark, sf_dir).select("url", F.lit("pages").alias("source"))
-    return union_sources([a, p])
+    return digests.union_sources([a, p])
 
 
 def _collected(spark, sf_dir) -> DataFrame:
-    return collect_articles(
+    return digests.collect_articles(
         views.feed_payloads(spark, sf_dir),
         views.api_payloads(spark, sf_dir),
         views.listing_pages(spark, sf_dir),
@@ -322,14 +328,14 @@ def _collected(spark, sf_dir) -> DataFrame:
 @query
 def daily_digest(spark, sf_dir):
     """The flagship: landed payloads to the newest unique articles with images."""
-    chosen = digest(_collected(spark, sf_dir), views.pages_meta(spark, sf_dir), domains=DOMAINS)
+    chosen = digests.digest(_collected(spark, sf_dir), views.pages_meta(spark, sf_dir), domains=DOMAINS)
     return tags_text(chosen).select(*ARRIVAL, *DETAIL, "had_image")
 
 
 @query
 def full_digest(spark, sf_dir):
     """The same over all unique articles: no cut."""
-    chosen = digest(
+    chosen = digests.digest(
         _collected(spark, sf_dir), views.pages_meta(spark, sf_dir), size=None, domains=DOMAINS
     )
     return tags_text(chosen).select(*ARRIVAL, "title", "url", "published", "image", "had_image")

@@ -8,7 +8,7 @@ from newsweave.functions.html import page_image
 from newsweave.functions.text import or_blank, present, strip
 from newsweave.functions.urls import may_have_page_image
 from newsweave.operators.ranking import keep_last
-from newsweave.session import materialize
+from newsweave.session import broadcast_if_small, materialize
 
 
 def has_image(image: Column) -> Column:
@@ -115,12 +115,16 @@ def enrich_few(
 ) -> DataFrame:
     """``enrich_images`` for a digest-sized table: only its own pages are parsed.
 
-    The articles are computed once; their addresses then filter the page scan
-    through a semi join, whose side Spark broadcasts by its known size.
+    The articles are computed once. Their addresses, at most as many as the
+    digest has rows and each short enough to be looked at, are then broadcast to
+    the page scan, so that no HTML is shuffled or parsed for other articles.
     """
     few = materialize(articles)
-    wanted = few.where(~has_image(F.col("image"))).select("url").distinct()
-    own_pages = pages.join(wanted, "url", "left_semi")
+    wanted = few.where(
+        ~has_image(F.col("image"))
+        & may_have_page_image(F.col("url"), domains, settings.MAX_PAGE_URL_CHARS)
+    ).select("url")
+    own_pages = pages.join(broadcast_if_small(wanted.distinct()), "url", "left_semi")
     return enrich_unique(few, own_pages, domains, newest, defaults)
 
 

@@ -42,7 +42,7 @@ def daily_run(
         chosen.drop("had_image", "published_ts", *arrival), snapshots, run_ts.date()
     )
     shown["outcome"] = store.save(chosen, run_ts.strftime("%Y%m%dT%H%M%S"), arrival, run_ts)
-    shown["total"] = article_count(store.current())
+    shown["total"] = article_count(store.newest_times())
     shown["urls"] = url_list(chosen, order)
     return shown
 

@@ -15,7 +15,7 @@ from newsweave.operators.ranking import (
     with_published_time,
 )
 from newsweave.schema import ARRIVAL
-from newsweave.session import materialize
+from newsweave.session import broadcast_if_small, materialize
 from newsweave.sources.api import api_articles
 from newsweave.sources.dims import category_dim, source_rows
 from newsweave.sources.feeds import feed_articles
@@ -71,7 +71,7 @@ def newest_unique(
     if not reread:
         return top
     chosen = materialize(top.select("published_ts", *arrival))
-    return articles.join(chosen, arrival)
+    return articles.join(broadcast_if_small(chosen), arrival)
 
 
 def digest(

@@ -1,9 +1,14 @@
-"""Session helpers: the shared working folder and bounded-size joins."""
+"""Session helpers: the shared working folder and joins of measured size."""
 
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A join side is broadcast only when its measured text is at most this large.
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 64
 
 
 def working_folder(spark: SparkSession) -> str:
@@ -34,3 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once onto reliable storage and cut its lineage."""
     working_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when it is measured to be small.
+
+    ``df`` must be cheap to read, such as materialized rows. A larger one is
+    returned as it is, and joins by shuffling.
+    """
+    widths = [F.length(F.col(name).cast("string")) for name in df.columns]
+    width = sum((F.coalesce(each, F.lit(0)) for each in widths), F.lit(ROW_BYTES))
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df

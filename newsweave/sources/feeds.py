@@ -159,6 +159,15 @@ def entry_image(record: Column) -> Column:
     )
 
 
+def with_source(payloads: DataFrame, sources: DataFrame) -> DataFrame:
+    """Add ``feed_url, cap, source_rank`` of the configured source ``name``.
+
+    Payloads of a source that is not configured are left out.
+    """
+    configured = sources.select("name", F.col("url").alias("feed_url"), "cap", "source_rank")
+    return payloads.join(F.broadcast(configured), "name")
+
+
 def feed_articles(payloads: DataFrame) -> DataFrame:
     """Articles of landed feed documents.
 

@@ -24,7 +24,7 @@ from newsweave.operators.retention import (
 )
 from newsweave.operators.upsert import carry_ids, prepare, upsert_outcome
 from newsweave.schema import STORE_FIELDS, conform, ddl
-from newsweave.session import materialize
+from newsweave.session import broadcast_if_small, materialize
 
 PARTITIONS = ["scraped_date", "batch"]
 
@@ -54,6 +54,10 @@ class ArticleStore:
         """One row per address: the newest."""
         return keep_first(self.log(), _newest())
 
+    def newest_times(self) -> DataFrame:
+        """Address and newest scrape time: enough to count, without any text."""
+        return self.log().groupBy("url").agg(F.max("scraped_at").alias("scraped_at"))
+
     def save(
         self, articles: DataFrame, batch: str, order: list, run_ts: datetime | None = None
     ) -> DataFrame:
@@ -71,10 +75,10 @@ class ArticleStore:
             )
         )
         latest = keep_last(incoming, order)
+        arriving = broadcast_if_small(materialize(incoming.select("url").distinct()))
         others = self.log().where(F.col("batch") != batch).select(
             "url", "article_id", "scraped_at", "batch"
         )
-        arriving = incoming.select("url").distinct()
         known = materialize(
             keep_first(others.join(arriving, "url", "left_semi"), _newest()).select(
                 "url", F.col("article_id").alias("known_id")
@@ -113,8 +117,7 @@ class ArticleStore:
         cutoff is rewritten.
         """
         cutoff = cutoff or retention_cutoff(as_of, months)
-        newest = self.current().select("url", "scraped_at")
-        report = materialize(purge_report(newest, cutoff, dry_run))
+        report = materialize(purge_report(self.newest_times(), cutoff, dry_run))
         if dry_run:
             return report
         day = F.lit(cutoff.date())
@@ -137,14 +140,19 @@ class ArticleStore:
 
     def compact(self, target: str) -> "ArticleStore":
         """Write the current rows to a new folder and return the store there."""
-        self.current().repartition("scraped_date", F.pmod(F.xxhash64("url"), F.lit(64))).write.mode(
-            "errorifexists"
-        ).partitionBy(*PARTITIONS).parquet(target)
+        rows = self.current().hint("rebalance", *PARTITIONS)
+        rows.write.mode("errorifexists").partitionBy(*PARTITIONS).parquet(target)
         return ArticleStore(self.spark, target)
 
     def _replace_partitions(self, rows: DataFrame) -> None:
+        """Overwrite the partitions the rows fall into, and no others.
+
+        Rebalancing by partition gives each day few files of even size: small
+        days are put together, a day holding most rows is split.
+        """
         (
             rows.select(*STORE_FIELDS)
+            .hint("rebalance", *PARTITIONS)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PARTITIONS)
