@@ -35,12 +35,8 @@ def is_valid_image_url(url: Column) -> Column:
 
 def normalize_image_url(url: Column) -> Column:
     """Trim, give protocol-relative addresses https, blank out relative ones."""
-    trimmed = strip(or_blank(url))
-    return (
-        F.when(trimmed.startswith("//"), F.concat(F.lit("https:"), trimmed))
-        .when(trimmed.startswith("/"), "")
-        .otherwise(trimmed)
-    )
+    absolute = F.regexp_replace(strip(or_blank(url)), "^//", "https://")
+    return F.regexp_replace(absolute, "(?s)^/.*", "")
 
 
 def first_valid_image(candidates: Column) -> Column:

@@ -88,15 +88,20 @@ def digest(
 
     First arrival per address, newest first, then cut, then enriched: pages are
     only looked up for rows that made the cut. Rows that had an image come
-    first. No size gives all unique articles. Set ``reread`` when ``articles`` is
-    a stored table, cheap to scan twice; leave it off for freshly parsed ones.
+    first. Set ``reread`` when ``articles`` is a stored table, cheap to scan
+    twice; leave it off for freshly parsed ones.
+
+    No size gives all unique articles, unsorted: ``had_image``, ``published_ts`` and
+    the arrival columns tell their order without one more shuffle of the table.
     """
-    if size is None or size > FEW:
-        enriched = with_published_time(keep_first(articles, arrival), parse_rfc822)
-        if size is not None:
-            enriched = newest_first(enriched, arrival).limit(size)
-        enriched = enrich_unique(enriched, pages, domains, newest_page)
-    else:
+    if size is not None and size <= FEW:
         top = newest_unique(articles, size, arrival, parse_rfc822, reread)
         enriched = enrich_few(top, pages, domains, newest_page)
-    return with_images_first(enriched, digest_order(arrival))
+        return with_images_first(enriched, digest_order(arrival))
+    unique = with_published_time(keep_first(articles, arrival), parse_rfc822)
+    if size is None:
+        return enrich_unique(unique, pages, domains, newest_page)
+    top = newest_first(unique, arrival).limit(size)
+    return with_images_first(
+        enrich_unique(top, pages, domains, newest_page), digest_order(arrival)
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.functions.html import first_image
-from newsweave.functions.text import first_of, or_blank, present, strip
+from newsweave.functions.text import first_of, let, or_blank, present, strip
 from newsweave.functions.urls import first_valid_image, source_host
 from newsweave.schema import ARRIVAL_FIELDS, ARTICLE_FIELDS, conform
 
@@ -59,15 +59,49 @@ def _media(entry: Column, name: str) -> Column:
     return F.concat(_all(direct), _all(grouped))
 
 
+# Where a feed that breaks off can be cut, and how it is closed again.
+LAST_ENTRY = r"(?s)^(.*</(?:item|entry)\s*>).*$"
+ROOT = r"<(rss|feed|rdf:RDF)\b"
+STRAY_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)"
+
+
+def _mended(payload: Column) -> Column:
+    """A feed document with the usual faults put right: space before the
+    declaration, unescaped or undefined references, and a missing end."""
+
+    def close(text: Column) -> Column:
+        root = F.regexp_extract(text, ROOT, 1)
+        end = F.concat(F.lit("</"), root, F.lit(">"))
+        inner = F.when(root == "rss", "</channel>").otherwise("")
+        cut = F.concat(F.regexp_replace(text, LAST_ENTRY, "$1"), inner, end)
+        return F.when(F.endswith(text, end), text).otherwise(cut)
+
+    return let(F.regexp_replace(strip(payload), STRAY_AMPERSAND, "&amp;"), close)
+
+
+def _read(payload: Column) -> Column:
+    return F.from_xml(payload, FEED_SCHEMA, {"columnNameOfCorruptRecord": "_unreadable"})
+
+
 def parse_feeds(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add ``entries`` (every entry of the document, in order) and ``unreadable``."""
-    parsed = F.from_xml(
-        F.col(payload), FEED_SCHEMA, {"columnNameOfCorruptRecord": "_unreadable"}
-    )
-    documents = payloads.withColumn("_feed", parsed)
-    return documents.select(
-        *[F.col(name) for name in payloads.columns if name != payload],
+    """Add ``entries`` (all entries of the document, in order), ``faulty`` and
+    ``unreadable``.
+
+    A faulty document is mended and read once more; only what even then cannot
+    be read yields nothing.
+    """
+    kept = [name for name in payloads.columns if name != payload]
+    first = payloads.select(*kept, payload, _read(F.col(payload)).alias("_feed"))
+    faulty = F.col("_feed._unreadable").isNotNull()
+    read = first.select(
+        *kept,
+        faulty.alias("faulty"),
+        F.when(faulty, _read(_mended(F.col(payload)))).otherwise(F.col("_feed")).alias("_feed"),
+    )
+    return read.select(
+        *kept,
         _all(F.coalesce("_feed.channel.item", "_feed.item", "_feed.entry")).alias("entries"),
+        "faulty",
         F.col("_feed._unreadable").isNotNull().alias("unreadable"),
     )
 

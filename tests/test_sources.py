@@ -100,6 +100,18 @@ def test_feed_image_order(feed):
     assert [row.image for row in found] == [image for _, image in expected]
 
 
+def test_faulty_feeds_are_mended(feed):
+    one = "<item><title>A&nbsp;B & C</title><link>https://e.com/?a=1&b=2</link></item>"
+    documents = ["\n " + '<?xml version="1.0"?>' + RSS.format(one), RSS.format(one + one + "<item><title>cut")[:-16],
+                 '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A&amp;B</title></entry><entry><tit',
+                 "<rdf:RDF xmlns:rdf='r'><channel/><item><title>R</title></item><item>"]
+    found = items(feeds.feed_articles(feed(*documents)))
+    assert [(row.payload_id, row.title) for row in found] == [
+        (0, "A&nbsp;B & C"), (1, "A&nbsp;B & C"), (1, "A&nbsp;B & C"), (2, "A&B"), (3, "R")]
+    assert found[0].url == "https://e.com/?a=1&b=2"
+    assert all(row.faulty for row in feeds.parse_feeds(feed(*documents)).collect())
+
+
 def test_feed_rejects(feed):
     found = feeds.feed_rejects(feed("<rss><channel><item>", RSS.format(""), RSS.format("<item/>"), "", None))
     assert {(row.payload_id, row.reason) for row in found.collect()} == {
