@@ -6,6 +6,7 @@ hold a bounded number of items each.
 """
 
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,10 +56,12 @@ from {pages}
 """
 
 
+@cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         ARTICLES.replace("{array_open}", "array(").replace("{array_close}", ")"),
