@@ -86,7 +86,7 @@ VIEWS = {
         select * from prepared where scraped_at < {SPLIT}
         qualify row_number() over (partition by url order by scraped_at desc, ord desc) = 1""",
     "merged": f"""
-        select p.url, p.ord, p.title, p.scraped_at, coalesce(s.article_id, p.article_id) as article_id
+        select p.url, p.ord, p.title, p.source, p.scraped_at, coalesce(s.article_id, p.article_id) as article_id
         from (select * from prepared
               qualify row_number() over (partition by url order by scraped_at desc, ord desc) = 1) p
         left join stored s using (url)""",
@@ -348,6 +348,11 @@ BODIES = {
                 limit 50) i
               left join stored s on s.url = i.url and s.scraped_at >= {PURGED})""",
     "article_count": "select count(*) as total_articles from articles",
+    "store_statistics": """select source, count(*) as count, (select count(*) from merged) as total_articles,
+          (select count(*) from merged where scraped_at >= timestamp '2024-01-24 00:00:00') as last_week,
+          (select count(*) from merged where scraped_at >= timestamp '2024-01-01 00:00:00') as last_month,
+          (select count(*) from merged where scraped_at < timestamp '2023-12-02 00:00:00') as older
+        from merged group by source order by count(*) desc, source limit 10""",
     "age_buckets": """select count(*) as total_articles,
           count(*) filter (where scraped_at >= timestamp '2024-01-24 00:00:00') as last_week,
           count(*) filter (where scraped_at >= timestamp '2024-01-01 00:00:00') as last_month,

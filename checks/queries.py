@@ -18,7 +18,7 @@ from newsweave.functions.html import first_image
 from newsweave.functions.text import present
 from newsweave.functions import urls
 from newsweave.operators import images, ranking, retention, statistics, upsert
-from newsweave.plans.daily_run import daily_run
+from newsweave.plans import daily_run as daily
 from newsweave.plans import digest as digests
 from newsweave.plans import reports
 from newsweave.session import scratch_path
@@ -39,7 +39,9 @@ def query(function: Query) -> Query:
 
 
 def moment(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+    plain = F.col(column).cast("string")
+    fraction = F.rpad(F.substring(plain, 21, 6), 6, "0")
+    return F.concat(F.substring(plain, 1, 19), F.lit("."), fraction).alias(column)
 
 
 def tags_text(df: DataFrame) -> DataFrame:
@@ -429,6 +431,19 @@ def store_recent(spark, sf_dir):
     return store.recent(AS_OF).select("url", "title", moment("scraped_at"))
 
 
+@query
+def store_statistics(spark, sf_dir):
+    """Top sources of a saved store, each with the age counts of the whole."""
+    store = ArticleStore(spark, scratch_path(spark, "store"))
+    store.save(views.articles(spark, sf_dir), "1", ["scraped_at", "ord"])
+    shown = daily.store_statistics(store, AS_OF)
+    ages = [
+        shown["ages"].select(name).scalar().alias(name)
+        for name in ("total_articles", "last_week", "last_month", "older")
+    ]
+    return shown["sources"].select("*", *ages)
+
+
 @query
 def json_snapshot(spark, sf_dir):
     a = views.articles(spark, sf_dir).drop("ord")
@@ -451,7 +466,7 @@ def daily_job(spark, sf_dir):
     """The whole daily run over a filled store, told by its counts."""
     store = ArticleStore(spark, scratch_path(spark, "store"))
     store.save(_stored(spark, sf_dir), "1", ["ord"])
-    shown = daily_run(
+    shown = daily.daily_run(
         _incoming(spark, sf_dir),
         views.pages_meta(spark, sf_dir),
         store,
@@ -554,7 +569,7 @@ def stream_ingest(spark, sf_dir):
 @query
 def stream_dedup(spark, sf_dir):
     out = scratch_path(spark, "unique")
-    unique = streaming.stream_unique(_landed_articles(spark, sf_dir), "60 days")
+    unique = streaming.stream_unique(_landed_articles(spark, sf_dir), "60 days", ["ord"])
     streaming.write_available(unique.select("url"), out, scratch_path(spark, "progress"))
     return spark.read.schema("url string").parquet(out)
 
@@ -579,5 +594,5 @@ def stream_daily_arrivals(spark, sf_dir):
         .option("checkpointLocation", scratch_path(spark, "progress"))
         .trigger(availableNow=True).start().awaitTermination()
     )
-    day = F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("day.start").cast("timestamp_ntz")))
+    day = F.date_from_unix_date((F.unix_seconds("day.start") / 86400).cast("int"))
     return spark.table(name).select(day.cast("string").alias("day"), "source", "articles")

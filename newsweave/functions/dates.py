@@ -160,14 +160,31 @@ def normalize_published(published: Column, run_ts: datetime) -> Column:
 
 
 def iso_text(moment: Column) -> Column:
-    """ISO text of a time, with microseconds only when it has any."""
-    micros = F.date_format(moment, "SSSSSS")
+    """ISO text of a TIMESTAMP_NTZ, with microseconds only when it has any.
+
+    Taken from its plain text: formatting functions would pass through the session
+    time zone, where some wall-clock times do not exist.
+    """
+    plain = moment.cast("string")
+    fraction = F.rpad(F.substring(plain, 21, 6), 6, "0")
     return F.concat(
-        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""),
+        F.substring(plain, 1, 10),
+        F.lit("T"),
+        F.substring(plain, 12, 8),
+        F.when(F.length(plain) > 19, F.concat(F.lit("."), fraction)).otherwise(""),
     )
 
 
+def compact_date(moment: Column) -> Column:
+    """The date of a TIMESTAMP_NTZ as ``yyyymmdd``."""
+    return F.replace(F.substring(moment.cast("string"), 1, 10), F.lit("-"), F.lit(""))
+
+
+def as_instant(moment: Column) -> Column:
+    """A UTC wall-clock time as an instant (TIMESTAMP)."""
+    return F.concat(moment.cast("string"), F.lit("+00:00")).cast("timestamp")
+
+
 def utc_literal(moment: datetime) -> Column:
     """A UTC wall-clock moment as a TIMESTAMP_NTZ literal."""
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -36,9 +36,10 @@ def page_images(
 ) -> DataFrame:
     """``url, page_image`` of the trusted pages that name an image.
 
-    The guards run before any HTML is read. With ``newest`` (columns), an address
-    landed more than once counts with its latest page; only the short image
-    address is shuffled for that, never the HTML.
+    The guards run before any HTML is read. An address landed more than once counts
+    with its latest page by the ``newest`` columns; only the short image address is
+    shuffled for that, never the HTML, and a join on the address needs that
+    shuffle anyway.
     """
     trusted = pages.where(
         may_have_page_image(F.col("url"), domains, settings.MAX_PAGE_URL_CHARS)
@@ -46,9 +47,8 @@ def page_images(
     found = trusted.select(
         "url", *(newest or []), page_image(F.col("html")).alias("page_image")
     )
-    if newest:
-        found = keep_last(found, newest).drop(*newest)
-    return found.where(present(F.col("page_image")))
+    latest = keep_last(found, newest or ["page_image"])
+    return latest.where(present(F.col("page_image"))).select("url", "page_image")
 
 
 def _choose(looked_up: DataFrame, defaults: DataFrame | None, columns: list) -> DataFrame:

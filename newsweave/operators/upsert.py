@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.functions.dates import iso_text, utc_literal
+from newsweave.functions.dates import compact_date, iso_text, utc_literal
 from newsweave.functions.text import or_blank, present
 from newsweave.operators.ranking import keep_last
 
@@ -23,7 +23,7 @@ def prepare(articles: DataFrame, run_ts: datetime | None = None) -> DataFrame:
         {
             "article_id": F.concat_ws(
                 "_", F.substring(F.md5(F.col("url").cast("binary")), 1, 16),
-                F.date_format(scraped, "yyyyMMdd"),
+                compact_date(scraped),
             ),
             "tags": F.coalesce("tags", F.array().cast("array<string>")),
             "published": F.when(or_blank(F.col("published")) == "", iso_text(scraped)).otherwise(

@@ -4,7 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType, TimestampType
+from pyspark.sql.types import TimestampNTZType
 
 from newsweave.functions.dates import iso_text
 
@@ -18,7 +18,7 @@ def save_json(articles: DataFrame, path: str, run_date: date) -> str:
     times = {
         field.name: iso_text(F.col(field.name))
         for field in articles.schema
-        if isinstance(field.dataType, (TimestampType, TimestampNTZType))
+        if isinstance(field.dataType, TimestampNTZType)
     }
     articles.withColumns(times).write.mode("overwrite").json(target)
     return target

@@ -1,10 +1,11 @@
 """The same operators over landed files as they arrive."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from newsweave.functions.dates import as_instant
 from newsweave.functions.text import present
 from newsweave.sources.feeds import feed_articles
 from newsweave.sources.store import ArticleStore
@@ -21,34 +22,37 @@ def landed(
     )
 
 
-def event_time(moment: Column) -> Column:
-    """A UTC wall-clock time as an instant, as watermarks need it."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), moment).cast("timestamp")
-
-
 def stream_feed_articles(payloads: DataFrame) -> DataFrame:
     """Articles of feed documents as they land: a map, no state."""
     return feed_articles(payloads)
 
 
-def stream_unique(articles: DataFrame, delay: str, time: str = "scraped_at") -> DataFrame:
+def stream_unique(
+    articles: DataFrame, delay: str, spread_by: list, salts: int = 32, time: str = "scraped_at"
+) -> DataFrame:
     """Articles whose address was not seen within ``delay``.
 
+    Copies are first dropped per address and salt, then per address: an address on a
+    large share of the stream is thinned by many tasks before it meets in one.
+    ``spread_by`` names columns that differ between copies, such as their arrival.
     State is bounded by the delay; an address that returns later passes again,
     and the store's upsert settles it.
     """
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
     return (
         articles.where(present(F.col("url")))
-        .withColumn("arrived", event_time(F.col(time)))
+        .withColumns({"arrived": as_instant(F.col(time)), "_salt": salt})
         .withWatermark("arrived", delay)
+        .dropDuplicatesWithinWatermark(["url", "_salt"])
         .dropDuplicatesWithinWatermark(["url"])
+        .drop("_salt")
     )
 
 
 def stream_daily_arrivals(articles: DataFrame, delay: str) -> DataFrame:
     """Articles per source and day, each day final once the delay has passed."""
     return (
-        articles.withColumn("arrived", event_time(F.col("scraped_at")))
+        articles.withColumn("arrived", as_instant(F.col("scraped_at")))
         .withWatermark("arrived", delay)
         .groupBy(F.window("arrived", "1 day").alias("day"), "source")
         .agg(F.count("*").alias("articles"))

@@ -94,6 +94,11 @@ def test_enrichment(make_articles, pages, enrich):
         (2, False, ""), (4, False, "")]
 
 
+def test_pages_landed_twice_do_not_multiply_articles(make_articles, pages):
+    done = images.enrich_images(make_articles(MIXED), pages.union(pages), ["bbc.com"])
+    assert done.count() == len(MIXED)
+
+
 def test_fallback_images(make_articles, pages, spark):
     defaults = spark.createDataFrame([("example.com", "https://e.com/default.jpg")], "source string, default_image string")
     done = images.enrich_images(make_articles(MIXED), pages, ["bbc.com"], ["captured"], defaults)

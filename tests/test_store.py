@@ -80,6 +80,15 @@ def test_compaction_keeps_the_current_rows(store, make_articles, tmp_path):
     assert held(packed) == held(store) and packed.log().count() == 2
 
 
+def test_times_outside_the_session_calendar(store, make_articles):
+    """02:30 on that day does not exist in the session's time zone."""
+    gap = datetime(2024, 3, 10, 2, 30)
+    store.save(make_articles(named("a")), "1", ARRIVAL, gap)
+    row = store.current().first()
+    assert (row.scraped_at, row.published, row.article_id[-8:]) == (gap, "2024-03-10T02:30:00", "20240310")
+    assert store.recent(gap, 1).count() == 1
+
+
 def test_statistics(store, make_articles):
     store.save(make_articles(named("a", "b", source="x") + named("c", source="y")), "1", ARRIVAL, DAY)
     shown = store_statistics(store, DAY)
@@ -130,7 +139,7 @@ def test_stream_unique(spark, landing, tmp_path):
     out = str(tmp_path / "out")
     for _ in range(2):
         streaming.write_available(
-            streaming.stream_unique(stream, "30 days").select("url"), out, str(tmp_path / "progress"))
+            streaming.stream_unique(stream, "30 days", ARRIVAL).select("url"), out, str(tmp_path / "progress"))
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["only0", "only1", "only2", "same"]
 
 
