@@ -178,7 +178,8 @@ VIEWS = {
         from collected where url <> ''
         qualify row_number() over (partition by url order by source_rank, payload_id, position) = 1""",
     "collected_images": """
-        select c.* exclude (image), trim(c.image) <> '' as had_image,
+        select c.* exclude (image),
+               trim(c.image) <> '' or (c.source_rank < 36 and i.page_image is not null) as had_image,
                case when trim(c.image) <> '' then c.image else coalesce(i.page_image, '') end as image
         from unique_collected c left join page_images i on c.url = i.url""",
     "suppliers": "select 'src' || s_suppkey || '.example.com' as source, s_suppkey, s_nationkey from supplier",
@@ -266,7 +267,9 @@ BODIES = {
     "published_normalize": f"select ord, {api_published('published')} as published from articles",
     "feed_ingest_xml": """select source_rank, payload_id, position, title, url, published, summary, source,
           array_to_string(tags, '|') as tags_text, image from feed_articles""",
-    "feed_image_cascade": "select payload_id, position, url, image from feed_found",
+    "feed_image_cascade": """select payload_id, position, f.url,
+          case when image <> '' then image else coalesce(page_image, '') end as image
+        from feed_found f left join page_images i on f.url = i.url""",
     "feed_source_config": f"""select rank as source_rank, payload_id, position,
           regexp_extract(feed_url, '//([^/]*)', 1) as source, title, url
         from feed_found join (values {SOURCES}) as s(rank, feed_url, feed_cap)

@@ -224,8 +224,9 @@ def feed_ingest_xml(spark, sf_dir):
 @query
 def feed_image_cascade(spark, sf_dir):
     everything = views.feed_payloads(spark, sf_dir).withColumn("cap", F.lit(2**31 - 1))
-    found = feeds.feed_articles(everything)
-    return found.select("payload_id", "position", "url", "image")
+    found = feeds.feed_articles(everything).select("payload_id", "position", "url", "image")
+    looked_up = images.enrich_images(found, views.pages_meta(spark, sf_dir), DOMAINS)
+    return looked_up.drop("had_image")
 
 
 @query

@@ -39,8 +39,10 @@ def page_images(
     The guards run before any HTML is read. An address landed more than once counts
     with its latest page by the ``newest`` columns; only the short image address is
     shuffled for that, never the HTML, and a join on the address needs that
-    shuffle anyway.
+    shuffle anyway. Where pages carry a ``status``, only those answered with 200 count.
     """
+    if "status" in pages.columns:
+        pages = pages.where(F.col("status") == 200)
     trusted = pages.where(
         may_have_page_image(F.col("url"), domains, settings.MAX_PAGE_URL_CHARS)
     )
@@ -128,6 +130,19 @@ def enrich_few(
     return enrich_unique(few, own_pages, domains, newest, defaults)
 
 
+def count_feed_lookups(enriched: DataFrame) -> DataFrame:
+    """Count a page's image as the entry's own for rows marked ``from_feed``.
+
+    Feed entries have their page looked up when they are read. The outcome depends
+    on the address alone, so it is done with the enrichment of the rows that
+    made the cut, and only ``had_image`` is set right here.
+    """
+    if "from_feed" not in enriched.columns:
+        return enriched
+    own = F.col("had_image") | (F.col("from_feed") & has_image(F.col("image")))
+    return enriched.withColumn("had_image", own).drop("from_feed")
+
+
 def with_images_first(enriched: DataFrame, order: list) -> DataFrame:
     """Articles that came with an image, then the others, each in ``order``."""
     return enriched.orderBy(F.col("had_image").desc(), *order)

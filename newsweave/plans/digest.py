@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from newsweave import settings
 from newsweave.functions.dates import newest_first_key
-from newsweave.operators.images import enrich_few, enrich_unique, with_images_first
+from newsweave.operators.images import (
+    count_feed_lookups,
+    enrich_few,
+    enrich_unique,
+    with_images_first,
+)
 from newsweave.operators.ranking import (
     keep_first,
     newest_first,
@@ -43,11 +48,14 @@ def collect_articles(
     """
     after_feeds = len(source_rows())
     from_api = api_articles(api, category_dim(api.sparkSession), run_ts, override)
+    from_listings = listing_articles(listings, run_ts, source_rank=after_feeds - 1)
     return union_sources(
         [
-            feed_articles(feeds),
-            listing_articles(listings, run_ts, source_rank=after_feeds - 1),
-            from_api.withColumn("source_rank", F.col("source_rank") + after_feeds),
+            feed_articles(feeds).withColumn("from_feed", F.lit(True)),
+            from_listings.withColumn("from_feed", F.lit(False)),
+            from_api.withColumns(
+                {"source_rank": F.col("source_rank") + after_feeds, "from_feed": F.lit(False)}
+            ),
         ]
     )
 
@@ -97,11 +105,10 @@ def digest(
     if size is not None and size <= FEW:
         top = newest_unique(articles, size, arrival, parse_rfc822, reread)
         enriched = enrich_few(top, pages, domains, newest_page)
-        return with_images_first(enriched, digest_order(arrival))
-    unique = with_published_time(keep_first(articles, arrival), parse_rfc822)
-    if size is None:
-        return enrich_unique(unique, pages, domains, newest_page)
-    top = newest_first(unique, arrival).limit(size)
-    return with_images_first(
-        enrich_unique(top, pages, domains, newest_page), digest_order(arrival)
-    )
+    else:
+        top = with_published_time(keep_first(articles, arrival), parse_rfc822)
+        if size is not None:
+            top = newest_first(top, arrival).limit(size)
+        enriched = enrich_unique(top, pages, domains, newest_page)
+    counted = count_feed_lookups(enriched)
+    return counted if size is None else with_images_first(counted, digest_order(arrival))

@@ -55,7 +55,7 @@ def test_daily_and_maintain_commands(spark, landed):
                for part in (f"--{name}", str(landed / name))]
     shown = jobs.run(spark, jobs.arguments(["daily", *folders, "--as-of", "2025-01-13T12:00:00", "--size", "5"]))
     urls = [row.url for row in shown["urls"].orderBy("number").collect()]
-    assert urls == ["https://medium.com/p/listed", "https://e.com/api", "https://techcrunch.com/3",
+    assert urls == ["https://techcrunch.com/3", "https://medium.com/p/listed", "https://e.com/api",
                     "https://techcrunch.com/2", "https://pub.example/2"]
     assert shown["outcome"].first().inserted == 5
     saved = spark.read.json(str(landed / "snapshots")).where("image <> ''")

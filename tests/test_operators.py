@@ -94,6 +94,18 @@ def test_enrichment(make_articles, pages, enrich):
         (2, False, ""), (4, False, "")]
 
 
+def test_page_images_of_feed_entries_count_as_their_own(make_articles, pages):
+    given = make_articles(MIXED).withColumn("from_feed", F.col("position") < 2)
+    done = digest(given, pages, 5, domains=["bbc.com"], newest_page=["captured"]).collect()
+    assert [(r.position, r.had_image) for r in done] == [(0, True), (3, True), (1, False), (2, False)]
+
+
+def test_only_answered_pages_count(make_articles, pages):
+    answered = pages.withColumn("status", F.when(F.col("captured") == 2, 404).otherwise(200))
+    done = images.enrich_images(make_articles(MIXED[:1]), answered, ["bbc.com"], ["captured"])
+    assert done.first().image == "https://cdn.example.com/old.jpg"
+
+
 def test_pages_landed_twice_do_not_multiply_articles(make_articles, pages):
     done = images.enrich_images(make_articles(MIXED), pages.union(pages), ["bbc.com"])
     assert done.count() == len(MIXED)
