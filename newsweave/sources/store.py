@@ -6,11 +6,12 @@ the store. A batch rewrites only its own partitions, so running it again changes
 nothing. Compaction writes the current rows to a new folder.
 """
 
+import re
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from newsweave import settings
 from newsweave.functions.dates import utc_literal
@@ -23,17 +24,17 @@ from newsweave.operators.retention import (
     scraped_since,
 )
 from newsweave.operators.upsert import carry_ids, prepare, upsert_outcome
-from newsweave.schema import STORE_FIELDS, conform, ddl
+from newsweave.schema import ARTICLE_FIELDS, STORE_FIELDS, conform, ddl
 from newsweave.session import broadcast_if_small, materialize
 
 PARTITIONS = ["scraped_date", "batch"]
+BATCH_NAME = re.compile(r"[A-Za-z0-9._-]+")
 
 
 def _newest() -> list[Column]:
     return [F.desc("scraped_at"), F.desc("batch")]
 
 
-
 class ArticleStore:
     """Current articles by address, kept in a folder of Parquet partitions."""
 
@@ -66,14 +67,13 @@ class ArticleStore:
         A known address keeps its id. The batch is computed once; the store is
         read for two narrow columns, without this batch's own earlier attempt.
         """
-        extra = tuple(name for name in order if name not in STORE_FIELDS)
-        incoming = materialize(
-            conform(
-                prepare(articles, run_ts).withColumn("batch", F.lit(batch)),
-                STORE_FIELDS,
-                extra,
-            )
-        )
+        if not BATCH_NAME.fullmatch(batch):
+            raise ValueError(f"not usable as a folder name: {batch!r}")
+        fields = {**ARTICLE_FIELDS, "scraped_at": STORE_FIELDS["scraped_at"]}
+        extra = tuple(name for name in order if name not in fields)
+        staged = materialize(conform(articles, fields, extra))
+        ready = prepare(staged, run_ts).withColumn("batch", F.lit(batch))
+        incoming = conform(ready, STORE_FIELDS, extra)
         latest = keep_last(incoming, order)
         arriving = broadcast_if_small(materialize(incoming.select("url").distinct()))
         others = self.log().where(F.col("batch") != batch).select(
@@ -84,7 +84,7 @@ class ArticleStore:
                 "url", F.col("article_id").alias("known_id")
             )
         )
-        outcome = materialize(upsert_outcome(known, articles))
+        outcome = materialize(upsert_outcome(known, staged))
         self._replace_partitions(carry_ids(latest, known))
         return outcome
 

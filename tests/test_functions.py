@@ -5,7 +5,6 @@ from datetime import datetime, timezone
 from html.parser import HTMLParser
 
 import pytest
-from pyspark.sql import functions as F
 
 from newsweave.functions import dates, html, text, urls
 from newsweave.functions.anchors import page_anchors

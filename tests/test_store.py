@@ -48,6 +48,11 @@ def test_saving_a_batch_again_changes_nothing(store, make_articles):
     assert store.log().count() == 3 and len(held(store)) == 2
 
 
+def test_batch_names_are_folder_names(store, make_articles):
+    with pytest.raises(ValueError):
+        store.save(make_articles(named("a")), "12:30/x", ARRIVAL, DAY)
+
+
 def test_purge_drops_days_and_trims_the_boundary(store, make_articles):
     for n, hours in enumerate([0, 20, 30, 47, 49, 60, 90]):
         store.save(make_articles(named(f"u{n}")), str(n), ARRIVAL, DAY - timedelta(hours=hours))
