@@ -182,7 +182,7 @@ VIEWS = {
                trim(c.image) <> '' or (c.source_rank < 36 and i.page_image is not null) as had_image,
                case when trim(c.image) <> '' then c.image else coalesce(i.page_image, '') end as image
         from unique_collected c left join page_images i on c.url = i.url""",
-    "suppliers": "select 'src' || s_suppkey || '.example.com' as source, s_suppkey, s_nationkey from supplier",
+    "suppliers": "select 'src' || s_suppkey || '.example.com' as source, s_acctbal, s_nationkey from supplier",
 }
 
 
@@ -236,7 +236,7 @@ BODIES = {
     "enrich_images": "select ord, url, final_image as image, had_image from enriched",
     "fallback_image": """select e.ord, case when e.had_image or e.final_image <> '' then e.final_image
           else coalesce('https://cdn.example.com/default/' || s.s_nationkey, '') end as image
-        from enriched e left join suppliers s on s.source = e.source and s.s_suppkey % 2 = 0""",
+        from enriched e left join suppliers s on s.source = e.source and s.s_acctbal > 4000""",
     "image_coverage": f"""select source, false as overall, {COVERAGE} from articles group by source
         union all select null, true, {COVERAGE} from articles""",
     "coverage_gain": """select total, before_percent, after_percent,

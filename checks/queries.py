@@ -146,11 +146,13 @@ def enrich_images(spark, sf_dir):
 
 @query
 def fallback_image(spark, sf_dir):
-    """Default images per source, for the sources of the supplier table's nations."""
-    defaults = views.table(spark, sf_dir, "supplier").select(
+    """Default images by source, one per supplier well in credit."""
+    in_credit = views.table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 4000)
+    nation = F.col("s_nationkey").cast("string")
+    defaults = in_credit.select(
         F.concat(F.lit("src"), F.col("s_suppkey").cast("string"), F.lit(".example.com")).alias("source"),
-        F.concat(F.lit("https://cdn.example.com/default/"), F.col("s_nationkey").cast("string")).alias("default_image"),
-    ).where(F.col("s_suppkey") % 2 == 0)
+        F.concat(F.lit("https://cdn.example.com/default/"), nation).alias("default_image"),
+    )
     enriched = images.enrich_images(
         views.articles(spark, sf_dir), views.pages_meta(spark, sf_dir), DOMAINS, defaults=defaults
     )

@@ -98,7 +98,7 @@ def _img(attributes: str, image: Column, tail: str = "") -> Column:
 
 def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feed document per source and hundred documents: RSS, Atom or RDF in
-    turn, some cut short. Where an item carries its image varies with ``ord``."""
+    turn, some not well formed. Where an item carries its image varies with ``ord``."""
     a = articles(spark, sf_dir)
     chunk = F.floor(F.col("ord") / 100).cast("bigint")
     number = F.regexp_extract("source", r"^src(\d+)\.", 1).cast("bigint")
@@ -187,7 +187,7 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    cut = F.col("payload_id") % 7 == 3
+    broken = F.col("payload_id") % 7 == 3
     return (
         a.select("payload_id", "source_rank", "source", "ord", item.alias("item"))
         .groupBy("payload_id", "source_rank", "source")
@@ -198,13 +198,13 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source_rank",
             F.when(F.col("payload_id") % 2 == 0, 3).otherwise(2).alias("cap"),
             "payload_id",
-            F.when(cut, F.substring(document, 1, 200)).otherwise(document).alias("payload"),
+            F.when(broken, F.concat(F.lit("<broken>"), document)).otherwise(document).alias("payload"),
         )
     )
 
 
 def api_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One response per category and 200 documents, some cut short."""
+    """One response per category and 200 documents, some not JSON."""
     a = articles(spark, sf_dir)
     names = F.array(*[F.lit(name) for name in CATEGORIES])
     place = (F.col("ord") % len(CATEGORIES)).cast("int")
@@ -231,7 +231,9 @@ def api_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "category",
             "payload_id",
-            F.when(F.col("payload_id") % 13 == 5, F.substring(whole, 1, 40)).otherwise(whole).alias("payload"),
+            F.when(F.col("payload_id") % 13 == 5, F.concat(F.lit("<html>"), whole))
+            .otherwise(whole)
+            .alias("payload"),
         )
     )
 
