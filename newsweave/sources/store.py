@@ -75,7 +75,7 @@ class ArticleStore:
         ready = prepare(staged, run_ts).withColumn("batch", F.lit(batch))
         incoming = conform(ready, STORE_FIELDS, extra)
         latest = keep_last(incoming, order)
-        arriving = broadcast_if_small(materialize(incoming.select("url").distinct()))
+        arriving = broadcast_if_small(incoming.select("url").distinct())
         others = self.log().where(F.col("batch") != batch).select(
             "url", "article_id", "scraped_at", "batch"
         )
@@ -84,9 +84,8 @@ class ArticleStore:
                 "url", F.col("article_id").alias("known_id")
             )
         )
-        outcome = materialize(upsert_outcome(known, staged))
         self._replace_partitions(carry_ids(latest, known))
-        return outcome
+        return upsert_outcome(known, staged)
 
     def recent(
         self,

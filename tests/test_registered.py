@@ -20,6 +20,8 @@ def connection():
 @pytest.mark.parametrize("name", queries())
 def test_equals_sql(spark, connection, name):
     frame = queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     actual = comparable([tuple(row) for row in frame.collect()], frame.columns)
     columns, rows = run_oracle(connection, oracle_sql()[name])
     assert sorted(columns) == sorted(frame.columns)
