@@ -47,7 +47,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     ``df`` must be cheap to read, such as materialized rows. A larger one is
     returned as it is, and joins by shuffling.
     """
-    widths = [F.length(F.col(name).cast("string")) for name in df.columns]
+    widths = [F.octet_length(F.col(name).cast("string")) for name in df.columns]
     width = sum((F.coalesce(each, F.lit(0)) for each in widths), F.lit(ROW_BYTES))
     size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= limit else df

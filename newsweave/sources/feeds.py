@@ -30,7 +30,9 @@ _ENTRY = ", ".join(
         "content: array<struct<_VALUE: string>>",
         "`content:encoded`: array<string>",
         "category: array<struct<_VALUE: string, _term: string>>",
+        "`dc:subject`: array<string>",
         "enclosure: array<struct<_url: string, _type: string>>",
+        "`itunes:image`: struct<_href: string>",
         f"`media:content`: {_MEDIA}",
         f"`media:thumbnail`: {_MEDIA}",
         f"`media:group`: array<struct<`media:content`: {_MEDIA}, `media:thumbnail`: {_MEDIA}>>",
@@ -59,6 +61,13 @@ def _media(entry: Column, name: str) -> Column:
     return F.concat(_all(direct), _all(grouped))
 
 
+def _named_image(element: Column) -> Column:
+    """Address of an image element: its text, else its ``href`` or ``url``."""
+    return F.when(present(strip(element["_VALUE"])), element["_VALUE"]).otherwise(
+        F.coalesce(element["_href"], element["href"], element["url"])
+    )
+
+
 # Where a feed that breaks off can be cut, and how it is closed again.
 LAST_ENTRY = r"(?s)^(.*</(?:item|entry)\s*>).*$"
 ROOT = r"<(rss|feed|rdf:RDF)\b"
@@ -147,21 +156,21 @@ def entry_record(entry: Column) -> Column:
         F.coalesce(entry["description"], entry["summary"], first_of(contents)).alias("summary"),
         entry["description"].alias("description"),
         contents.alias("contents"),
-        _all(
-            F.transform(
-                entry["category"], lambda tag: F.coalesce(tag["_term"], tag["_VALUE"])
-            )
+        F.concat(
+            _all(
+                F.transform(
+                    entry["category"], lambda tag: F.coalesce(tag["_term"], tag["_VALUE"])
+                )
+            ),
+            _all(entry["dc:subject"]),
         ).alias("tags"),
         _media(entry, "media:content").alias("media_content"),
         _media(entry, "media:thumbnail").alias("media_thumbnail"),
         attached.alias("attached"),
         F.array(
-            *[
-                F.when(present(strip(entry[name]["_VALUE"])), entry[name]["_VALUE"]).otherwise(
-                    F.coalesce(entry[name]["_href"], entry[name]["href"], entry[name]["url"])
-                )
-                for name in IMAGE_ELEMENTS
-            ]
+            *[_named_image(entry[name]) for name in IMAGE_ELEMENTS[:1]],
+            entry["itunes:image"]["_href"],
+            *[_named_image(entry[name]) for name in IMAGE_ELEMENTS[1:]],
         ).alias("image_fields"),
     )
 

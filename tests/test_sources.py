@@ -65,12 +65,12 @@ def test_atom_and_rdf(feed):
     )
     rdf = (
         '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel/>'
-        "<item><title>R</title><link>https://e.com/r</link></item></rdf:RDF>"
+        '<item><title>R</title><link>https://e.com/r</link><dc:subject xmlns:dc="d">s</dc:subject></item></rdf:RDF>'
     )
     first, second = items(feeds.feed_articles(feed(atom, rdf)))
     assert (first.title, first.url, first.image, first.summary, first.tags) == (
         "A", "https://e.com/a", "https://e.com/a.png", "<b>body</b>", ["t"])
-    assert (second.title, second.url) == ("R", "https://e.com/r")
+    assert (second.title, second.url, second.tags) == ("R", "https://e.com/r", ["s"])
 
 
 def test_feed_image_order(feed):
@@ -83,12 +83,14 @@ def test_feed_image_order(feed):
     picture = "<picture>https://e.com/picture.jpg</picture>"
     summary = '<description>&lt;img src="//e.com/summary.jpg"&gt;</description>'
     content = '<content:encoded><![CDATA[<img src="https://e.com/content.jpg">]]></content:encoded>'
+    podcast = '<itunes:image xmlns:itunes="i" href="https://e.com/podcast.jpg"/>'
     bad = '<media:content url="https://localhost/x.jpg"/>'
     expected = [
         (content + summary + picture + image + enclosure + thumb + media, "https://e.com/media.jpg"),
         (thumb + enclosure, "//e.com/thumb.jpg"),
         (audio + enclosure + image, "https://e.com/enclosed.jpg"),
         (audio + picture + image, "https://e.com/field.jpg"),
+        (picture + podcast, "https://e.com/podcast.jpg"),
         (picture + summary, "https://e.com/picture.jpg"),
         (content + summary, "https://e.com/summary.jpg"),
         (bad + content, "https://e.com/content.jpg"),
