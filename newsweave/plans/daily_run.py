@@ -38,9 +38,8 @@ def daily_run(
     chosen = materialize(digest(articles, pages, size, arrival, domains))
     order = [F.col("had_image").desc(), *digest_order(arrival)]
     shown["preview"] = article_preview(chosen, order)
-    save_json(
-        chosen.drop("had_image", "published_ts", *arrival), snapshots, run_ts.date()
-    )
+    snapshot = chosen.orderBy(*order).drop("had_image", "published_ts", *arrival)
+    save_json(snapshot, snapshots, run_ts.date())
     shown["outcome"] = store.save(chosen, run_ts.strftime("%Y%m%dT%H%M%S"), arrival, run_ts)
     shown["total"] = article_count(store.newest_times())
     shown["urls"] = url_list(chosen, order)

@@ -25,7 +25,7 @@ from newsweave.operators.retention import (
 )
 from newsweave.operators.upsert import carry_ids, prepare, upsert_outcome
 from newsweave.schema import ARTICLE_FIELDS, STORE_FIELDS, conform, ddl
-from newsweave.session import broadcast_if_small, materialize
+from newsweave.session import broadcast_if_small, materialize, remove_folder, write_out
 
 PARTITIONS = ["scraped_date", "batch"]
 BATCH_NAME = re.compile(r"[A-Za-z0-9._-]+")
@@ -64,14 +64,15 @@ class ArticleStore:
     ) -> DataFrame:
         """Insert or replace articles by address; returns the outcome as one row.
 
-        A known address keeps its id. The batch is computed once; the store is
-        read for two narrow columns, without this batch's own earlier attempt.
+        A known address keeps its id. The batch is computed once, into a working
+        table; the store is read for a few narrow columns, without this batch's
+        own earlier attempt.
         """
         if not BATCH_NAME.fullmatch(batch):
             raise ValueError(f"not usable as a folder name: {batch!r}")
         fields = {**ARTICLE_FIELDS, "scraped_at": STORE_FIELDS["scraped_at"]}
         extra = tuple(name for name in order if name not in fields)
-        staged = materialize(conform(articles, fields, extra))
+        staged, folder = write_out(conform(articles, fields, extra), "batch")
         ready = prepare(staged, run_ts).withColumn("batch", F.lit(batch))
         incoming = conform(ready, STORE_FIELDS, extra)
         latest = keep_last(incoming, order)
@@ -85,7 +86,9 @@ class ArticleStore:
             )
         )
         self._replace_partitions(carry_ids(latest, known))
-        return upsert_outcome(known, staged)
+        outcome = materialize(upsert_outcome(known, staged))
+        remove_folder(self.spark, folder)
+        return outcome
 
     def recent(
         self,
@@ -134,7 +137,8 @@ class ArticleStore:
         # Folder names only: at most one row per day and batch.
         folders = expired.select(*PARTITIONS).distinct().union(emptied.select(*PARTITIONS))
         for row in folders.collect():
-            self._drop_folder(f"{self.path}/scraped_date={row.scraped_date}/batch={row.batch}")
+            folder = f"{self.path}/scraped_date={row.scraped_date}/batch={row.batch}"
+            remove_folder(self.spark, folder)
         return report
 
     def compact(self, target: str) -> "ArticleStore":
@@ -157,7 +161,3 @@ class ArticleStore:
             .partitionBy(*PARTITIONS)
             .parquet(self.path)
         )
-
-    def _drop_folder(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
