@@ -5,7 +5,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import language, licences, mixing, personal, pieces, secret_ledger
+from newsweave.llm import (
+    collision_search,
+    context_tree,
+    language,
+    licences,
+    mixing,
+    personal,
+    pieces,
+    secret_ledger,
+    shingle_join,
+    small_worlds,
+)
 from newsweave.session import scratch_path, write_out
 from pyspark.sql import functions as F
 
@@ -29,6 +40,11 @@ def op2_sentence_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document."""
+    return context_tree.context_tree_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     model = pieces.read_model(public_tokenizers.path(TOKENIZER))
@@ -51,6 +67,23 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_count_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their three-word shingles."""
+    documents = _table(spark, sf_dir, "documents")
+    return shingle_join.similar_documents(documents, words=3, num=90, den=100)
+
+
+def op8_small_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return small_worlds.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth."""
+    embeddings = _table(spark, sf_dir, "embeddings")
+    return collision_search.search(embeddings, F.col("vec_id") % 20 == 0)
+
+
 def op10_anchored_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,9 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_secret_ledger,
         op2_sentence_licences,
+        op3_context_tree,
         op4_exact_pieces,
         op5_output_codes,
         op6_source_mix,
+        op7_count_tree,
+        op8_small_worlds,
+        op9_collision_counts,
         op10_anchored_personal,
     )
 }
