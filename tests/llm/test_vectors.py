@@ -1,0 +1,116 @@
+"""Both vector operators against brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from newsweave.llm import collision_search, small_worlds
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id int, at int"
+
+
+def clustered(rng, count, dims, groups, spread):
+    centres = rng.standard_normal((groups, dims))
+    points = rng.standard_normal((count, dims))
+    points[: count // 2] = centres[rng.integers(0, groups, count // 2)] + spread * rng.standard_normal((count // 2, dims))
+    return np.float32(points)
+
+
+def rows_of(vectors, start=0):
+    return [(start + i, [float(x) for x in v], 0, 1, 2) for i, v in enumerate(vectors)]
+
+
+ODD = [
+    (9001, None, 0, 1, 2),
+    (9002, [0.0] * 16, 0, 1, 2),
+    (9003, [1.0] * 15 + [None], 0, 1, 2),
+    (9004, [1.0] * 15 + [math.nan], 0, 1, 2),
+    (9005, [1.0] * 15 + [math.inf], 0, 1, 2),
+    (9006, [1.0] * 3, 0, 1, 2),
+    (9007, [], 0, 1, 2),
+    (None, [1.0] * 16, 0, 1, 2),
+]
+
+
+def cosines(vectors):
+    v = np.float64(vectors)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return v @ v.T
+
+
+def expected_links(vectors, least):
+    linked = cosines(vectors) >= least
+    label = np.arange(len(vectors))
+    while True:
+        new = np.where(linked, label[None], len(label)).min(axis=1)
+        if (new == label).all():
+            return linked.sum(axis=1) - 1, label
+        label = np.minimum(new, label)
+
+
+@pytest.mark.parametrize(("count", "groups", "spread"), [(900, 12, 0.2), (700, 1, 0.3), (40, 40, 0.1)])
+def test_links(spark, count, groups, spread):
+    vectors = clustered(np.random.default_rng(count), count, 16, groups, spread)
+    vectors[5] = vectors[3] * 2
+    vectors[count - 10 :] = vectors[0]
+    frame = spark.createDataFrame(random.Random(1).sample(rows_of(vectors) + ODD, count + len(ODD)), SCHEMA)
+    got = {r.vec_id: r for r in small_worlds.similar_vectors(frame).collect()}
+    links, label = expected_links(vectors, 0.9)
+    assert len(got) == count + len(ODD)
+    assert sum(got[i].n_links == links[i] for i in range(count)) >= 0.99 * count
+    assert [got[i].component_id for i in range(count)] == label.tolist()
+    assert all(got[i].kept == (label[i] == i) for i in range(count))
+    for vec_id, *_ in ODD:
+        assert got[vec_id].n_links == 0 and got[vec_id].component_id == vec_id
+        assert got[vec_id].kept == (vec_id is not None)
+    assert small_worlds.similar_vectors(frame.limit(0)).collect() == []
+    alone = small_worlds.similar_vectors(frame.where("vec_id >= 9001")).collect()
+    assert len(alone) == 7 and all(r.kept for r in alone)
+
+
+@pytest.mark.parametrize("scale", [1.0, 3.0])
+def test_search(spark, scale):
+    rng = np.random.default_rng(3)
+    vectors = clustered(rng, 1200, 16, 20, 0.3) * np.float32(rng.uniform(1, scale, (1200, 1)))
+    vectors[700] = vectors[600]
+    frame = spark.createDataFrame(rows_of(vectors) + ODD, SCHEMA)
+    got = {}
+    for row in collision_search.search(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(row.query_id, {})[row.rank] = (row.vec_id, row.score)
+    products = np.float64(vectors) @ np.float64(vectors).T
+    np.fill_diagonal(products, -np.inf)
+    hits = 0
+    assert sorted(got) == list(range(0, 1200, 20))
+    for query, found in got.items():
+        assert sorted(found) == list(range(1, 21))
+        listed = [found[rank] for rank in range(1, 21)]
+        assert listed == sorted(listed, key=lambda x: (-x[1], x[0]))
+        assert all(math.isclose(score, products[query, i], rel_tol=1e-12) for i, score in listed)
+        true = np.lexsort((np.arange(1200), -products[query]))[:20]
+        hits += len(set(true.tolist()) & {i for i, _ in listed})
+    assert hits >= 0.95 * 20 * len(got)
+
+
+def test_search_of_few(spark):
+    vectors = np.float32([[1, 0], [1, 0], [0, 1], [-1, 0]])
+    frame = spark.createDataFrame(rows_of(vectors) + ODD[:2], SCHEMA)
+    rows = collision_search.search(frame, F.col("vec_id") == 0).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in rows) == [(1, 1, 1.0), (2, 2, 0.0), (3, 3, -1.0)]
+    assert collision_search.search(frame.limit(0), F.col("vec_id") == 0).collect() == []
+
+
+def test_recall_on_given_vectors(spark, tables):
+    frame = spark.read.parquet(f"{tables}/embeddings.parquet")
+    rows = frame.collect()
+    ids = np.array([r.vec_id for r in rows])
+    products = np.float64([r.embedding for r in rows]) @ np.float64([r.embedding for r in rows]).T
+    np.fill_diagonal(products, -np.inf)
+    got = {}
+    for row in collision_search.search(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    true = {int(ids[i]): set(ids[np.lexsort((ids, -products[i]))[:20]].tolist()) for i in np.flatnonzero(ids % 20 == 0)}
+    assert got.keys() == true.keys()
+    assert sum(len(got[q] & true[q]) for q in true) >= 0.9 * 20 * len(true)
