@@ -35,6 +35,8 @@ DEPTH = 3
 # Bytes of text in a block, unless one text alone is longer, and of input for each bucket.
 BLOCK = 8 << 20
 BUCKET = 64 << 20
+# Keys that wait at most before a block sums them.
+SUMMED = 1 << 20
 # Stands for what precedes a text and for its end.
 EDGE = b"\0"
 # The end counts as a word; no word can be a blank.
@@ -59,29 +61,53 @@ def gram_keys(data: bytes, depth: int) -> np.ndarray:
     return keys
 
 
+class Tally:
+    """Keys with their training counts; kept short by summing what has piled up."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting = [], [], 0
+
+    def add(self, keys: np.ndarray, learned: bool) -> None:
+        self.keys.append(keys)
+        self.counts.append(np.full(len(keys), learned, np.int64))
+        self.waiting += len(keys)
+        if self.waiting >= SUMMED:
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        self.keys, self.counts, self.waiting = [keys], [counts], 0
+        return keys, counts
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 class Block:
     """Documents gathered until they fill a block."""
 
     def __init__(self, depth: int) -> None:
         self.depth, self.bytes = depth, 0
         self.data, self.ids, self.flags = [], [], []
-        self.words, self.grams, self.open = ([], []), ([], []), 0
+        self.words, self.grams = Tally(), Tally()
 
     def add(self, number: int, flags: int, data: bytes, hashes: Hashes) -> None:
-        held_out = flags & 1
+        learned = not flags & 1
         self.data.append(data)
         self.ids.append(number)
         self.flags.append(flags)
-        self.words[held_out].append(word_keys(data, hashes))
-        self.grams[held_out].append(gram_keys(data, self.depth))
+        self.words.add(word_keys(data, hashes), learned)
+        self.grams.add(gram_keys(data, self.depth), learned)
         self.bytes += len(data)
 
     def rows(self, name: str, buckets: int) -> Iterator[tuple]:
-        for kind, (learned, other) in ((WORDS, self.words), (GRAMS, self.grams)):
-            keys, counts = np.unique(np.concatenate([*learned, np.zeros(0, np.int64)]), return_counts=True)
-            more = np.setdiff1d(np.concatenate([*other, np.zeros(0, np.int64)]), keys)
-            keys = np.concatenate([keys, more])
-            counts = np.concatenate([counts, np.zeros(len(more), np.int64)])
+        for kind, tally in ((WORDS, self.words), (GRAMS, self.grams)):
+            keys, counts = tally.sums()
             dealt = bucket_of(keys, buckets)
             order = np.lexsort((keys, dealt))
             edges = np.searchsorted(dealt[order], np.arange(buckets + 1))
@@ -123,11 +149,9 @@ def pack(documents: DataFrame, held_out: Column, depth: int, buckets: int) -> Da
 
 
 def _totals(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(group["keys"]), np.int64)
-    counts = np.frombuffer(b"".join(group["counts"]), np.int64)
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
-    return keys[order[first]], np.add.reduceat(counts[order], first)
+    return summed(
+        np.frombuffer(b"".join(group["keys"]), np.int64), np.frombuffer(b"".join(group["counts"]), np.int64)
+    )
 
 
 def word_answers(group: pd.DataFrame) -> pd.DataFrame:
