@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsweave.llm import (
     collision_search,
@@ -18,7 +19,6 @@ from newsweave.llm import (
     small_worlds,
 )
 from newsweave.session import scratch_path, write_out
-from pyspark.sql import functions as F
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -106,4 +106,104 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+
+# Positions of a pattern's matches, from the pieces between them.
+_SPANS = """
+SELECT doc_id, {place} AS place, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+    'start': list_sum(list_transform(g[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+    'size': length(m[i]), 'value': v[i]}})) AS s
+FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
+             string_split_regex(t, '{pattern}') AS g FROM d)"""
+_SECRETS = [
+    ("assign", """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("login", "://[^\\s:/?#@]+:[^\\s:/?#@]+@", 0, 1),
+]
+_OP1 = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+    + " UNION ALL ".join(
+        "SELECT doc_id, place, kind, s.start AS a, s.start + s.size AS b FROM ("
+        + _SPANS.format(place=place, kind=kind, pattern=pattern, group=group)
+        + f") WHERE length(s.value) >= {least}"
+        for place, (kind, pattern, group, least) in enumerate(_SECRETS)
+    )
+    + """), l AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+    count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) FILTER (place < 3) AS base,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+    coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN l USING (doc_id)"""
+)
+
+_KNOWN = ", ".join(
+    f"('{sentence}', '{name}')" for name, listed in licences.SENTENCES.items() for sentence in listed
+)
+_TAKEN = "line"
+for _licence, _parts in licences.RULES:
+    _TAKEN = f"replace({_TAKEN}, '{''.join(f'|{part}|' for part in _parts)}', '|={_licence}|')"
+_OP2 = f"""
+WITH known(sentence, name) AS (VALUES {_KNOWN}),
+s AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        lower(parts[i]), '[^a-z0-9.]+', ' ', 'g'), '\\.+([^0-9.]|$)', ' \\1 ', 'g'),
+        '(^|[^0-9.])\\.+', ' \\1 ', 'g'), ' +', ' ', 'g')) AS sentence
+      FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+            SELECT doc_id, string_split_regex(text, '[.!?]+([ \\t\\n\\r]+|$)|[\\n\\r]+') AS parts FROM documents))),
+l AS (SELECT doc_id, '|' || string_agg(coalesce(name, '-'), '||' ORDER BY i) || '|' AS line,
+        count(name) AS n_known, coalesce(string_agg(name, ',' ORDER BY i), '') AS sentence_ids
+      FROM s LEFT JOIN known USING (sentence) WHERE sentence <> '' GROUP BY doc_id),
+t AS (SELECT doc_id, n_known, sentence_ids, {_TAKEN} AS taken FROM l)
+SELECT doc_id, coalesce(array_to_string(regexp_extract_all(taken, '\\|=([^|]+)\\|', 1), ','), '') AS licences,
+    coalesce(len(regexp_extract_all(taken, '\\|=([^|]+)\\|', 1)), 0) AS n_licences, coalesce(n_known, 0) AS n_known,
+    coalesce(len(regexp_extract_all(taken, '\\|([^|=-][^|]*)\\|', 1)), 0) AS n_left,
+    coalesce(sentence_ids, '') AS sentence_ids
+FROM documents LEFT JOIN t USING (doc_id)"""
+
+# A source is at its bound if it is when all that fill up before it are.
+_OP6 = f"""
+WITH sized AS (SELECT doc_id, source,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+        WHEN 0 THEN {mixing.WEIGHTS[0]} WHEN 1 THEN {mixing.WEIGHTS[1]} ELSE {mixing.WEIGHTS[2]} END AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size * 3.0::DOUBLE / weight, source NULLS LAST) AS k FROM w),
+c AS (SELECT *, coalesce(sum(source_size * 3) OVER before, 0)::BIGINT AS held,
+        coalesce(sum(weight) OVER before, 0)::BIGINT AS taken,
+        (sum(source_size) OVER ())::BIGINT AS words, (sum(weight) OVER ())::BIGINT AS shares
+      FROM o WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, source_size * 3 <= weight * ((words - held)::DOUBLE / (shares - taken)) AS at_bound FROM c),
+e AS (SELECT max(words) AS words, max(shares) AS shares, coalesce(sum(source_size * 3) FILTER (at_bound), 0)::BIGINT AS held,
+        coalesce(sum(weight) FILTER (at_bound), 0)::BIGINT AS taken FROM b),
+t AS (SELECT source, source_size, CASE WHEN at_bound THEN (source_size * 3)::DOUBLE
+        ELSE weight * ((e.words - e.held)::DOUBLE / (e.shares - e.taken)) END AS target FROM b, e),
+r AS (SELECT doc_id, size, source_size, target,
+        CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {mixing.DRAWS}::DOUBLE AS draw
+      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+    size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) AS taken FROM r"""
+
+_OP7 = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b
+      ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+ORACLE: dict[str, str] = {
+    "op1_secret_ledger": _OP1,
+    "op2_sentence_licences": _OP2,
+    "op6_source_mix": _OP6,
+    "op7_count_tree": _OP7,
+}
