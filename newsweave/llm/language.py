@@ -137,11 +137,12 @@ def learn(labelled: DataFrame) -> Model:
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` with lang_pred, score and ambiguous, from the text alone. A map."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    parts = (model.languages, model.code, model.weights)
+    shared = documents.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = Model(*shared.value)
         for texts in batches:
             found = [own.predict(text) for text in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous"])
