@@ -10,34 +10,46 @@ import re
 import sys
 from bisect import bisect_right
 from collections import Counter
+from functools import cached_property
 from html import unescape
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Executors get this module's code with the job; they need not have it installed.
 register_pickle_by_value(sys.modules[__name__])
 
-ANCHORS = ArrayType(
-    StructType(
-        [
-            StructField("href", StringType()),
-            StructField("text", StringType()),
-            StructField("image_candidates", ArrayType(StringType())),
-        ]
-    )
+LINKS = StructType(
+    [
+        StructField("text", StringType()),
+        StructField(
+            "links",
+            ArrayType(
+                StructType(
+                    [
+                        StructField("at", IntegerType()),
+                        StructField("href", StringType()),
+                        StructField("start", IntegerType()),
+                        StructField("end", IntegerType()),
+                    ]
+                )
+            ),
+        ),
+    ]
 )
 
-# Elements that never have content, and those whose style may name
-# a background image.
+# Elements that never have content, those whose style may name a
+# background image, and how the style names it.
 VOID = set(
     "area base basefont bgsound br col command embed frame hr image img input isindex "
     "keygen link menuitem meta nextid param source spacer track wbr".split()
 )
 STYLED = ["div", "span", "section", "article"]
+BACKGROUND = re.compile(r"url\([\"']?(.*?)[\"']?\)")
 
 MARKUP = re.compile(
     r"<(?:!--.*?(?:-->|\Z)"
@@ -48,15 +60,18 @@ MARKUP = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"'<]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
-BACKGROUND = re.compile(r"url\([\"']?(.*?)[\"']?\)")
 
 
 class _Page:
-    """Elements in document order; each knows its parent and where it ends."""
+    """Elements in document order; each knows its parent and where it ends.
+
+    The text of all links is kept once; a link knows its part of it.
+    """
 
     def __init__(self, html: str):
         self.names, self.written, self.parents, self.ends = ["#page"], [""], [-1], [None]
-        self.by_kind, self.texts = {}, {}
+        self.by_kind, self.parts, self.length = {}, [], 0
+        self.text_from, self.text_to = {}, {}
         self.open, self.open_count, self.open_links = [0], Counter(), []
         read = 0
         for token in MARKUP.finditer(html):
@@ -72,8 +87,9 @@ class _Page:
             self._close_innermost()
 
     def _read(self, text: str):
-        for link in self.open_links:
-            self.texts[link].append(unescape(text).strip())
+        if self.open_links:
+            self.parts.append(unescape(text).strip())
+            self.length += len(self.parts[-1])
 
     def _enter(self, name: str, written: str):
         here = len(self.names)
@@ -87,7 +103,7 @@ class _Page:
         self.open.append(here)
         self.open_count[name] += 1
         if name == "a":
-            self.texts[here] = []
+            self.text_from[here] = self.length
             self.open_links.append(here)
         if written.endswith("/"):
             self._close_innermost()
@@ -103,6 +119,7 @@ class _Page:
         self.ends[at] = len(self.names)
         self.open_count[self.names[at]] -= 1
         if self.open_links[-1:] == [at]:
+            self.text_to[at] = self.length
             self.open_links.pop()
 
     def attributes(self, at: int) -> dict[str, str]:
@@ -111,62 +128,111 @@ class _Page:
             for name, double, single, bare in ATTRIBUTE.findall(self.written[at])
         }
 
-    def within(self, container: int, kind: str) -> list[int]:
-        """Elements of a kind inside a container, in document order."""
+    def first(self, container: int, kind: str) -> int | None:
+        """The first element of a kind inside a container."""
         found = self.by_kind.get(kind, [])
-        first = bisect_right(found, container)
-        return found[first : bisect_right(found, self.ends[container] - 1)]
+        at = bisect_right(found, container)
+        return found[at] if at < len(found) and found[at] < self.ends[container] else None
+
+    @cached_property
+    def backgrounds(self) -> list[tuple[int, str]]:
+        """Elements with a background image in their style, and its address, in order."""
+        found = []
+        for at in sorted(at for kind in STYLED for at in self.by_kind.get(kind, [])):
+            if "background-image" in self.written[at].lower():
+                style = self.attributes(at).get("style", "")
+                if "background-image" in style:
+                    found += [(at, address) for address in BACKGROUND.findall(style)[:1]]
+        return found
+
+    def backgrounds_within(self, container: int) -> list[str]:
+        first = bisect_right(self.backgrounds, container, key=itemgetter(0))
+        last = bisect_right(self.backgrounds, self.ends[container] - 1, key=itemgetter(0))
+        return [address for _, address in self.backgrounds[first:last]]
 
 
 def _srcset_first(srcset: str) -> str:
     return srcset.split(",")[0].strip().split(" ")[0]
 
 
-def _images_near(page: _Page, anchor: int) -> list[str]:
+def _images_near(page: _Page, parent: int) -> list[str]:
     """Addresses to try for a link, in order: an image of the parent, then of the
     grandparent, then background images and a picture of the outer one only."""
-    parent = page.parents[anchor]
     containers = [at for at in (parent, page.parents[parent]) if at >= 0]
     outer = containers[-1]
     offered = []
     for container in containers:
-        for image in page.within(container, "img")[:1]:
-            image = page.attributes(image)
+        if (at := page.first(container, "img")) is not None:
+            image = page.attributes(at)
             offered += [image.get("src"), image.get("data-src")]
             offered.append(_srcset_first(image.get("srcset", "")))
-    for at in sorted(at for kind in STYLED for at in page.within(outer, kind)):
-        if "background-image" in page.written[at].lower():
-            style = page.attributes(at).get("style", "")
-            if "background-image" in style:
-                offered += BACKGROUND.findall(style)[:1]
-    for picture in page.within(outer, "picture")[:1]:
-        for source in page.within(picture, "source")[:1]:
+    offered += page.backgrounds_within(outer)
+    if (picture := page.first(outer, "picture")) is not None:
+        if (source := page.first(picture, "source")) is not None:
             offered.append(_srcset_first(page.attributes(source).get("srcset", "")))
     return [address for address in offered if address]
 
 
-def page_anchors(html: str) -> list[dict]:
-    """Every link with an address, in document order."""
+def page_links(html: str | None) -> dict | None:
+    """Every link with an address, in document order, and the text of all links once."""
     if html is None:
         return None
     page = _Page(html)
-    links = [(at, page.attributes(at)) for at in page.by_kind.get("a", [])]
+    links = []
+    for at in page.by_kind.get("a", []):
+        href = page.attributes(at).get("href")
+        if href is not None:
+            links.append(
+                {"at": at, "href": href, "start": page.text_from[at], "end": page.text_to[at]}
+            )
+    return {"text": "".join(page.parts), "links": links}
+
+
+def link_images(html: str | None, wanted: list[int]) -> list[list[str]]:
+    """Addresses of images near the links at these places; links of one parent share them."""
+    if html is None or not len(wanted):
+        return []
+    page = _Page(html)
+    parents = [page.parents[at] for at in wanted]
+    near = {parent: _images_near(page, parent) for parent in set(parents)}
+    return [near[parent] for parent in parents]
+
+
+def page_anchors(html: str | None) -> list[dict] | None:
+    """Every link with its text and the images near it."""
+    found = page_links(html)
+    if found is None:
+        return None
+    images = link_images(html, [link["at"] for link in found["links"]])
     return [
         {
-            "href": attributes["href"],
-            "text": "".join(page.texts[at]),
-            "image_candidates": _images_near(page, at),
+            "href": link["href"],
+            "text": found["text"][link["start"] : link["end"]],
+            "image_candidates": near,
         }
-        for at, attributes in links
-        if "href" in attributes
+        for link, near in zip(found["links"], images, strict=True)
     ]
 
 
-@F.pandas_udf(ANCHORS)
-def _anchors(html: pd.Series) -> pd.Series:
-    return html.map(page_anchors)
+@F.pandas_udf(LINKS)
+def _links(html: pd.Series) -> pd.DataFrame:
+    found = [page_links(one) or {"text": None, "links": None} for one in html]
+    return pd.DataFrame(found, columns=["text", "links"])
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _images(html: pd.Series, wanted: pd.Series) -> pd.Series:
+    return pd.Series(
+        [link_images(one, [] if at is None else at) for one, at in zip(html, wanted, strict=True)],
+        dtype=object,
+    )
+
+
+def links(html: Column) -> Column:
+    """``text`` and ``links``: for every link its place, ``href`` and part of the text."""
+    return _links(html)
 
 
-def anchors(html: Column) -> Column:
-    """Array of ``href, text, image_candidates`` for every link of a page."""
-    return _anchors(html)
+def images_near(html: Column, wanted: Column) -> Column:
+    """For each wanted link (by its place) the image addresses near it."""
+    return _images(html, wanted)

@@ -7,7 +7,9 @@ unbounded input are possessive or reluctant over single classes: no
 backtracking and no recursion, however long the text.
 """
 
+import json
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,36 +31,61 @@ ATTRIBUTE = r"(?s)([^\s=/>\"'<]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
 NAME_PART = r"(?s)^[^=]*=\s*"
 QUOTES = r"(?s)^([\"'])(.*)\1$"
 
-# Named characters an address is likely to hold; '&' comes last.
-NAMED_CHARACTERS = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": " ",
-}
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]{1,31});"
+REPLACEMENT = "\ufffd"
+# Characters of the old Windows code page for 0x80 to 0x9F; its gaps stand for themselves.
+OLD_PAGE = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
+
+# The standard's names of characters, as one literal; '&' itself is resolved last.
+NAMED = json.dumps(
+    {name: value for name, value in html5.items() if name.endswith(";") and value != "&"},
+    ensure_ascii=False,
+)
+
+
+def _numbered(reference: Column) -> Column:
+    """The character a numeric reference stands for.
+
+    By the standard, numbers that are no character give the replacement character, those of
+    the old Windows code page its characters, and control characters nothing.
+    """
+    digits = F.ltrim(F.regexp_extract(reference, r"^&#[xX]?([0-9A-Fa-f]+);$", 1), F.lit("0"))
+    base = F.when(F.lower(reference).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits)
+    number = F.when(digits == "", F.lit("0")).when(F.length(digits) <= 7, base).try_cast("bigint")
+    old = F.substring(F.lit(OLD_PAGE), (number - 0x7F).cast("int"), F.lit(1))
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    control = (
+        number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+        | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    )
+    return (
+        F.when(
+            number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF),
+            REPLACEMENT,
+        )
+        .when(number.between(0x80, 0x9F), old)
+        .when(control, "")
+        .otherwise(plain)
+    )
 
 
 def unescape(text: Column) -> Column:
-    """Resolve numeric and the common named character references."""
-
-    def numeric(done: Column, reference: Column) -> Column:
-        digits = F.regexp_extract(reference, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
-        code = F.when(
-            F.lower(reference).startswith("&#x"), F.lpad(digits, 8, "0")
-        ).otherwise(F.lpad(F.hex(digits.try_cast("bigint")), 8, "0"))
-        character = F.decode(F.unhex(code), "UTF-32")
+    """Resolve numeric and named character references that end with a semicolon."""
+
+    def resolve(done: Column, reference: Column) -> Column:
+        named = F.try_element_at(
+            F.from_json(F.lit(NAMED), "map<string,string>"), F.substring(reference, 2, 40)
+        )
+        character = F.when(reference.startswith("&#"), _numbered(reference)).otherwise(
+            F.coalesce(named, reference)
+        )
         return F.replace(
-            done, reference, F.when(character == "&", "&amp;").otherwise(or_blank(character))
+            done, reference, F.when(character == "&", "&amp;").otherwise(character)
         )
 
-    references = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0))
-    )
-    resolved = F.when(text.contains("&#"), F.aggregate(references, text, numeric)).otherwise(text)
-    for name, character in NAMED_CHARACTERS.items():
-        resolved = F.replace(resolved, F.lit(name), F.lit(character))
-    resolved = F.replace(resolved, F.lit("&amp;"), F.lit("&"))
+    references = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+    resolved = F.aggregate(F.array_remove(references, "&amp;"), text, resolve)
+    resolved = F.replace(F.replace(resolved, F.lit("&AMP;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
     return F.when(text.contains("&"), resolved).otherwise(text)
 
 

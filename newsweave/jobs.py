@@ -11,7 +11,6 @@ import argparse
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from newsweave import settings
 from newsweave.operators.retention import purge_sample, retention_cutoff
@@ -79,8 +78,10 @@ def main() -> None:
     spark = SparkSession.builder.appName(f"newsweave {options.job}").getOrCreate()
     for name, frame in run(spark, options).items():
         print(f"== {name}")
-        ordered = frame.orderBy(F.col("number")) if "number" in frame.columns else frame
-        ordered.show(settings.DIGEST_SIZE, truncate=False)
+        if "number" in frame.columns:
+            frame.orderBy("number").show(options.size, truncate=False)
+        else:
+            frame.show(settings.DIGEST_SIZE, truncate=False)
     spark.stop()
 
 

@@ -18,12 +18,14 @@ def has_image(image: Column) -> Column:
 def fallback_image(articles: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """Add ``fallback``: the source's default image, '' where there is none.
 
-    ``defaults`` is a small table ``source, default_image``; none is configured.
+    ``defaults`` is a table ``source, default_image``; none is configured. Of several for one
+    source the first in text order counts.
     """
     if defaults is None:
         return articles.withColumn("fallback", F.lit(""))
+    one_each = defaults.groupBy("source").agg(F.min("default_image").alias("default_image"))
     return (
-        articles.join(defaults.select("source", "default_image"), "source", "left")
+        articles.join(broadcast_if_small(materialize(one_each)), "source", "left")
         .withColumn("fallback", or_blank(F.col("default_image")))
         .drop("default_image")
     )
@@ -73,18 +75,18 @@ def enrich_images(
 ) -> DataFrame:
     """Fill in missing images in a table of any size; adds ``had_image``.
 
-    Only articles that lack an image and may have a page are joined, on
-    address, to one short row per page. All others, nearly the whole table,
-    pass by the join: they are not shuffled, and their addresses cannot pile up
-    in one join partition. The table is read once for either part.
+    Pages are looked up once per address, and the short rows found are stored, so that
+    the join with articles is between two plain tables: broadcast when measured small, and
+    otherwise one whose hot addresses adaptive execution splits. Only articles that
+    lack an image and may have a page are joined; the others, nearly the whole table,
+    pass by. The table is read once for either part.
     """
     marked = _marked(articles)
     worth_a_look = ~F.col("had_image") & may_have_page_image(
         F.col("url"), domains, settings.MAX_PAGE_URL_CHARS
     )
-    looked_up = marked.where(worth_a_look).join(
-        page_images(pages, domains, newest), "url", "left"
-    )
+    found = materialize(page_images(pages, domains, newest))
+    looked_up = marked.where(worth_a_look).join(broadcast_if_small(found), "url", "left")
     passed_by = marked.where(~worth_a_look).withColumn(
         "page_image", F.lit(None).cast("string")
     )

@@ -35,15 +35,21 @@ def keep_last(articles: DataFrame, order: list, key: str = "url") -> DataFrame:
 def cap_per_source(
     articles: DataFrame, keys: list, order: list, cap: Column | int, bound: int | None = None
 ) -> DataFrame:
-    """The first ``cap`` rows per source.
+    """The first ``cap`` rows per source; a null cap keeps none.
 
-    A ``cap`` that varies by row needs ``bound``, the largest value it takes, for
-    the early trim.
+    A ``cap`` that varies by row may come with ``bound``, the largest value it takes,
+    for the early trim; a cap over the bound ends the job rather than losing rows.
     """
     if isinstance(cap, int):
         return _first_per(articles, keys, order, cap, "_rank").drop("_rank")
-    ranked = _first_per(articles, keys, order, bound, "_rank")
-    return ranked.where(F.col("_rank") <= cap).drop("_rank")
+    window = Window.partitionBy(*keys).orderBy(*order)
+    ranked = articles.withColumn("_rank", F.row_number().over(window))
+    within = F.col("_rank") <= cap
+    if bound is not None:
+        ranked = ranked.where(F.col("_rank") <= bound)
+        over = F.raise_error(F.lit(f"a cap exceeds its bound of {bound}")).cast("boolean")
+        within = F.when(cap > bound, over).otherwise(within)
+    return ranked.where(within).drop("_rank")
 
 
 def with_published_time(articles: DataFrame, parse_rfc822: bool = False) -> DataFrame:

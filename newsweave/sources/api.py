@@ -12,7 +12,7 @@ from newsweave.schema import ARRIVAL_FIELDS, ARTICLE_FIELDS, conform
 
 NEWS_SCHEMA = (
     "data struct<news_list: array<struct<hash_id: string, title: string, content: string, "
-    "source_name: string, source_url: string, image_url: string, created_at: string, "
+    "source_name: string, source_url: string, image_url: string, created_at: variant, "
     "tags: array<string>>>>"
 )
 TOPICS_SCHEMA = (
@@ -57,13 +57,22 @@ def _usable(item: Column) -> Column:
     return present(item["title"]) & present(item["source_url"])
 
 
+def _created(item: Column, run_ts: datetime) -> Column:
+    """Publication text; a value that is not text counts as unreadable."""
+    value = item["created_at"]
+    kind = F.schema_of_variant(value)
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    unreadable = value.isNotNull() & ~kind.isin("STRING", "VOID")
+    return F.when(unreadable, F.lit(run_ts.isoformat())).otherwise(normalize_published(text, run_ts))
+
+
 def item_articles(items: DataFrame, run_ts: datetime) -> DataFrame:
     """Map items to articles; an item without title or address is left out."""
     item = F.col("item")
     articles = items.where(_usable(item)).select(
         item["title"].alias("title"),
         item["source_url"].alias("url"),
-        normalize_published(item["created_at"], run_ts).alias("published"),
+        _created(item, run_ts).alias("published"),
         or_blank(item["content"]).alias("summary"),
         F.lit(settings.API_SOURCE).alias("source"),
         F.concat(

@@ -27,7 +27,7 @@ _ENTRY = ", ".join(
         "published: string",
         "description: string",
         "summary: string",
-        "content: array<struct<_VALUE: string>>",
+        "content: array<string>",
         "`content:encoded`: array<string>",
         "category: array<struct<_VALUE: string, _term: string>>",
         "`dc:subject`: array<string>",
@@ -128,7 +128,7 @@ def entry_record(entry: Column) -> Column:
         entry["guid"]["_VALUE"],
     )
     contents = F.concat(
-        _all(F.transform(entry["content"], lambda content: content["_VALUE"])),
+        _all(entry["content"]),
         _all(entry["content:encoded"]),
     )
     attached = F.concat(

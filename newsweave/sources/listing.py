@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave import settings
-from newsweave.functions.anchors import anchors
+from newsweave.functions.anchors import images_near, links
 from newsweave.functions.text import or_blank
 from newsweave.functions.urls import absolutize_href, first_valid_image, normalize_image_url
 from newsweave.schema import ARRIVAL_FIELDS, ARTICLE_FIELDS, conform
@@ -25,29 +25,34 @@ def harvest_links(pages: DataFrame, base: str, cap: int | None = None) -> DataFr
     """On-site article links of pages ``page_id, html``: the first ``cap`` of each.
 
     Pages without any such link are dropped before the parser sees them, and
-    the cap is a slice of the page's own links: no shuffle.
+    the cap is a slice of the page's own links: no shuffle. Images are looked for
+    around the links that are kept, and no others.
     """
-    links = F.filter(
-        F.col("links"),
+    kept = F.filter(
+        F.col("found.links"),
         lambda link: _article_link(link["href"])
         & absolutize_href(link["href"], base).isNotNull()
-        & (F.length(link["text"]) >= MIN_TITLE_CHARS),
+        & (link["end"] - link["start"] >= MIN_TITLE_CHARS),
     )
     if cap is not None:
-        links = F.slice(links, 1, cap)
-    found = (
+        kept = F.slice(kept, 1, cap)
+    chosen = (
         pages.where(_article_link(F.col("html")))
-        .select("page_id", anchors(F.col("html")).alias("links"))
-        .select("page_id", F.posexplode(links).alias("position", "link"))
+        .select("page_id", "html", links(F.col("html")).alias("found"))
+        .select("page_id", "html", F.col("found.text").alias("text"), kept.alias("kept"))
+        .where(F.size("kept") > 0)
     )
+    near = images_near(F.col("html"), F.transform("kept", lambda link: link["at"]))
+    found = chosen.select("page_id", "text", "kept", near.alias("near")).select(
+        "page_id", "text", F.posexplode(F.arrays_zip("kept", "near")).alias("position", "link")
+    )
+    start, end = F.col("link.kept.start"), F.col("link.kept.end")
     return found.select(
         "page_id",
         "position",
-        F.col("link.text").alias("title"),
-        absolutize_href(F.col("link.href"), base).alias("url"),
-        or_blank(
-            normalize_image_url(first_valid_image(F.col("link.image_candidates")))
-        ).alias("image"),
+        F.substring("text", start + 1, end - start).alias("title"),
+        absolutize_href(F.col("link.kept.href"), base).alias("url"),
+        or_blank(normalize_image_url(first_valid_image(F.col("link.near")))).alias("image"),
     )
 
 

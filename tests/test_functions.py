@@ -1,13 +1,15 @@
 """Scalar expressions against known values and plain Python."""
 
 import random
+import time
 from datetime import datetime, timezone
+from html import unescape as plain_unescape
 from html.parser import HTMLParser
 
 import pytest
 
 from newsweave.functions import dates, html, text, urls
-from newsweave.functions.anchors import page_anchors
+from newsweave.functions.anchors import link_images, page_anchors, page_links
 
 RUN_TS = datetime(2025, 1, 13, 15, 30, 0, 250000)
 
@@ -240,6 +242,18 @@ def test_unescape(evaluate):
     assert evaluate(html.unescape, given) == wanted
 
 
+def test_unescape_like_the_standard(evaluate):
+    given = ["&#9999999;", "&#99999999999999999999;", "&#xD800;x", "&#0;&#0000;", "&#x110000;", "&#xFFFFFFFFFFF;", "caf&eacute;.jpg",
+             "&hellip;&NotEqualTilde;&nosuchname;", "&#150;&#x80;&#129;", "&#1;&#xFFFF;&#13;", "&#0000000000065;", "&AMP;lt;", "&#x26;eacute;"]
+    wanted = [plain_unescape(one) for one in given]
+    assert evaluate(html.unescape, given) == wanted
+
+
+def test_bad_references_end_no_job(evaluate):
+    given = ['<img src="https://example.com/a&#9999999;.jpg">', '<img src="https://example.com/a&#xD800;&#0;.jpg">']
+    assert all(image.startswith("https://example.com/a\ufffd") for image in evaluate(html.first_image, given))
+
+
 class _Tree(HTMLParser):
     """Nested nodes [name, attributes, children, parent], built the plain way."""
 
@@ -342,3 +356,23 @@ def test_anchor_background_only_from_outer_element():
 def test_anchors_survive_broken_markup():
     page = "</p></div><ul><li><a href='1'>a<li><a href='2'>b</ul><p>" + "<b>" * 5000 + "<a href='3'>c"
     assert [(one["href"], one["text"]) for one in page_anchors(page)] == [("1", "ab"), ("2", "b"), ("3", "c")]
+
+
+def test_wide_pages_take_time_in_proportion():
+    def seconds(count):
+        page = "<div>" + "".join(f"<p><a href='/p/{i}'>title of {i}</a><img src='{i}.jpg'></p>" for i in range(count))
+        page += "<a href='/p/x'>flat" * count
+        start = time.perf_counter()
+        found = page_links(page)
+        link_images(page, [link["at"] for link in found["links"]])
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(32_000) < 24 * max(seconds(4000), 0.05)
+
+
+def test_unclosed_links_keep_one_copy_of_the_text():
+    page = "".join(f"<a href='/p/{i}'>text {i} " for i in range(8000))
+    found = page_links(page)
+    assert len(found["text"]) < len(page)
+    assert found["links"][7999]["end"] - found["links"][7999]["start"] == len("text 7999")

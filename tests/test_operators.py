@@ -46,6 +46,11 @@ def test_caps(make_articles):
     assert {r.source: r["count"] for r in fixed.groupBy("source").count().collect()} == {"a": 3, "b": 2, "c": 3}
     by_row = ranking.cap_per_source(given, ["source"], ARRIVAL, F.when(F.col("source") == "a", 4).otherwise(1), 4)
     assert sorted(r.position for r in by_row.collect()) == [0, 1, 2, 3, 5, 7]
+    cap = F.when(F.col("source") == "a", 4).when(F.col("source") == "b", 1)
+    unbounded = ranking.cap_per_source(given, ["source"], ARRIVAL, cap)
+    assert sorted(r.position for r in unbounded.collect()) == [0, 1, 2, 3, 5]
+    with pytest.raises(Exception, match="exceeds its bound of 3"):
+        ranking.cap_per_source(given, ["source"], ARRIVAL, F.lit(5), 3).collect()
 
 
 def test_newest_first_is_stable_and_puts_undated_last(make_articles):
@@ -112,7 +117,9 @@ def test_pages_landed_twice_do_not_multiply_articles(make_articles, pages):
 
 
 def test_fallback_images(make_articles, pages, spark):
-    defaults = spark.createDataFrame([("example.com", "https://e.com/default.jpg")], "source string, default_image string")
+    defaults = spark.createDataFrame(
+        [("example.com", "https://e.com/default.jpg"), ("example.com", "https://e.com/other.jpg")],
+        "source string, default_image string")
     done = images.enrich_images(make_articles(MIXED), pages, ["bbc.com"], ["captured"], defaults)
     assert [r.image for r in done.orderBy("position").collect()] == [
         "https://cdn.example.com/new.jpg"] + ["https://e.com/default.jpg"] * 2 + [

@@ -69,7 +69,7 @@ def test_enriching_unique_articles_adds_no_shuffle_of_them(table, no_broadcast):
 def test_only_articles_worth_a_look_are_joined(table, no_broadcast):
     articles, pages = table
     text = plan(images.enrich_images(articles, pages, ["bbc.com"]))
-    assert shuffles(text) == 2 and "Union" in text
+    assert shuffles(text) <= 1 and "Union" in text
 
 
 def test_small_batches_are_broadcast_to_the_store(table):

@@ -6,6 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import comparable, oracle_connection, run_oracle
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,7 +19,7 @@ def connection():
     return oracle_connection(SF_DIR)
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_equals_sql(spark, connection, name):
     frame = queries()[name](spark, SF_DIR)
     plan = frame._jdf.queryExecution().executedPlan().toString()
@@ -30,7 +32,8 @@ def test_equals_sql(spark, connection, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= queries().items() and ORACLE.items() <= oracle_sql().items()
 
 
 def test_entry(spark):
