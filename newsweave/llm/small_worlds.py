@@ -5,7 +5,8 @@ builds a layered graph whose links are chosen for diversity, and every point que
 shard: greedily down the layers, then with a beam over the lowest. A query whose beam ends
 full of links searches again with twice the beam. An audit compares some queries of each
 group with the whole shard; while it finds less than the wanted share of links, all of the group
-search again with a wider beam. What is found is verified by its cosine in double precision.
+search again with a wider beam. A beam as wide as a good part of the shard is the shard itself,
+compared point by point. What is found is verified by its cosine in double precision.
 
 Links are not listed: a query returns how many it has in a shard and one star link for the
 component of what it found, so a group of equal or near vectors never becomes all its pairs.
@@ -27,7 +28,9 @@ from newsweave.session import write_out
 # Links of a point in a layer (twice as many in the lowest), and the beam while building.
 LINKS = 12
 BUILD_BEAM = 48
-BEAM = 48
+BEAM = 24
+# A beam over this share of a shard costs more than all of its points.
+WHOLE = 1 / 8
 # Points put into the graph, or searched for, at once.
 TOGETHER = 256
 # Beam entries opened in one step.
@@ -84,13 +87,16 @@ def search_layer(
 
 
 def diverse(vectors: np.ndarray, points: np.ndarray, cosines: np.ndarray, keep: int) -> np.ndarray:
-    """Of candidates, best first, those nearer to their point than to one kept before.
+    """Of candidates, best first, half the places for the nearest, and the other half for
+    those nearer to their point than to one kept before.
 
-    Places left over go to the best of the others. Returns ``keep`` columns, -1 for none.
+    The nearest hold a dense group together, the others lead out of it. Places left over go
+    to the best of the rest. Returns ``keep`` columns, -1 for none.
     """
     between = np.matmul(vectors[points], vectors[points].transpose(0, 2, 1))
-    kept = np.zeros(points.shape, bool)
-    for at in range(points.shape[1]):
+    kept = points >= 0
+    kept[:, keep // 2 :] = False
+    for at in range(keep // 2, points.shape[1]):
         closest = np.where(kept, between[:, at], -2.0).max(axis=1)
         kept[:, at] = (points[:, at] >= 0) & (cosines[:, at] > closest) & (kept.sum(axis=1) < keep)
     rank = np.where(points < 0, 2, np.where(kept, 0, 1)) * points.shape[1] + np.arange(points.shape[1])
@@ -124,6 +130,8 @@ class Graph:
             batch = np.arange(done, min(count, done + min(done, TOGETHER)))
             graph._insert(batch, tall)
             done += len(batch)
+        graph._reach_all()
+        layers = graph.layers
         mapped = [np.where(layer >= 0, order[layer], -1)[place] for layer in layers]
         built = cls(vectors, mapped)
         built.top = int(order[0])
@@ -177,6 +185,30 @@ class Graph:
             near, every = np.take_along_axis(close, order, axis=1), np.take_along_axis(every, order, axis=1)
             layer[targets] = diverse(self.vectors, every, near, size)
 
+    def _reach_all(self) -> None:
+        """Give every point that no path of the lowest layer leads to a link from its nearest."""
+        layer, seen = self.layers[0], np.zeros(len(self.vectors), bool)
+
+        def follow(start: int) -> None:
+            seen[start], edge = True, np.array([start])
+            while len(edge):
+                own = layer[edge]
+                edge = np.unique(own[(own >= 0) & ~seen[own]])
+                seen[edge] = True
+
+        follow(self.top)
+        extra: dict[int, list[int]] = {}
+        while not seen.all():
+            lost = int(np.argmin(seen))
+            near = np.where(seen, self.vectors @ self.vectors[lost], -2.0)
+            extra.setdefault(int(np.argmax(near)), []).append(lost)
+            follow(lost)
+        if extra:
+            more = np.full((len(layer), max(map(len, extra.values()))), -1, np.int64)
+            for source, targets in extra.items():
+                more[source, : len(targets)] = targets
+            self.layers[0] = np.concatenate([layer, more], axis=1)
+
     def query(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         entries = np.full((len(queries), 1), self.top, np.int64)
         for layer in self.layers[:0:-1]:
@@ -188,6 +220,12 @@ class Graph:
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         left = np.arange(len(queries))
         while len(left):
+            if beam > WHOLE * len(self.vectors):
+                for at in range(0, len(left), TOGETHER):
+                    near = queries[left[at : at + TOGETHER]] @ self.vectors.T >= least
+                    for query, own in zip(left[at : at + TOGETHER].tolist(), near, strict=True):
+                        found[query] = np.flatnonzero(own)
+                break
             more = []
             for at in range(0, len(left), TOGETHER):
                 some = left[at : at + TOGETHER]
@@ -206,7 +244,7 @@ class Graph:
         beam = BEAM
         while True:
             found = sum(map(len, self.within(queries[some], least, beam)))
-            if found >= RECALL * true or beam >= len(self.vectors):
+            if found >= RECALL * true or beam > WHOLE * len(self.vectors):
                 return self.within(queries, least, beam)
             beam *= 2
 
