@@ -214,10 +214,14 @@ BODIES = {
         qualify row_number() over (partition by url order by ord) = 1""",
     "source_cap": """select ord, source, title, url from articles
         qualify row_number() over (partition by source order by ord) <= 3""",
-    "latest_by_published": f"select ord, published, {stamp(published_ts('published'))} as published_ts from articles",
+    "latest_by_published": f"""select ord, published, {stamp(published_ts('published'))} as published_ts,
+          row_number() over (order by coalesce({published_ts('published')}, timestamp '0001-01-01 00:00:00') desc, ord)
+            as place from articles""",
     "number_articles": f"""select row_number() over (order by {published_ts('published')} desc nulls last, ord) as place,
         ord from articles""",
-    "top_n_digest": f"""select e.ord, e.title, e.url, e.published, e.final_image as image, e.had_image
+    "top_n_digest": f"""select e.ord, e.title, e.url, e.published, e.final_image as image, e.had_image,
+          row_number() over (order by e.had_image desc,
+            coalesce({published_ts('e.published')}, timestamp '0001-01-01 00:00:00') desc, e.ord) as place
         from (select * from articles where url <> ''
               qualify row_number() over (partition by url order by ord) = 1
               order by coalesce({published_ts('published')}, timestamp '0001-01-01 00:00:00') desc, ord
@@ -233,10 +237,11 @@ BODIES = {
     "page_meta_image": "select url, page_image from page_images",
     "srcset_first": """select ord, split_part(trim(split_part('  ' || image || ' 1x', ',', 1)), ' ', 1)
         as candidate from articles""",
-    "enrich_images": "select ord, url, final_image as image, had_image from enriched",
+    "enrich_images": """select ord, url, final_image as image, had_image,
+          row_number() over (order by had_image desc, ord) as place from enriched""",
     "fallback_image": """select e.ord, case when e.had_image or e.final_image <> '' then e.final_image
-          else coalesce('https://cdn.example.com/default/' || s.s_nationkey, '') end as image
-        from enriched e left join suppliers s on s.source = e.source and s.s_acctbal > 4000""",
+          else coalesce('https://cdn.example.com/default/' || lpad(cast(s.s_nationkey as varchar), 3, '0'), '') end as image
+        from enriched e left join suppliers s on s.source = e.source""",
     "image_coverage": f"""select source, false as overall, {COVERAGE} from articles group by source
         union all select null, true, {COVERAGE} from articles""",
     "coverage_gain": """select total, before_percent, after_percent,
@@ -284,6 +289,12 @@ BODIES = {
         from api_capped where title <> '' and url <> ''""",
     "api_rejects": """select category, count(*) as rejected from api_capped
         where title = '' or url = '' group by category""",
+    "unreadable_responses": f"""select distinct category, payload_id, 'unreadable' as reason
+        from (select list_extract({CATEGORIES!r}, cast(ord % 11 as int) + 1) as category,
+                cast(floor(ord / 200) as bigint) * 100 + ord % 11 as payload_id from articles)
+        where payload_id % 13 = 5""",
+    "unconfigured_feeds": """select distinct 'unknown' || source_rank as name, payload_id, 'unconfigured' as reason
+        from feed_items where source_rank % 5 = 0""",
     "category_cap_window": f"""select category, ord, title from (
           select ord, title, list_extract({CATEGORIES!r}, cast(ord % 11 as int) + 1) as category from articles)
         left join category_dim using (category)
@@ -298,8 +309,9 @@ BODIES = {
     "union_sources": """select title, url, source, image from articles
         union all select null, url, 'pages', null from pages""",
     "daily_digest": """select source_rank, payload_id, position, title, url, published, summary, source,
-          tags_text, image, had_image from collected_images
-        order by ts desc, source_rank, payload_id, position limit 50""",
+          tags_text, image, had_image,
+          row_number() over (order by had_image desc, ts desc, source_rank, payload_id, position) as place
+        from (select * from collected_images order by ts desc, source_rank, payload_id, position limit 50)""",
     "full_digest": """select source_rank, payload_id, position, title, url, published, image, had_image
         from collected_images""",
     "article_id": """select ord, substr(md5(url), 1, 16) || '_20240131' as article_id,
@@ -315,6 +327,11 @@ BODIES = {
         from (select a.url, s.url is not null as known from articles a left join stored s on a.url = s.url
               where a.scraped_at >= {SPLIT})""",
     "store_round_trip": f"select url, title, article_id, {stamp('scraped_at')} as scraped_at from merged",
+    "store_last_wins": f"""select url, title, {stamp('scraped_at')} as scraped_at from (
+          select url, ord, title, scraped_at, 1 as saved from articles
+          union all select url, ord, 'again ' || title, scraped_at, 2 from articles where ord % 2 = 0
+          union all select url, ord, 'older ' || title, scraped_at - interval 90 day, 3 from articles where ord % 3 = 0) l
+        where url <> '' qualify row_number() over (partition by url order by saved desc, l.scraped_at desc, ord desc) = 1""",
     "store_purge": f"""select url, article_id, {stamp('scraped_at')} as scraped_at from merged
         where scraped_at >= {CUTOFF}""",
     "purge_keep": f"select ord, url, {stamp('scraped_at')} as scraped_at from articles where scraped_at >= {CUTOFF}",
@@ -328,7 +345,8 @@ BODIES = {
           count(*) as total_remaining, '2024-01-17T00:00:00' as cutoff_date from articles""",
     "purge_sample": f"""select title, source, {stamp('scraped_at')} as scraped_at from articles
         where scraped_at < {CUTOFF} order by articles.scraped_at, ord limit 5""",
-    "recent_articles": f"""select url, title, {stamp('scraped_at')} as scraped_at from (
+    "recent_articles": f"""select url, title, {stamp('scraped_at')} as scraped_at,
+          row_number() over (order by u.scraped_at desc, url) as place from (
           select * from prepared where url <> ''
           qualify row_number() over (partition by url order by scraped_at desc, ord desc) = 1) u
         where scraped_at >= timestamp '2024-01-24 00:00:00' order by u.scraped_at desc, url limit 100""",
@@ -343,12 +361,16 @@ BODIES = {
           (select count(*) from stored where scraped_at < {PURGED}) as deleted_count,
           (select count(*) from stored where scraped_at >= {PURGED}) + count(*) filter (where not known)
             as total_articles,
-          count(*) as listed
-        from (select i.url, s.url is not null as known from (
+          count(*) as listed, true as purged,
+          (select count(*) - count(distinct url) filter (where url <> '') from articles
+            where scraped_at >= {SPLIT}) as removed,
+          count(*) filter (where final_image <> '') as with_image
+        from (select i.url, s.url is not null as known, e.final_image from (
                 select * from (select * from articles where url <> '' and scraped_at >= {SPLIT}
                   qualify row_number() over (partition by url order by ord) = 1)
                 order by coalesce({published_ts('published')}, timestamp '0001-01-01 00:00:00') desc, ord
                 limit 50) i
+              join enriched e on e.ord = i.ord
               left join stored s on s.url = i.url and s.scraped_at >= {PURGED})""",
     "article_count": "select count(*) as total_articles from articles",
     "store_statistics": """select source, count(*) as count, (select count(*) from merged) as total_articles,
@@ -375,7 +397,7 @@ BODIES = {
     "daily_arrivals": """select cast(cast(scraped_at as date) as varchar) as day, source, count(*) as articles
         from articles group by 1, 2""",
     "stream_ingest": "select source_rank, payload_id, position, title, url, image from feed_articles",
-    "stream_dedup": "select distinct url from articles where url <> ''",
+    "stream_dedup": "select distinct url, true as whole from articles where url <> ''",
     "stream_upsert": f"select url, title, {stamp('scraped_at')} as scraped_at from merged",
     "stream_daily_arrivals": """select cast(cast(scraped_at as date) as varchar) as day, source,
           count(*) as articles from articles group by 1, 2""",

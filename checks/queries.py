@@ -44,6 +44,12 @@ def moment(column: str) -> Column:
     return F.concat(F.substring(plain, 1, 19), F.lit("."), fraction).alias(column)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """The rows with their place in the order they come in."""
+    counted = df.withColumn("_at", F.monotonically_increasing_id())
+    return ranking.number_rows(counted, ["_at"], "place").drop("_at")
+
+
 def tags_text(df: DataFrame) -> DataFrame:
     return df.withColumn("tags_text", F.array_join("tags", "|"))
 
@@ -77,7 +83,8 @@ def latest_by_published(spark, sf_dir):
     dated = ranking.with_published_time(views.articles(spark, sf_dir)).select(
         "ord", "published", "published_ts"
     )
-    return ranking.newest_first(dated, ["ord"]).select("ord", "published", moment("published_ts"))
+    ordered = ranking.newest_first(dated, ["ord"])
+    return placed(ordered.select("ord", "published", moment("published_ts")))
 
 
 @query
@@ -96,7 +103,7 @@ def top_n_digest(spark, sf_dir):
         domains=DOMAINS,
         reread=True,
     )
-    return chosen.select("ord", "title", "url", "published", "image", "had_image")
+    return placed(chosen.select("ord", "title", "url", "published", "image", "had_image"))
 
 
 # Images
@@ -141,15 +148,18 @@ def enrich_images(spark, sf_dir):
     enriched = images.enrich_images(
         views.articles(spark, sf_dir), views.pages_meta(spark, sf_dir), DOMAINS
     )
-    return images.with_images_first(enriched.select("ord", "url", "image", "had_image"), ["ord"])
+    narrow = enriched.select("ord", "url", "image", "had_image")
+    return placed(images.with_images_first(narrow, ["ord"]))
 
 
 @query
 def fallback_image(spark, sf_dir):
-    """Default images by source, one per supplier well in credit."""
-    in_credit = views.table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 4000)
-    nation = F.col("s_nationkey").cast("string")
-    defaults = in_credit.select(
+    """Default images by source, two for every third supplier."""
+    suppliers = views.table(spark, sf_dir, "supplier")
+    again = suppliers.where(F.col("s_suppkey") % 3 == 0).withColumn("s_nationkey", F.col("s_nationkey") + 100)
+    suppliers = suppliers.select("s_suppkey", "s_nationkey").unionByName(again.select("s_suppkey", "s_nationkey"))
+    nation = F.lpad(F.col("s_nationkey").cast("string"), 3, "0")
+    defaults = suppliers.select(
         F.concat(F.lit("src"), F.col("s_suppkey").cast("string"), F.lit(".example.com")).alias("source"),
         F.concat(F.lit("https://cdn.example.com/default/"), nation).alias("default_image"),
     )
@@ -270,6 +280,20 @@ def api_rejects(spark, sf_dir):
     return api.api_rejects(api.api_items(api.with_category_cap(payloads, dims.category_dim(spark))))
 
 
+@query
+def unreadable_responses(spark, sf_dir):
+    return api.unreadable_responses(views.api_payloads(spark, sf_dir))
+
+
+@query
+def unconfigured_feeds(spark, sf_dir):
+    """Feed documents of which some are filed under names that no source has."""
+    rank = F.col("source_rank")
+    name = F.when(rank % 5 == 0, F.concat(F.lit("unknown"), rank.cast("string"))).otherwise("techcrunch")
+    filed = views.feed_payloads(spark, sf_dir).select(name.alias("name"), "payload_id", "payload")
+    return feeds.unconfigured_feeds(filed, dims.source_dim(spark))
+
+
 @query
 def category_cap_window(spark, sf_dir):
     """The configured cap per category over a table of already parsed items."""
@@ -281,8 +305,7 @@ def category_cap_window(spark, sf_dir):
     limited = filed.join(known, "category", "left").withColumn(
         "cap", F.coalesce("max_limit", F.lit(settings.UNKNOWN_CATEGORY_CAP))
     )
-    bound = max(cap for cap, _ in settings.API_CATEGORIES.values())
-    capped = ranking.cap_per_source(limited, ["category"], ["ord"], F.col("cap"), bound)
+    capped = ranking.cap_per_source(limited, ["category"], ["ord"], F.col("cap"))
     return capped.select("category", "ord", "title")
 
 
@@ -334,7 +357,7 @@ def _collected(spark, sf_dir) -> DataFrame:
 def daily_digest(spark, sf_dir):
     """The flagship: landed payloads to the newest unique articles with images."""
     chosen = digests.digest(_collected(spark, sf_dir), views.pages_meta(spark, sf_dir), domains=DOMAINS)
-    return tags_text(chosen).select(*ARRIVAL, *DETAIL, "had_image")
+    return placed(tags_text(chosen).select(*ARRIVAL, *DETAIL, "had_image"))
 
 
 @query
@@ -387,6 +410,21 @@ def store_round_trip(spark, sf_dir):
     return store.current().select("url", "title", "article_id", moment("scraped_at"))
 
 
+@query
+def store_last_wins(spark, sf_dir):
+    """Later saves with equal and with older times, under batch names that sort before."""
+    store = ArticleStore(spark, scratch_path(spark, "store"))
+    a = views.articles(spark, sf_dir).select("ord", "url", "title", "scraped_at")
+    store.save(a, "9", ["scraped_at", "ord"])
+    again = a.where(F.col("ord") % 2 == 0).withColumn("title", F.concat(F.lit("again "), "title"))
+    store.save(again, "10", ["scraped_at", "ord"])
+    older = a.where(F.col("ord") % 3 == 0).withColumns(
+        {"title": F.concat(F.lit("older "), "title"), "scraped_at": F.expr("scraped_at - interval 90 days")}
+    )
+    store.save(older, "1", ["scraped_at", "ord"])
+    return store.current().select("url", "title", moment("scraped_at"))
+
+
 @query
 def store_purge(spark, sf_dir):
     """What a saved, purged and compacted store still holds."""
@@ -424,14 +462,14 @@ def purge_sample(spark, sf_dir):
 def recent_articles(spark, sf_dir):
     unique = ranking.keep_last(views.articles(spark, sf_dir), ["scraped_at", "ord"])
     recent = retention.recent_articles(unique, AS_OF)
-    return recent.select("url", "title", moment("scraped_at"))
+    return placed(recent.select("url", "title", moment("scraped_at")))
 
 
 @query
 def store_recent(spark, sf_dir):
     store = ArticleStore(spark, scratch_path(spark, "store"))
     store.save(views.articles(spark, sf_dir), "1", ["scraped_at", "ord"])
-    return store.recent(AS_OF).select("url", "title", moment("scraped_at"))
+    return placed(store.recent(AS_OF).select("url", "title", moment("scraped_at")))
 
 
 @query
@@ -485,6 +523,9 @@ def daily_job(spark, sf_dir):
         shown["purge"].select("deleted_count").scalar().alias("deleted_count"),
         shown["total"].select("total_articles").scalar().alias("total_articles"),
         shown["urls"].agg(F.count("*")).scalar().alias("listed"),
+        shown["purge"].select("success").scalar().alias("purged"),
+        shown["duplicates"].select("removed").scalar().alias("removed"),
+        shown["coverage"].where("overall").select("with_image").scalar().alias("with_image"),
     )
 
 
@@ -573,8 +614,14 @@ def stream_ingest(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     out = scratch_path(spark, "unique")
     unique = streaming.stream_unique(_landed_articles(spark, sf_dir), "60 days", ["ord"])
-    streaming.write_available(unique.select("url"), out, scratch_path(spark, "progress"))
-    return spark.read.schema("url string").parquet(out)
+    kept = unique.select("ord", "url", "title", "source")
+    streaming.write_available(kept, out, scratch_path(spark, "progress"))
+    # Any copy may pass, but it passes whole.
+    a = views.articles(spark, sf_dir).select("ord", "url", "title", "source", F.lit(True).alias("whole"))
+    read = spark.read.schema(kept.schema).parquet(out)
+    return read.join(a, ["ord", "url", "title", "source"], "left").select(
+        "url", F.coalesce("whole", F.lit(False)).alias("whole")
+    )
 
 
 @query
@@ -588,14 +635,9 @@ def stream_upsert(spark, sf_dir):
 
 @query
 def stream_daily_arrivals(spark, sf_dir):
-    """Days that are final once a later arrival has moved the watermark past them."""
+    """Daily counts kept up to date as articles land."""
     out = scratch_path(spark, "arrivals")
     counts = streaming.stream_daily_arrivals(_landed_articles(spark, sf_dir), "60 days")
-    name = "arrivals_" + out.rsplit("-", 1)[1]
-    (
-        counts.writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", scratch_path(spark, "progress"))
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    day = F.date_from_unix_date((F.unix_seconds("day.start") / 86400).cast("int"))
-    return spark.table(name).select(day.cast("string").alias("day"), "source", "articles")
+    streaming.daily_arrivals_available(counts, out, scratch_path(spark, "progress"))
+    counted = streaming.read_daily_arrivals(spark, out)
+    return counted.withColumn("day", F.col("day").cast("string"))

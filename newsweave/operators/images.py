@@ -11,6 +11,10 @@ from newsweave.operators.ranking import keep_last
 from newsweave.session import broadcast_if_small, materialize
 
 
+# Addresses that are handed to the page scan as a filter.
+LISTED = 500
+
+
 def has_image(image: Column) -> Column:
     return present(strip(image))
 
@@ -119,16 +123,22 @@ def enrich_few(
 ) -> DataFrame:
     """``enrich_images`` for a digest-sized table: only its own pages are parsed.
 
-    The articles are computed once. Their addresses, at most as many as the
-    digest has rows and each short enough to be looked at, are then broadcast to
-    the page scan, so that no HTML is shuffled or parsed for other articles.
+    The articles are computed once. Their addresses, each short enough to be looked at,
+    then choose the pages: a short list is a filter of the page scan itself, which skips
+    files sorted or partitioned by address; a longer one is broadcast to it when measured
+    small. No HTML is shuffled or parsed for other articles.
     """
     few = materialize(articles)
     wanted = few.where(
         ~has_image(F.col("image"))
         & may_have_page_image(F.col("url"), domains, settings.MAX_PAGE_URL_CHARS)
     ).select("url")
-    own_pages = pages.join(broadcast_if_small(wanted.distinct()), "url", "left_semi")
+    addresses = wanted.distinct()
+    listed = [row.url for row in addresses.limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:
+        own_pages = pages.where(F.col("url").isin(listed))
+    else:
+        own_pages = pages.join(broadcast_if_small(addresses), "url", "left_semi")
     return enrich_unique(few, own_pages, domains, newest, defaults)
 
 

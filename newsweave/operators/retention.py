@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave import settings
@@ -52,6 +52,12 @@ def purge_sample(
     )
 
 
+def failed_purge(spark: SparkSession, cutoff: datetime) -> DataFrame:
+    """The report of a purge that could not be done."""
+    kinds = "success boolean, dry_run boolean, deleted_count bigint, would_delete_count bigint, total_remaining bigint, cutoff_date string"
+    return spark.createDataFrame([(False, False, 0, None, None, cutoff.isoformat())], kinds)
+
+
 def purge_report(articles: DataFrame, cutoff: datetime, dry_run: bool = False) -> DataFrame:
     """Outcome of a purge as one row; nothing matched gives the same shape."""
     expired = F.count_if(scraped_before(cutoff))

@@ -11,23 +11,24 @@ from newsweave.functions.dates import newest_first_key
 from newsweave.operators.images import (
     count_feed_lookups,
     enrich_few,
-    enrich_unique,
+    enrich_images,
     with_images_first,
 )
 from newsweave.operators.ranking import (
     keep_first,
     newest_first,
+    number_rows,
     with_published_time,
 )
 from newsweave.schema import ARRIVAL
-from newsweave.session import broadcast_if_small, materialize
+from newsweave.session import broadcast_if_small, materialize, write_out
 from newsweave.sources.api import api_articles
 from newsweave.sources.dims import category_dim, source_rows
 from newsweave.sources.feeds import feed_articles
 from newsweave.sources.listing import listing_articles
 
-# Past this size a digest is a table: its rank window would no longer be small.
-FEW = 10_000
+# Rows of an address, a date and an arrival that one task may sort and hold.
+ONE_TASK = 100_000
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
@@ -66,19 +67,22 @@ def digest_order(arrival: list = ARRIVAL) -> list[Column]:
 
 
 def newest_unique(
-    articles: DataFrame, size: int, arrival: list, parse_rfc822: bool, reread: bool
+    articles: DataFrame, size: int | None, arrival: list, parse_rfc822: bool
 ) -> DataFrame:
-    """The ``size`` newest of the first arrivals per address.
+    """The ``size`` newest of the first arrivals per address; all of them without a size.
 
-    With ``reread`` the choice is made on addresses and dates alone, and the few
-    chosen rows are then picked from a second scan: no text is ever shuffled.
+    The choice is made on addresses and dates alone, and the chosen rows are then picked
+    from a second scan: no text is sorted or shuffled for it. A cut that one task may hold
+    is a distributed top N; a larger one is made by numbering a range sort.
     """
-    narrow = articles.select("url", "published", *arrival) if reread else articles
+    narrow = articles.select("url", "published", *arrival)
     unique = with_published_time(keep_first(narrow, arrival), parse_rfc822)
-    top = newest_first(unique, arrival).limit(size)
-    if not reread:
-        return top
-    chosen = materialize(top.select("published_ts", *arrival))
+    if size is not None and size <= ONE_TASK:
+        unique = newest_first(unique, arrival).limit(size)
+    elif size is not None:
+        numbered = number_rows(unique.drop("url", "published"), digest_order(arrival), "_place")
+        unique = numbered.where(F.col("_place") <= size)
+    chosen = materialize(unique.select("published_ts", *arrival))
     return articles.join(broadcast_if_small(chosen), arrival)
 
 
@@ -96,19 +100,15 @@ def digest(
 
     First arrival per address, newest first, then cut, then enriched: pages are
     only looked up for rows that made the cut. Rows that had an image come
-    first. Set ``reread`` when ``articles`` is a stored table, cheap to scan
-    twice; leave it off for freshly parsed ones.
+    first. Freshly parsed articles are first written to a working table, so that they
+    are parsed once; ``reread`` says that ``articles`` is a stored table already. The
+    arrival columns name a row.
 
     No size gives all unique articles, unsorted: ``had_image``, ``published_ts`` and
     the arrival columns tell their order without one more shuffle of the table.
     """
-    if size is not None and size <= FEW:
-        top = newest_unique(articles, size, arrival, parse_rfc822, reread)
-        enriched = enrich_few(top, pages, domains, newest_page)
-    else:
-        top = with_published_time(keep_first(articles, arrival), parse_rfc822)
-        if size is not None:
-            top = newest_first(top, arrival).limit(size)
-        enriched = enrich_unique(top, pages, domains, newest_page)
-    counted = count_feed_lookups(enriched)
+    stored = articles if reread else write_out(articles, "collected")[0]
+    top = newest_unique(stored, size, arrival, parse_rfc822)
+    enrich = enrich_images if size is None else enrich_few
+    counted = count_feed_lookups(enrich(top, pages, domains, newest_page))
     return counted if size is None else with_images_first(counted, digest_order(arrival))

@@ -37,6 +37,8 @@ STORE_FIELDS = {
     "scraped_at": "timestamp_ntz",
     "scraped_date": "date",
     "batch": TEXT,
+    # Which save this was: the last save of an address wins, whatever its times.
+    "saved": "bigint",
 }
 
 

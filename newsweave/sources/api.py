@@ -102,6 +102,14 @@ def api_rejects(items: DataFrame) -> DataFrame:
     )
 
 
+def unreadable_responses(payloads: DataFrame) -> DataFrame:
+    """Responses that are not JSON or lack the list: category, payload_id and reason."""
+    listed = F.from_json(F.col("payload"), NEWS_SCHEMA)["data"]["news_list"]
+    return payloads.where(listed.isNull()).select(
+        "category", "payload_id", F.lit("unreadable").alias("reason")
+    )
+
+
 def trending_topics(payloads: DataFrame) -> DataFrame:
     """One row per topic of each response ``payload_id, payload``, in order.
 

@@ -205,12 +205,21 @@ def entry_image(record: Column) -> Column:
 def with_source(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``feed_url, cap, source_rank`` of the configured source ``name``.
 
-    Payloads of a source that is not configured are left out.
+    Payloads of a source that is not configured are left out; ``unconfigured_feeds``
+    lists them.
     """
     configured = sources.select("name", F.col("url").alias("feed_url"), "cap", "source_rank")
     return payloads.join(F.broadcast(configured), "name")
 
 
+def unconfigured_feeds(payloads: DataFrame, sources: DataFrame) -> DataFrame:
+    """Payloads filed under a name that no source has: name, payload_id and reason."""
+    known = F.broadcast(sources.select("name"))
+    return payloads.join(known, "name", "left_anti").select(
+        "name", "payload_id", F.lit("unconfigured").alias("reason")
+    )
+
+
 def feed_articles(payloads: DataFrame) -> DataFrame:
     """Articles of landed feed documents.
 

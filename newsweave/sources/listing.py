@@ -56,6 +56,14 @@ def harvest_links(pages: DataFrame, base: str, cap: int | None = None) -> DataFr
     )
 
 
+def listing_rejects(pages: DataFrame, base: str = settings.LISTING_BASE) -> DataFrame:
+    """Pages that gave no article: page_id and reason."""
+    given = harvest_links(pages, base, 1).select("page_id").distinct()
+    return pages.select("page_id").join(given, "page_id", "left_anti").select(
+        "page_id", F.lit("no links").alias("reason")
+    )
+
+
 def listing_articles(
     pages: DataFrame,
     run_ts: datetime,

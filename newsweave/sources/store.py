@@ -1,16 +1,17 @@
 """The article store: Parquet partitioned by scrape date and batch.
 
-Parquet has no row updates, so a batch is appended and the newest row per
+Parquet has no row updates, so a batch is appended and the row saved last per
 address is the current one. That makes a write proportional to the batch, not to
-the store. A batch rewrites only its own partitions, so running it again changes
-nothing. Compaction writes the current rows to a new folder.
+the store. A batch rewrites only its own partitions and keeps its number among the
+saves, so running it again changes nothing. Compaction writes the current rows to a
+new folder.
 """
 
 import re
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave import settings
@@ -21,6 +22,7 @@ from newsweave.operators.retention import (
     purge_report,
     recent_articles,
     retention_cutoff,
+    scraped_before,
     scraped_since,
 )
 from newsweave.operators.upsert import carry_ids, prepare, upsert_outcome
@@ -32,7 +34,7 @@ BATCH_NAME = re.compile(r"[A-Za-z0-9._-]+")
 
 
 def _newest() -> list[Column]:
-    return [F.desc("scraped_at"), F.desc("batch")]
+    return [F.desc_nulls_last("saved"), F.desc("scraped_at"), F.desc("batch")]
 
 
 class ArticleStore:
@@ -52,40 +54,60 @@ class ArticleStore:
             return self.spark.createDataFrame([], ddl(STORE_FIELDS))
 
     def current(self) -> DataFrame:
-        """One row per address: the newest."""
+        """One row per address: the last saved."""
         return keep_first(self.log(), _newest())
 
     def newest_times(self) -> DataFrame:
-        """Address and newest scrape time: enough to count, without any text."""
-        return self.log().groupBy("url").agg(F.max("scraped_at").alias("scraped_at"))
+        """Address and current scrape time: enough to count, without any text."""
+        last = F.max(F.struct("saved", "scraped_at"))["scraped_at"]
+        return self.log().groupBy("url").agg(last.alias("scraped_at"))
+
+    def _number_of(self, batch: str) -> int:
+        """The place of a batch among the saves: its own from before, or the next."""
+        own = F.max(F.when(F.col("batch") == batch, F.col("saved")))
+        mine, last = self.log().agg(own, F.max("saved")).first()
+        return mine if mine is not None else (last or 0) + 1
 
     def save(
-        self, articles: DataFrame, batch: str, order: list, run_ts: datetime | None = None
+        self,
+        articles: DataFrame,
+        batch: str,
+        order: list,
+        run_ts: datetime | None = None,
+        newer_only: bool = False,
     ) -> DataFrame:
         """Insert or replace articles by address; returns the outcome as one row.
 
         A known address keeps its id. The batch is computed once, into a working
         table; the store is read for a few narrow columns, without this batch's
-        own earlier attempt.
+        own earlier attempt. With ``newer_only`` rows older than what the store holds of
+        their address are not written: for batches that arrive in no order of time.
         """
         if not BATCH_NAME.fullmatch(batch):
             raise ValueError(f"not usable as a folder name: {batch!r}")
         fields = {**ARTICLE_FIELDS, "scraped_at": STORE_FIELDS["scraped_at"]}
         extra = tuple(name for name in order if name not in fields)
         staged, folder = write_out(conform(articles, fields, extra), "batch")
-        ready = prepare(staged, run_ts).withColumn("batch", F.lit(batch))
+        number = F.lit(self._number_of(batch))
+        ready = prepare(staged, run_ts).withColumns({"batch": F.lit(batch), "saved": number})
         incoming = conform(ready, STORE_FIELDS, extra)
         latest = keep_last(incoming, order)
         arriving = broadcast_if_small(incoming.select("url").distinct())
-        others = self.log().where(F.col("batch") != batch).select(
-            "url", "article_id", "scraped_at", "batch"
+        other = F.col("batch") != batch
+        if newer_only:  # a replay meets what its first attempt met
+            other &= F.col("saved") < number
+        others = self.log().where(other).select(
+            "url", "article_id", "scraped_at", "batch", "saved"
         )
         known = materialize(
             keep_first(others.join(arriving, "url", "left_semi"), _newest()).select(
-                "url", F.col("article_id").alias("known_id")
+                "url", F.col("article_id").alias("known_id"), F.col("scraped_at").alias("_known_at")
             )
         )
-        self._replace_partitions(carry_ids(latest, known))
+        ready = carry_ids(latest, known)
+        if newer_only:
+            ready = ready.where(F.col("_known_at").isNull() | (F.col("scraped_at") >= F.col("_known_at")))
+        self._replace_partitions(ready)
         outcome = materialize(upsert_outcome(known, staged))
         remove_folder(self.spark, folder)
         return outcome
@@ -98,13 +120,20 @@ class ArticleStore:
     ) -> DataFrame:
         """Newest scraped articles. Reads only partitions inside the window.
 
-        The newest row of any address seen in the window lies in the window too.
+        A later save may have given an address an older time, outside the window; of
+        the other days only addresses saved after the first row of the window are read.
         """
         since = as_of - timedelta(days=days)
-        inside = self.log().where(
-            (F.col("scraped_date") >= F.lit(since.date())) & scraped_since(since)
-        )
-        return recent_articles(keep_first(inside, _newest()), as_of, days, limit)
+        inside = (F.col("scraped_date") >= F.lit(since.date())) & scraped_since(since)
+        seen = keep_first(self.log().where(inside), _newest())
+        first = self.log().where(inside).agg(F.min("saved")).first()[0]
+        if first is None:
+            return recent_articles(seen, as_of, days, limit)
+        later = self.log().where((F.col("saved") > first) & ~scraped_since(since))
+        moved = later.groupBy("url").agg(F.max("saved").alias("_moved"))
+        still = F.col("_moved").isNull() | (F.col("_moved") < F.col("saved"))
+        current = seen.join(moved, "url", "left").where(still).drop("_moved")
+        return recent_articles(current, as_of, days, limit)
 
     def purge(
         self,
@@ -116,12 +145,14 @@ class ArticleStore:
         """Remove articles scraped before the cutoff; returns the report.
 
         Whole days before the cutoff are dropped as folders; only the day of the
-        cutoff is rewritten.
+        cutoff is rewritten, and batches that hold older saves of an expired address
+        under a later time.
         """
         cutoff = cutoff or retention_cutoff(as_of, months)
         report = materialize(purge_report(self.newest_times(), cutoff, dry_run))
         if dry_run:
             return report
+        self._drop_replaced(cutoff)
         day = F.lit(cutoff.date())
         boundary = F.col("scraped_date") == day
         self._replace_partitions(purge_keep(self.log().where(boundary), cutoff))
@@ -133,14 +164,36 @@ class ArticleStore:
             .agg(F.max("scraped_at").alias("newest"))
             .where(F.col("newest") < utc_literal(cutoff))
         )
-        expired = rewritten.where(F.col("scraped_date") < day)
-        # Folder names only: at most one row per day and batch.
-        folders = expired.select(*PARTITIONS).distinct().union(emptied.select(*PARTITIONS))
-        for row in folders.collect():
-            folder = f"{self.path}/scraped_date={row.scraped_date}/batch={row.batch}"
-            remove_folder(self.spark, folder)
+        # Folder names only: at most one per day, and one per batch of a single day.
+        expired = rewritten.where(F.col("scraped_date") < day).select("scraped_date").distinct()
+        for row in expired.collect():
+            remove_folder(self.spark, f"{self.path}/scraped_date={row.scraped_date}")
+        for row in emptied.collect():
+            self._remove_batch(row)
         return report
 
+    def _drop_replaced(self, cutoff: datetime) -> None:
+        """Drop rows after the cutoff whose address was last saved with a time before it.
+
+        They would come to light again once the last save is gone.
+        """
+        gone = materialize(self.newest_times().where(scraped_before(cutoff)).select("url"))
+        after = self.log().where(scraped_since(cutoff))
+        held = after.select("url", *PARTITIONS).join(broadcast_if_small(gone), "url", "left_semi")
+        batches = materialize(held.select(*PARTITIONS).distinct())
+        if batches.isEmpty():
+            return
+        rows = self.log().join(broadcast_if_small(batches), PARTITIONS, "left_semi")
+        kept, folder = write_out(rows.join(broadcast_if_small(gone), "url", "left_anti"), "kept")
+        for row in batches.collect():
+            self._remove_batch(row)
+        self._replace_partitions(kept)
+        remove_folder(self.spark, folder)
+
+    def _remove_batch(self, row: Row) -> None:
+        folder = f"{self.path}/scraped_date={row.scraped_date}/batch={row.batch}"
+        remove_folder(self.spark, folder)
+
     def compact(self, target: str) -> "ArticleStore":
         """Write the current rows to a new folder and return the store there."""
         rows = self.current().hint("rebalance", *PARTITIONS)

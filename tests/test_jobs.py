@@ -13,7 +13,7 @@ from newsweave import jobs
 from newsweave.functions.anchors import page_anchors
 from newsweave.session import broadcast_if_small, materialize
 from newsweave.sources.dims import source_dim
-from newsweave.sources.feeds import with_source
+from newsweave.sources.feeds import unconfigured_feeds, with_source
 from newsweave.sources.landing import read_documents
 
 RSS = "<rss><channel>{}</channel></rss>"
@@ -30,6 +30,7 @@ def landed(spark, tmp_path):
         "feeds/name=not_configured/run1.xml": feed,
         "feeds/name=wired/broken.xml": "<rss>",
         "api/category=science/page1.json": json.dumps(answer),
+        "api/category=health/page1.json": "<html>",
     }.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(body)
@@ -48,6 +49,8 @@ def test_documents_are_whole_and_filed(spark, landed):
     assert documents.count() == 4 and documents.select("payload_id").distinct().count() == 4
     filed = with_source(documents, source_dim(spark)).collect()
     assert {(row.name, row.cap) for row in filed} == {("techcrunch", 3), ("medium_pub_2", 2), ("wired", 3)}
+    left_out = unconfigured_feeds(documents, source_dim(spark)).collect()
+    assert [(row.name, row.reason) for row in left_out] == [("not_configured", "unconfigured")]
 
 
 def test_daily_and_maintain_commands(spark, landed):
@@ -58,6 +61,10 @@ def test_daily_and_maintain_commands(spark, landed):
     assert urls == ["https://techcrunch.com/3", "https://medium.com/p/listed", "https://e.com/api",
                     "https://techcrunch.com/2", "https://pub.example/2"]
     assert shown["outcome"].first().inserted == 5
+    assert {(row.source, row.reason) for row in shown["rejects"].collect()} == {
+        ("not_configured", "unconfigured"), ("https://www.wired.com/feed/rss", "unreadable"), ("health", "unreadable")}
+    assert shown["duplicates"].first().removed == 0 and shown["coverage"].where("overall").first().with_image == 1
+    assert "wired" in {row.name for row in shown["empty_sources"].collect()}
     saved = spark.read.json(str(landed / "snapshots")).where("image <> ''")
     assert [row.image for row in saved.collect()] == ["https://cdn.example.com/3.jpg"]
 

@@ -78,6 +78,35 @@ def test_recent_reads_only_its_days(store, make_articles):
     assert "PartitionFilters: [isnotnull(scraped_date" in plan
 
 
+def test_the_last_save_wins(store, make_articles):
+    """With equal and with older times, whatever the batch names."""
+    store.save(make_articles(named("a", "b", title="first")), "9", ARRIVAL, DAY)
+    store.save(make_articles(named("a", title="second")), "10", ARRIVAL, DAY)
+    store.save(make_articles(named("b", title="older")), "1", ARRIVAL, DAY - timedelta(days=20))
+
+    def titles():
+        return {row.url: row.title for row in store.current().collect()}
+
+    assert titles() == {"a": "second", "b": "older"}
+    store.save(make_articles(named("a", "b", title="first")), "9", ARRIVAL, DAY)
+    assert titles() == {"a": "second", "b": "older"}
+    assert [row.url for row in store.recent(DAY).collect()] == ["a"]
+    report = store.purge(DAY, cutoff=DAY - timedelta(days=10)).first()
+    assert (report.deleted_count, report.total_remaining) == (1, 1)
+    assert titles() == {"a": "second"} and store.log().where("url = 'b'").count() == 0
+
+
+def test_failing_purge_and_empty_run(spark, store, make_articles, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([], "url string, html string")
+    monkeypatch.setattr(type(store), "purge", lambda *_: 1 / 0)
+    shown = daily_run(make_articles(named("a")), pages, store, str(tmp_path / "snap"), DAY)
+    assert shown["purge"].first().success is False and shown["outcome"].first().inserted == 1
+    other = str(tmp_path / "none")
+    shown = daily_run(make_articles(named("")), pages, store, other, DAY + timedelta(days=1))
+    assert not Path(other).exists() and shown["total"].first().total_articles == 1
+    assert shown["outcome"].first().success is False and shown["urls"].count() == 0
+
+
 def test_compaction_keeps_the_current_rows(store, make_articles, tmp_path):
     store.save(make_articles(named("a", "b")), "1", ARRIVAL, DAY - timedelta(days=1))
     store.save(make_articles(named("b")), "2", ARRIVAL, DAY)
