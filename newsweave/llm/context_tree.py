@@ -9,7 +9,8 @@ How it is spread: documents are packed into blocks of bounded size. A block name
 each of its words (by a 64-bit hash) and byte strings once; these are dealt by hash into
 buckets, whose number follows the input, summed there, and the answers return to the
 blocks in the order asked. Only the number of words and of distinct words reach the driver.
-The tree itself is a table of nodes, built level by level.
+Byte strings with the same context share a bucket, which therefore has the deepest nodes
+whole; the levels above are tables of nodes, summed from those below.
 
 Byte strings that occur only in held-out texts take part with a count of 0, so every text can
 be scored. Null texts count as empty: no words, one end. A null id counts as the empty text
@@ -31,9 +32,9 @@ from newsweave.llm.language import fold
 from newsweave.llm.words import Hashes
 from newsweave.session import write_out
 
-DEPTH = 3
+DEPTH = 5
 # Bytes of text in a block, unless one text alone is longer, and of input for each bucket.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 BUCKET = 64 << 20
 # Keys that wait at most before a block sums them.
 SUMMED = 1 << 20
@@ -61,6 +62,25 @@ def gram_keys(data: bytes, depth: int) -> np.ndarray:
     return keys
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Compressed 64-bit values."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(data: bytes, kind: type = np.int64) -> np.ndarray:
+    size = 8 * int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
+
+
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Compressed keys in rising order, by their differences."""
+    return squeeze(np.diff(keys, prepend=np.int64(0)))
+
+
+def spread_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(spread(data))
+
+
 class Tally:
     """Keys with their training counts; kept short by summing what has piled up."""
 
@@ -108,12 +128,12 @@ class Block:
     def rows(self, name: str, buckets: int) -> Iterator[tuple]:
         for kind, tally in ((WORDS, self.words), (GRAMS, self.grams)):
             keys, counts = tally.sums()
-            dealt = bucket_of(keys, buckets)
+            dealt = bucket_of(keys >> 8 if kind == GRAMS else keys, buckets)
             order = np.lexsort((keys, dealt))
             edges = np.searchsorted(dealt[order], np.arange(buckets + 1))
             for bucket in np.flatnonzero(np.diff(edges)):
                 part = order[edges[bucket] : edges[bucket + 1]]
-                yield (name, kind, int(bucket), keys[part].tobytes(), counts[part].tobytes(), None, None, None)
+                yield (name, kind, int(bucket), squeeze_keys(keys[part]), squeeze(counts[part]), None, None, None)
         text = b"".join(self.data)
         sizes = np.array([len(d) for d in self.data], np.int64)
         yield (
@@ -150,7 +170,8 @@ def pack(documents: DataFrame, held_out: Column, depth: int, buckets: int) -> Da
 
 def _totals(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return summed(
-        np.frombuffer(b"".join(group["keys"]), np.int64), np.frombuffer(b"".join(group["counts"]), np.int64)
+        np.concatenate([spread_keys(own) for own in group["keys"]]),
+        np.concatenate([spread(own) for own in group["counts"]]),
     )
 
 
@@ -158,26 +179,44 @@ def word_answers(group: pd.DataFrame) -> pd.DataFrame:
     """For each block of a bucket the training counts of its words, and one row of sums."""
     keys, counts = _totals(group)
     rows = [
-        (block, WORD_VALUES, bucket, None, counts[np.searchsorted(keys, np.frombuffer(own, np.int64))].tobytes(), 0, 0)
+        (block, WORD_VALUES, bucket, None, squeeze(counts[np.searchsorted(keys, spread_keys(own))]), 0, 0)
         for block, bucket, own in zip(group["block"], group["bucket"], group["keys"], strict=True)
     ]
     rows.append((None, None, None, None, None, int(counts.sum()), int((counts > 0).sum())))
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "keys", "counts", "total", "known"])
 
 
-def gram_totals(group: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = _totals(group)
-    return pd.DataFrame({"bucket": group["bucket"].iloc[0], "gram": keys, "n": counts})
+def decisions(grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The node and the bit of each of the eight decisions; nodes rise as the strings do."""
+    context, byte = grams >> 8 << 8, grams & 255
+    for i in range(8):
+        yield context + (1 << i) + (byte >> (8 - i)), byte >> (7 - i) & 1
+
+
+def deepest_nodes(group: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of a bucket's contexts, with how often each decision was 0 and 1."""
+    grams, counts = _totals(group)
+    parts = []
+    for node, bit in decisions(grams):
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        ones = np.add.reduceat(counts * bit, first)
+        zeros = np.add.reduceat(counts, first) - ones
+        parts.append(pd.DataFrame({"bucket": group["bucket"].iloc[0], "node": node[first], "zeros": zeros, "ones": ones}))
+    return pd.concat(parts)
 
 
 def gram_answers(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a bucket the log-probabilities of its byte strings."""
-    known = known.sort_values("gram")
-    grams, values = known["gram"].to_numpy(), known["logp"].to_numpy()
-    rows = [
-        (block, GRAM_VALUES, bucket, None, values[np.searchsorted(grams, np.frombuffer(own, np.int64))].tobytes())
-        for block, bucket, own in zip(asked["block"], asked["bucket"], asked["keys"], strict=True)
-    ]
+    """For each block of a bucket the log10 probabilities of its byte strings."""
+    known = known.sort_values("node")
+    nodes, ones = known["node"].to_numpy(), known["p"].to_numpy()
+    rows = []
+    for block, bucket, own in zip(asked["block"], asked["bucket"], asked["keys"], strict=True):
+        grams = spread_keys(own)
+        total = np.zeros(len(grams))
+        for node, bit in decisions(grams):
+            p = ones[np.searchsorted(nodes, node)]
+            total += np.log10(np.where(bit == 1, p, 1 - p))
+        rows.append((block, GRAM_VALUES, bucket, None, squeeze(total)))
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "keys", "counts"])
 
 
@@ -189,55 +228,45 @@ def log_kt(zeros: pd.Series, ones: pd.Series) -> pd.Series:
     return pd.Series(terms, dtype=float) - 2 * lgamma(0.5)
 
 
-def weighted_tree(totals: DataFrame, depth: int) -> DataFrame:
-    """Log10 probability of every byte given those before it: (bucket, gram, logp).
+def weighted_tree(deepest: DataFrame, depth: int) -> DataFrame:
+    """Probability that a decision is 1, at every deepest node: (bucket, node, p).
 
     A node is its bytes, latest last, and the bits already decided. Sums go up the tree one
-    depth at a time; a parent has at most 256 children, the two topmost levels at most
-    255 and 65,280 nodes, which is why those may be broadcast on the way down.
+    depth at a time; a parent has at most 256 children. On the way down each level adds its
+    weighted estimate to those above it, so that a deepest node needs its parent alone. The
+    two topmost levels have at most 255 and 65,280 nodes, which is why they may be broadcast.
     """
-    decisions = F.array(
-        *[
-            F.struct(
-                (F.shiftright("gram", 8) * 256 + (1 << i) + F.shiftright(F.col("gram").bitwiseAND(255), 8 - i)).alias("node"),
-                F.shiftright("gram", 7 - i).bitwiseAND(1).alias("bit"),
-            )
-            for i in range(8)
-        ]
-    )
-    steps = totals.select("bucket", "gram", "n", F.inline(decisions))
-    deepest = (
-        steps.groupBy("node")
-        .agg(
-            F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-            F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
-        )
-        .withColumn("kt", log_kt("zeros", "ones"))
-        .withColumn("pw", F.col("kt"))
-    )
-    levels = [write_out(deepest, "tree")[0]]
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    lowest, _ = write_out(deepest.withColumn("pw", log_kt("zeros", "ones")), "tree")
+    levels = [lowest]
     for level in range(depth - 1, -1, -1):
-        upper = _suffix(F.col("node"), level)
         own = F.col("kt") - F.col("below")
         grown = (
             levels[-1]
-            .groupBy(upper.alias("node"))
+            .groupBy(_suffix(F.col("node"), level).alias("node"))
             .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("below"))
             .withColumn("kt", log_kt("zeros", "ones"))
             .withColumn("stop", F.when(own > 0, 1 / (1 + F.exp(-own))).otherwise(F.exp(own) / (1 + F.exp(own))))
             .withColumn("pw", F.greatest("kt", "below") + F.log1p(F.exp(-F.abs(own))) - float(np.log(2)))
         )
         levels.append(write_out(grown, "tree")[0])
-    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    found = levels[0].select("node", one.alias("p"))
-    for level, table in zip(range(depth - 1, -1, -1), levels[1:], strict=True):
-        upper = table.select(F.col("node").alias("_upper"), "stop", one.alias("_p"))
-        upper = F.broadcast(upper) if level <= 1 else upper
-        found = found.join(upper, _suffix(F.col("node"), level) == F.col("_upper")).select(
-            "node", (F.col("stop") * F.col("_p") + (1 - F.col("stop")) * F.col("p")).alias("p")
+    # Of a node: the sum of the weighted estimates down to it, and the weight left below.
+    above = None
+    for level, table in enumerate(reversed(levels[1:])):
+        mixed = table.select("node", "stop", one.alias("one"))
+        if above is None:
+            placed = mixed.withColumns({"sum": F.lit(0.0), "rest": F.lit(1.0)})
+        else:
+            placed = mixed.join(above, _suffix(F.col("node"), level - 1) == F.col("upper"))
+        above = placed.select(
+            F.col("node").alias("upper"),
+            (F.col("sum") + F.col("rest") * F.col("stop") * F.col("one")).alias("sum"),
+            (F.col("rest") * (1 - F.col("stop"))).alias("rest"),
         )
-    chosen = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return steps.join(found, "node").groupBy("bucket", "gram").agg(F.sum(F.log10(chosen)).alias("logp"))
+        above = F.broadcast(above) if level <= 1 else above
+    return lowest.join(above, _suffix(F.col("node"), depth - 1) == F.col("upper")).select(
+        "bucket", "node", (F.col("sum") + F.col("rest") * one).alias("p")
+    )
 
 
 def _suffix(node: Column, level: int) -> Column:
@@ -250,9 +279,9 @@ def block_scores(group: pd.DataFrame, depth: int, total: int, distinct: int) ->
     parts = {kind: rows.sort_values("bucket") for kind, rows in group.groupby("kind")}
 
     def table(keys: int, values: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        asked = np.frombuffer(b"".join(parts[keys]["keys"]), np.int64)
+        asked = np.concatenate([spread_keys(own) for own in parts[keys]["keys"]])
         order = np.argsort(asked)
-        return asked[order], np.frombuffer(b"".join(parts[values]["counts"]), kind)[order]
+        return asked[order], np.concatenate([spread(own, kind) for own in parts[values]["counts"]])[order]
 
     words, counts = table(WORDS, WORD_VALUES, np.int64)
     grams, logs = table(GRAMS, GRAM_VALUES, np.float64)
@@ -305,10 +334,8 @@ def score_documents(documents: DataFrame, held_out: Column, depth: int = DEPTH)
         words.groupBy("bucket").applyInPandas(word_answers, f"{PART}, total long, known long"), "words"
     )
     total, distinct = counted.agg(F.sum("total"), F.sum("known")).first()
-    totals, _ = write_out(
-        grams.groupBy("bucket").applyInPandas(gram_totals, "bucket int, gram long, n long"), "grams"
-    )
-    tree = weighted_tree(totals, depth)
+    nodes = grams.groupBy("bucket").applyInPandas(deepest_nodes, "bucket int, node long, zeros long, ones long")
+    tree = weighted_tree(nodes, depth)
     answers = grams.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInPandas(gram_answers, PART)
     returned = counted.where("block is not null").drop("total", "known").unionByName(answers)
     total, distinct = total or 0, distinct or 0

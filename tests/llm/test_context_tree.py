@@ -78,7 +78,7 @@ def words(text):
     return [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
 
 
-@pytest.mark.parametrize("depth", [1, 3])
+@pytest.mark.parametrize("depth", [1, 4])
 def test_brute_force(spark, depth):
     rows = [(i if i != 3 else None, t, 1.0, i) for i, t in enumerate(TEXTS * 2)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, score double, block int")
@@ -114,7 +114,7 @@ def test_split_and_many_blocks(spark, tables, monkeypatch):
         assert row.held_out == (zlib.crc32(str(number).encode()) % 5 == 1)
         assert math.isclose(row.score, again[number].score, rel_tol=1e-9)
         assert row.n_known == again[number].n_known
-        assert 0.5 < row.bits_per_byte < 10
+        assert 0.02 < row.bits_per_byte < 10
 
 
 def test_nothing_to_learn_from(spark):
