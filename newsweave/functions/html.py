@@ -105,17 +105,19 @@ def _attributes(tag: Column) -> Column:
     return F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
 
 
-def _written_value(tag: Column, name: str) -> Column:
+def _written_value(attributes: Column, name: str) -> Column:
     """Value of an attribute (its last one) as written, '' when absent."""
-    named = F.filter(_attributes(tag), lambda pair: pair.rlike(rf"(?is)^{name}\s*="))
+    named = F.filter(attributes, lambda pair: pair.rlike(rf"(?is)^{name}\s*="))
     value = F.regexp_replace(or_blank(F.try_element_at(named, F.lit(-1))), NAME_PART, "")
     return F.regexp_replace(value, QUOTES, "$2")
 
 
 def _image_addresses(tag: Column) -> Column:
-    written = F.array(*[_written_value(tag, name) for name in ("src", "data-src", "srcset")])
+    def written(attributes: Column) -> Column:
+        return F.array(*[_written_value(attributes, name) for name in ("src", "data-src", "srcset")])
+
     return let(
-        F.transform(written, unescape),
+        F.transform(let(_attributes(tag), written), unescape),
         lambda values: F.array(values[0], values[1], srcset_first(values[2])),
     )
 
@@ -140,11 +142,10 @@ IMAGE_METADATA = [
 
 
 def _first_meta(metas: Column, key: str, value: str) -> Column:
-    """The first meta tag with exactly this key."""
+    """Attributes of the first meta tag with exactly this key."""
     pair = rf"(?s)^(?i:{key})\s*=\s*([\"']?){re.escape(value)}\1$"
-    return or_blank(
-        first_of(F.filter(metas, lambda tag: F.exists(_attributes(tag), lambda p: p.rlike(pair))))
-    )
+    found = first_of(F.filter(metas, lambda tag: F.exists(tag, lambda p: p.rlike(pair))))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def page_image(html: Column) -> Column:
@@ -155,4 +156,4 @@ def page_image(html: Column) -> Column:
         offered = F.transform(firsts, lambda tag: let(_written_value(tag, "content"), unescape))
         return normalize_image_url(or_blank(first_valid_image(offered)))
 
-    return let(start_tags(or_blank(html), ["meta"]), choose)
+    return let(F.transform(start_tags(or_blank(html), ["meta"]), _attributes), choose)
