@@ -62,27 +62,38 @@ def source_targets(
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(documents: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """``documents`` with source_size, target and copies: how often the mix takes each.
+def _planned(documents: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """``documents`` with _size, _target and _copies.
 
     Sources join by broadcast when measured small, else by a join whose skew adaptive
     execution splits.
     """
-    added = ("source_size", "target", "copies")
-    mine = documents.select(*[name for name in documents.columns if name not in added])
-    renamed = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = mine.join(
-        broadcast_if_small(renamed), F.col("source").eqNullSafe(F.col("_source"))
+    plan = targets.select(
+        F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target")
+    )
+    joined = documents.join(
+        broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_source"))
     ).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(0.0)
     extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("copies", F.floor(rate) + extra)
+    return joined.withColumn("_copies", F.floor(rate) + extra)
+
+
+def with_copies(documents: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
+    """``documents`` with source_size, target and copies: how often the mix takes each."""
+    added = ("source_size", "target", "copies")
+    kept = [name for name in documents.columns if name not in added]
+    return _planned(documents.select(*kept), targets, seed).select(
+        *kept,
+        F.col("_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_copies").alias("copies"),
+    )
 
 
 def mix(documents: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixed documents: each row as often as the mix takes it."""
     sized = documents.select("source", word_count(F.col("text")).alias("size"))
-    taken = with_copies(documents, source_targets(sized), seed)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).where(
-        "copies > 0"
-    ).select(*documents.columns)
+    planned = _planned(documents, source_targets(sized), seed)
+    repeats = F.array_repeat(F.lit(1), F.col("_copies").cast("int"))
+    return planned.select(*documents.columns, F.explode(repeats).alias("_copy")).drop("_copy")

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 BLANK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 # Chunks and pairs remembered by a task; older ones are worked out again.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 # A longer chunk is not worth remembering.
 LONGEST = 64
 # Rows of a batch returned to Spark.

@@ -67,5 +67,6 @@ def test_mix_repeats_rows(spark):
     want = mixing.with_copies(frame.drop("copies").withColumn("n", F.lit(1)), plan).agg(F.sum("copies")).first()[0]
     mixed = mixing.mix(frame)
     assert mixed.columns == frame.columns and mixed.count() == want
+    assert {r.copies for r in mixed.collect()} <= {7, 8}
     assert mixed.where("source = 'y'").count() == 0
     assert mixing.mix(frame.limit(0)).collect() == []
