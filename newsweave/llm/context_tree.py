@@ -34,10 +34,12 @@ from newsweave.session import write_out
 
 DEPTH = 5
 # Bytes of text in a block, unless one text alone is longer, and of input for each bucket.
-BLOCK = 32 << 20
-BUCKET = 64 << 20
+BLOCK = 16 << 20
+BUCKET = 16 << 20
+# Rows read from a batch at once.
+ROWS = 500
 # Keys that wait at most before a block sums them.
-SUMMED = 1 << 20
+SUMMED = 1 << 19
 # Stands for what precedes a text and for its end.
 EDGE = b"\0"
 # The end counts as a word; no word can be a blank.
@@ -150,22 +152,30 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def pack(documents: DataFrame, held_out: Column, depth: int, buckets: int) -> DataFrame:
     """The blocks of all documents and what they ask for: rows of ``PACK``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = PACK.replace(",", "").split()[::2]
+    kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    names = PACK.replace(",", "").split()[::2]
+
+    def packed(block: Block, name: str) -> pa.RecordBatch:
+        columns = zip(*block.rows(name, buckets), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, block, task, made = Hashes(), Block(depth), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for number, flags, text in zip(batch["id"], batch["flags"], batch["text"], strict=True):
-                block.add(number, flags, (text or "").encode().lower(), hashes)
-                if block.bytes >= BLOCK:
-                    yield pd.DataFrame(block.rows(f"{task}-{made}", buckets), columns=names)
-                    block, made = Block(depth), made + 1
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS).to_pylist()
+                for row in rows:
+                    block.add(row["id"], row["flags"], (row["text"] or "").encode().lower(), hashes)
+                    if block.bytes >= BLOCK:
+                        yield packed(block, f"{task}-{made}")
+                        block, made = Block(depth), made + 1
         if block.ids:
-            yield pd.DataFrame(block.rows(f"{task}-{made}", buckets), columns=names)
+            yield packed(block, f"{task}-{made}")
 
     number = F.col("doc_id").cast("long")
     flags = held_out.cast("int") + 2 * number.isNull().cast("int")
     rows = documents.select(F.coalesce(number, F.lit(0)).alias("id"), flags.alias("flags"), "text")
-    return rows.mapInPandas(run, PACK)
+    return rows.mapInArrow(run, PACK)
 
 
 def _totals(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
