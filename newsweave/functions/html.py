@@ -7,7 +7,6 @@ unbounded input are possessive or reluctant over single classes: no
 backtracking and no recursion, however long the text.
 """
 
-import json
 import re
 from html.entities import html5
 
@@ -36,13 +35,24 @@ REPLACEMENT = "\ufffd"
 # Characters of the old Windows code page for 0x80 to 0x9F; its gaps stand for themselves.
 OLD_PAGE = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
 
-# The standard's names of characters, as one literal; '&' itself is resolved last.
-NAMED = json.dumps(
-    {name: value for name, value in html5.items() if name.endswith(";") and value != "&"},
-    ensure_ascii=False,
+# The standard's named references and their one or two characters, as one text of lines;
+# '&' itself is resolved last. A literal text is far cheaper to plan with than a literal map.
+NAMED = "\n".join(
+    ["", *[f"&{name}\t{value}" for name, value in html5.items() if name.endswith(";") and value != "&"], ""]
 )
 
 
+def _named(reference: Column) -> Column:
+    """The characters of a named reference, or the reference itself."""
+    line = F.concat(F.lit("\n"), reference, F.lit("\t"))
+
+    def found(at: Column) -> Column:
+        value = F.substring(F.lit(NAMED), at + F.length(line), F.lit(2))
+        return F.when(at == 0, reference).otherwise(F.rtrim(value, F.lit("\n")))
+
+    return let(F.position(line, F.lit(NAMED)), found)
+
+
 def _numbered(reference: Column) -> Column:
     """The character a numeric reference stands for.
 
@@ -73,11 +83,8 @@ def unescape(text: Column) -> Column:
     """Resolve numeric and named character references that end with a semicolon."""
 
     def resolve(done: Column, reference: Column) -> Column:
-        named = F.try_element_at(
-            F.from_json(F.lit(NAMED), "map<string,string>"), F.substring(reference, 2, 40)
-        )
         character = F.when(reference.startswith("&#"), _numbered(reference)).otherwise(
-            F.coalesce(named, reference)
+            _named(reference)
         )
         return F.replace(
             done, reference, F.when(character == "&", "&amp;").otherwise(character)
