@@ -1,16 +1,17 @@
 """N-gram Jaccard join by trees of count vectors.
 
 A document is the set of its word n-grams, as 64-bit hashes. Documents with equal sets are
-one class. Classes that can link are brought together exactly: sets that overlap enough
-differ in at most D elements, so when the elements are dealt by hash into more than D groups,
-one non-empty group is the same in both. Classes that agree in a group form a family.
-
-Within a family every class is a point, its n-grams counted by hashed group. A tree of
-boxes over the points bounds the overlap of two boxes, and of two points, by the sum of the
-smaller coordinates; pairs that the bound lets through are verified on their sets. A large
-family is cut into tiles, joined within and then pairwise, and pairs already connected
-are not compared again. Links are never listed pair by pair: a tile gives a star for each
-of its components.
+one class, and every class is a point, its n-grams counted by hashed group. Classes that can
+link are brought together exactly: sets that overlap enough differ in at most D elements,
+so when the elements are dealt by hash into more than D groups, one non-empty group is the
+same in both. Classes that agree in a group meet in a bucket.
+
+A tree of boxes over points bounds the overlap of two boxes, and of two points, by the sum of
+the smaller coordinates. In a bucket, pairs that the bound lets through make families (a
+bucket too large for one task is one family). Within a family the same tree finds the
+pairs again, which are then verified on their sets. A large family is cut into tiles, joined
+within and then pairwise, and pairs already connected are not compared again. Links are
+never listed pair by pair: a bucket or tile gives a star for each of its components.
 
 Documents without words or text have an empty set and link with nothing. Those without an
 id take no part: their component is null. Rows that share an id share their component
@@ -38,6 +39,8 @@ BAND = 1.5
 # Classes and n-grams in a tile, and n-grams in a task of small families.
 TILE = 1024
 TILE_GRAMS = 2_000_000
+# Rows of buckets in a task.
+BUCKET_ROWS = 50_000
 # Pairs whose bounds are computed at once.
 PAIRS = 1 << 16
 ROWS = 500
@@ -131,7 +134,7 @@ def point(grams: np.ndarray) -> np.ndarray:
 
 
 def _sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, size and class of every document."""
+    """doc_id, size, class and point of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -142,11 +145,12 @@ def _sketches(documents: DataFrame, words: int) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) for s in sets], pa.int64()),
+                    pa.array([point(s).astype(np.int32).tobytes() for s in sets], pa.binary()),
                 ],
-                ["doc_id", "size", "class"],
+                ["doc_id", "size", "class", "point"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long, point binary")
 
 
 def _keys(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -241,6 +245,45 @@ def candidates(points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tup
     return order[left[real]], order[right[real]]
 
 
+def bucket_stars(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Stars of the classes whose bound allows a link with another of their bucket."""
+    frame = frame.drop_duplicates(["key", "class"]).sort_values("key")
+    keys, classes, sizes = (frame[name].to_numpy() for name in ("key", "class", "size"))
+    points = np.frombuffer(b"".join(frame["point"]), np.int32).reshape(len(frame), -1)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    counts = np.diff(np.append(starts, len(keys)))
+    two = starts[counts == 2]
+    bound = np.minimum(points[two], points[two + 1]).sum(axis=1)
+    two = two[bound * (num + den) >= num * (sizes[two] + sizes[two + 1])]
+    found = set(zip(classes[two].tolist(), classes[two + 1].tolist(), strict=True))
+    for start, count in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+        own = slice(start, start + count)
+        forest = Forest(classes[own])
+        left, right = candidates(points[own], sizes[own], num, den)
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            one, other = forest.root(a), forest.root(b)
+            if one != other:
+                forest.up[other] = one
+        found |= {(int(classes[start + a]), int(classes[start + forest.root(a)])) for a in range(count) if forest.root(a) != a}
+    return pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
+
+
+def _families(buckets: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """class and family of every class that may link with another."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return bucket_stars(frame, num, den)
+
+    points = sketches.groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("point").alias("point"))
+    fitting = buckets.where(F.col("n") <= TILE)
+    tasks = 8 + fitting.count() // BUCKET_ROWS
+    task = F.pmod(F.xxhash64("key"), F.lit(tasks))
+    near = fitting.join(points, "class").groupBy(task.alias("task")).applyInPandas(run, "a long, b long")
+    large = buckets.where((F.col("n") > TILE) & (F.col("class") != F.col("first")))
+    links = near.unionByName(large.select(F.col("class").alias("a"), F.col("first").alias("b")))
+    return components(links).select(F.col("node").alias("class"), F.col("component").alias("family"))
+
+
 def linked(group: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     """Stars of the components among the classes of a group, given what is connected."""
     group = group.drop_duplicates("class")
@@ -271,10 +314,10 @@ def _link(tiles: DataFrame, num: int, den: int) -> DataFrame:
 def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect every pair of classes whose sets overlap enough."""
     shared = _keys(documents, words, num, den)
-    by_key = "min(class) over (partition by key)"
-    stars = shared.select("class", F.expr(by_key).alias("first")).where("class != first").distinct()
-    families, _ = write_out(components(stars.select(F.col("class").alias("a"), F.col("first").alias("b"))), "families")
-    members = families.select(F.col("node").alias("class"), F.col("component").alias("family"))
+    by_key = {"first": "min(class)", "last": "max(class)", "n": "count(*)"}
+    held = shared.select("*", *[F.expr(f"{what} over (partition by key)").alias(name) for name, what in by_key.items()])
+    buckets, _ = write_out(held.where("first != last").drop("last"), "buckets")
+    members, _ = write_out(_families(buckets, sketches, num, den), "families")
     wanted = sketches.join(members.select("class"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets, _ = write_out(_sets(documents, write_out(wanted, "wanted")[0], words).dropDuplicates(["class"]), "sets")
     sized = sets.select("class", "size").join(members, "class")
@@ -288,7 +331,7 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     placed, _ = write_out(
         sized.select("class", "family").join(weights, "family").select("class", "family", "tiles", tile.alias("at")), "placed"
     )
-    joined = sets.join(placed, "class").withColumn("label", F.col("class"))
+    joined = sets.join(broadcast_if_small(placed), "class").withColumn("label", F.col("class"))
     small = F.pmod(F.xxhash64("family"), F.lit(8 + total // TILE_GRAMS)).cast("string")
     alone = F.concat_ws("/", "family", "at")
     inner, _ = write_out(
