@@ -32,9 +32,9 @@ from newsweave.llm.language import fold
 from newsweave.llm.words import Hashes
 from newsweave.session import write_out
 
-DEPTH = 5
+DEPTH = 4
 # Bytes of text in a block, unless one text alone is longer, and of input for each bucket.
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 BUCKET = 16 << 20
 # Rows read from a batch at once.
 ROWS = 500
