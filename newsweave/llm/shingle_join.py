@@ -319,8 +319,9 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     buckets, _ = write_out(held.where("first != last").drop("last"), "buckets")
     members, _ = write_out(_families(buckets, sketches, num, den), "families")
     wanted = sketches.join(members.select("class"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets, _ = write_out(_sets(documents, write_out(wanted, "wanted")[0], words).dropDuplicates(["class"]), "sets")
-    sized = sets.select("class", "size").join(members, "class")
+    # A class comes from one id; only rows that repeat it give it again, and are dropped where it is used.
+    sets, _ = write_out(_sets(documents, write_out(wanted, "wanted")[0], words), "sets")
+    sized = sets.select("class", "size").distinct().join(members, "class")
     weights = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
     weights = weights.select(
         "family", F.ceil(F.greatest(F.col("n") / TILE, F.col("grams") / TILE_GRAMS)).cast("long").alias("tiles")
