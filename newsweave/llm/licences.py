@@ -1,8 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, letters, digits, dots within
-numbers; single blanks) and looked up among the known licence sentences. The sequence
-of identifiers, with unknown sentences between them as a gap, is matched against
+A text is normalised (lower case, letters, digits, dots within numbers; single blanks) and the
+known licence sentences are looked up in it, whole and wherever their lines are wrapped. A sentence
+ends at a mark or a blank line, and a known one may also begin or end with a line; numerals of a
+list are dropped. The sequence of identifiers, with unknown sentences between them as a gap, is matched against
 ordered rules; a rule takes its sentences away from the rules after it.
 
 Null, empty and blank texts hold no sentence and no licence. A licence named twice is
@@ -13,45 +14,138 @@ taken by no rule are counted as left over.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweave.llm.columns import let
+
 # Known sentences, normalised, by identifier.
 SENTENCES = {
-    "apache2-short": ["licensed under the apache license version 2.0"],
+    "apache2-short": [
+        "licensed under the apache license version 2.0",
+        "licensed under the apache license version 2.0 the license",
+    ],
+    "apache2-header": [
+        "licensed under the apache license version 2.0 the license you may not use this file except in"
+        " compliance with the license",
+        "the asf licenses this file to you under the apache license version 2.0 the license you may not"
+        " use this file except in compliance with the license",
+    ],
     "apache2-may-not": [
         "you may not use this file except in compliance with the license",
         "you may not use this work except in compliance with the license",
     ],
-    "apache2-copy": ["you may obtain a copy of the license at"],
+    "apache2-copy": [
+        "you may obtain a copy of the license at",
+        "you may obtain a copy of the license at http www apache org licenses license 2.0",
+        "you may obtain a copy of the license at https www apache org licenses license 2.0",
+    ],
+    "apache2-url": [
+        "http www apache org licenses license 2.0",
+        "https www apache org licenses license 2.0",
+    ],
+    "apache2-basis": [
+        "unless required by applicable law or agreed to in writing software distributed under the license"
+        " is distributed on an as is basis without warranties or conditions of any kind either express or"
+        " implied",
+    ],
+    "apache2-see": [
+        "see the license for the specific language governing permissions and limitations under the license"
+    ],
     "mit-short": [
         "released under the mit license",
         "licensed under the mit license",
         "this project is licensed under the mit license",
     ],
     "mit-grant": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software"
+        " and associated documentation files the software to deal in the software without restriction",
         "permission is hereby granted free of charge to any person obtaining a copy of this software"
         " and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense"
+        " and or sell copies of the software and to permit persons to whom the software is furnished to"
+        " do so subject to the following conditions",
     ],
     "mit-notice": [
         "the above copyright notice and this permission notice shall be included in all copies or"
-        " substantial portions of the software"
+        " substantial portions of the software",
+        "the above copyright notice and this permission notice including the next paragraph shall be"
+        " included in all copies or substantial portions of the software",
     ],
     "as-is": [
         "the software is provided as is without warranty of any kind express or implied",
         "this software is provided as is without warranty of any kind",
+        "the software is provided as is without warranty of any kind express or implied including but"
+        " not limited to the warranties of merchantability fitness for a particular purpose and"
+        " noninfringement",
+    ],
+    "mit-liable": [
+        "in no event shall the authors or copyright holders be liable for any claim damages or other"
+        " liability whether in an action of contract tort or otherwise arising from out of or in"
+        " connection with the software or the use or other dealings in the software",
     ],
     "bsd-grant": [
         "redistribution and use in source and binary forms with or without modification are permitted"
         " provided that the following conditions are met"
     ],
-    "bsd-source": ["redistributions of source code must retain the above copyright notice"],
-    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice"],
+    "bsd-source": [
+        "redistributions of source code must retain the above copyright notice",
+        "redistributions of source code must retain the above copyright notice this list of conditions"
+        " and the following disclaimer",
+    ],
+    "bsd-binary": [
+        "redistributions in binary form must reproduce the above copyright notice",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions"
+        " and the following disclaimer in the documentation and or other materials provided with the"
+        " distribution",
+    ],
     "bsd-name": [
-        "neither the name of the copyright holder nor the names of its contributors may be used"
+        f"neither the name of the {owner} nor the names of its contributors may be used{rest}"
+        for owner in ("copyright holder", "copyright holders", "author", "organization", "university")
+        for rest in (
+            "",
+            " to endorse or promote products derived from this software without specific prior written"
+            " permission",
+        )
+    ],
+    "bsd-as-is": [
+        "this software is provided by the copyright holders and contributors as is and any express or"
+        " implied warranties including but not limited to the implied warranties of merchantability and"
+        " fitness for a particular purpose are disclaimed",
+    ],
+    "bsd-liable": [
+        f"in no event shall the copyright {owner} or contributors be liable for any direct indirect"
+        " incidental special exemplary or consequential damages including but not limited to procurement"
+        " of substitute goods or services loss of use data or profits or business interruption however"
+        " caused and on any theory of liability whether in contract strict liability or tort including"
+        " negligence or otherwise arising in any way out of the use of this software even if advised of"
+        " the possibility of such damage"
+        for owner in ("holder", "holders", "owner")
     ],
     "gpl3-short": [
         "this work is licensed under the gnu general public license version 3",
         "licensed under the gnu general public license version 3",
     ],
     "gpl-free": ["this program is free software you can redistribute it and or modify it"],
+    **{
+        f"gpl{version}-free": [
+            "this program is free software you can redistribute it and or modify it under the terms of the"
+            " gnu general public license as published by the free software foundation either version"
+            f" {version} of the license or at your option any later version"
+        ]
+        for version in (2, 3)
+    },
+    "gpl-hope": [
+        "this program is distributed in the hope that it will be useful but without any warranty without"
+        " even the implied warranty of merchantability or fitness for a particular purpose",
+    ],
+    "gpl-see": ["see the gnu general public license for more details"],
+    "gpl-copy": [
+        "you should have received a copy of the gnu general public license along with this program",
+        "you should have received a copy of the gnu general public license along with this program if not"
+        " write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa",
+    ],
+    "gpl-url": [
+        "if not see http www gnu org licenses",
+        "if not see https www gnu org licenses",
+    ],
     "cc-by-nc-4": [
         "licensed under cc by nc 4.0",
         "this work is licensed under cc by nc 4.0",
@@ -62,12 +156,25 @@ SENTENCES = {
 }
 # Licences and the sentences they consist of, tried in this order.
 RULES = [
+    ("MIT", ["mit-grant", "mit-notice", "as-is", "mit-liable"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-as-is", "bsd-liable"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liable"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("Apache-2.0", ["apache2-header", "apache2-copy", "apache2-url", "apache2-basis", "apache2-see"]),
+    ("Apache-2.0", ["apache2-header", "apache2-copy", "apache2-basis", "apache2-see"]),
+    ("Apache-2.0", ["apache2-header", "apache2-copy", "apache2-url"]),
+    ("Apache-2.0", ["apache2-header", "apache2-copy"]),
+    ("Apache-2.0", ["apache2-header"]),
     ("Apache-2.0", ["apache2-short", "apache2-may-not", "apache2-copy"]),
     ("Apache-2.0", ["apache2-short"]),
+    *[
+        (f"GPL-{version}.0", [f"gpl{version}-free", *rest])
+        for version in (3, 2)
+        for rest in (["gpl-hope", "gpl-see", "gpl-copy", "gpl-url"], ["gpl-hope", "gpl-see", "gpl-copy"], [])
+    ],
     ("GPL-3.0", ["gpl-free", "gpl3-short"]),
     ("GPL-3.0", ["gpl3-short"]),
     ("MIT", ["mit-short"]),
@@ -77,26 +184,57 @@ RULES = [
     ("All-Rights-Reserved", ["reserved"]),
 ]
 # Every known sentence holds one of these words, so texts without them need no cutting.
-CUES = "(?i)license|permission|redistribut|provided as is|contributors|public domain|rights reserved| cc by"
-# A sentence ends at a line end, or at these marks before a blank or the end.
-SENTENCE_END = "[.!?]+([ \\t\\n\\r]+|$)|[\\n\\r]+"
+CUES = "(?i)licen[sc]e|permission|redistribut|warrant|liable|contributors|domain|reserved|cc[^a-z0-9]+by"
+# Ends of sentences other than blank lines, in lower case: a web address, the colon after a licence's
+# conditions, the numeral of a list (dropped), and these marks before a blank or the end.
+ENDS = [
+    ("(https?://[^\\s<>]+)", "$1\n\n"),
+    ("(conditions|are\\s{1,9}met)[ \\t]*:(?=\\s|$)", "$1\n\n"),
+    ("(?<!version[ \\t]{0,9})(^|[\\n.:;])[^a-z0-9\\n.]*([0-9]{1,2}|[a-z])[.)](?=[ \\t]+[^ \\t\\n])", "$1\n\n"),
+    ("[.!?]+(?=[ \\t\\n]|$)", "\n\n"),
+]
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, anything but letters, digits and dots between digits as one blank."""
-    plain = F.regexp_replace(F.lower(sentence), "[^a-z0-9.]+", " ")
-    for dots in ("\\.+([^0-9.]|$)", "(^|[^0-9.])\\.+"):
-        plain = F.regexp_replace(plain, dots, " $1 ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+def normalised(text: Column) -> Column:
+    """Lower case, anything but letters, digits and dots between digits as one blank.
+
+    The end of a sentence is a bar, a line end within one a slash; the whole stands between bars.
+    """
+    plain = F.regexp_replace(F.lower(text), "\r\n?", "\n")
+    for pattern, end in ENDS:
+        plain = F.regexp_replace(plain, pattern, end)
+    plain = F.regexp_replace(plain, "[^a-z0-9.\\n]+", " ")
+    for dots, blank in (("\\.+([^0-9.]|$)", " $1"), ("(^|[^0-9.])\\.+", "$1 ")):
+        plain = F.regexp_replace(plain, dots, blank)
+    for pattern, mark in ((" *\\n *(?:\\n *)+", "|"), (" *\\n *", "/"), (" +", " ")):
+        plain = F.regexp_replace(plain, pattern, mark)
+    return F.concat(F.lit("|"), F.trim(plain), F.lit("|"))
 
 
 def sentence_ids(text: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
-    """Identifiers of the sentences of a text in order, null for unknown ones."""
-    pairs = [(known, name) for name, listed in sentences.items() for known in listed]
-    table = F.create_map(*[F.lit(part) for pair in pairs for part in pair])
-    cut = F.transform(F.split(text, SENTENCE_END, -1), normalised)
-    kept = F.filter(cut, lambda s: s != "")
-    return F.transform(kept, lambda s: F.try_element_at(table, s))
+    """Identifiers of the sentences of a text in order, null for what is unknown between them.
+
+    A known sentence begins and ends where a line or sentence does, and may be wrapped.
+    """
+    names = {known: name for name, listed in sentences.items() for known in listed}
+    table = F.create_map(*[F.lit(part) for pair in names.items() for part in pair])
+    longest = sorted(names, key=len, reverse=True)
+    any_known = "|".join(known.replace(".", "\\.").replace(" ", "[ /]") for known in longest)
+    pattern = f"(?<=[|/])(?:{any_known})(?=[|/])"
+
+    def placed(plain: Column) -> Column:
+        gaps = F.split(plain, pattern, -1)
+        found = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+        pairs = F.zip_with(
+            gaps,
+            found,
+            lambda gap, known: F.array(
+                F.when(gap.rlike("[a-z0-9]"), "-"), F.try_element_at(table, F.translate(known, "/", " "))
+            ),
+        )
+        return F.filter(F.flatten(pairs), lambda name: name.isNotNull())
+
+    return F.transform(let(normalised(text), placed), lambda name: F.nullif(name, F.lit("-")))
 
 
 def scan_licences(

@@ -1,4 +1,6 @@
-from newsweave.llm.licences import scan_licences
+import re
+
+from newsweave.llm.licences import CUES, SENTENCES, scan_licences
 
 GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
@@ -31,3 +33,110 @@ def test_rules(spark):
         assert (row.licences, row.n_known, row.n_left) == (licences, known, left)
         assert row.n_licences == (licences.count(",") + 1 if licences else 0)
     assert scan_licences(spark.createDataFrame(rows, "doc_id long, text string, licences string, _ids int").limit(0)).collect() == []
+
+
+MIT = '''MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+'''
+BSD = '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+'''
+BSD_NAME = '''
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+'''
+BSD_END = '''
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+'''
+APACHE = '''Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+GPL = '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+'''
+HEAD = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+REAL = {
+    "MIT": (MIT, 4),
+    "BSD-2-Clause": (BSD + BSD_END, 5),
+    "BSD-3-Clause": (BSD + BSD_NAME + BSD_END, 6),
+    "Apache-2.0": (APACHE, 5),
+    "GPL-3.0": (GPL, 5),
+    "All-Rights-Reserved,BSD-3-Clause": (HEAD + BSD + BSD_NAME + BSD_END, 7),
+}
+
+
+def test_real_licences(spark):
+    rows, expected = [], []
+    for licences, (text, known) in REAL.items():
+        joined = "\n\n".join(" ".join(part.split()) for part in text.split("\n\n"))
+        forms = [text, text.replace("\n", "\r\n"), "# " + text.replace("\n", "\n# ")]
+        if "Reserved" not in licences:
+            forms += [joined, " ".join(text[text.index("Perm") if licences == "MIT" else text.find("Licensed") + (text.find("Licensed") < 0) :].split())]
+        for form in forms:
+            rows.append((len(rows), form))
+            expected.append((licences, known))
+    got = scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    for row, (licences, known), (_, text) in zip(got, expected, rows, strict=True):
+        assert (row.licences, row.n_left) == (licences, 0), text
+        assert known - 1 <= row.n_known <= known, text
+
+
+def test_every_sentence_has_a_cue():
+    assert all(re.search(CUES, known) for listed in SENTENCES.values() for known in listed if not known.startswith("if not see"))
