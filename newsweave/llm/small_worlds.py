@@ -3,9 +3,9 @@
 Equal vectors are one point with a weight. Points are dealt to shards by hash; a shard's task
 builds a layered graph whose links are chosen for diversity, and every point queries every
 shard: greedily down the layers, then with a beam over the lowest. A query whose beam ends
-full of links searches again with twice the beam. An audit compares some queries of each
-group with the whole shard; while it finds less than the wanted share of links, all of the group
-search again with a wider beam. A beam as wide as a good part of the shard is the shard itself,
+full of links searches again with twice the beam. An audit compares queries of each group with
+the whole shard until enough of them have links; while the beam finds less than the wanted share
+of the links of any of these, it is widened. A group with too few such queries is compared whole. A beam as wide as a good part of the shard is the shard itself,
 compared point by point. What is found is verified by its cosine in double precision.
 
 Links are not listed: a query returns how many it has in a shard and one star link for the
@@ -28,14 +28,14 @@ from newsweave.session import write_out
 # Links of a point in a layer (twice as many in the lowest), and the beam while building.
 LINKS = 12
 BUILD_BEAM = 48
-BEAM = 24
+BEAM = 48
 # A beam over this share of a shard costs more than all of its points.
 WHOLE = 1 / 8
 # Points put into the graph, or searched for, at once.
 TOGETHER = 256
 # Beam entries opened in one step.
 STEP = 4
-# Queries of a group that are audited, and the share of their links to be found.
+# Queries with links that are audited in a group, and the share of each one's links to be found.
 AUDITED = 192
 RECALL = 0.995
 GRAPH = "at int, ids binary, weights binary, vectors binary, layers array<binary>"
@@ -237,16 +237,41 @@ class Graph:
             left, beam = np.concatenate(more), beam * 2
         return found
 
-    def audited(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
-        """``within``, with a beam that finds the wanted share of the links of some queries."""
-        some = np.unique(np.linspace(0, len(queries) - 1, AUDITED).astype(int))
-        true = (queries[some] @ self.vectors.T >= least).sum()
-        beam = BEAM
-        while True:
-            found = sum(map(len, self.within(queries[some], least, beam)))
-            if found >= RECALL * true or beam > WHOLE * len(self.vectors):
-                return self.within(queries, least, beam)
+    def audited(self, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """``within``, with a beam that finds the wanted share of the links of each audited query.
+
+        ``own`` is a query's own point, or -1: it is no link. Queries are compared with the whole
+        shard, in a drawn order, until ``AUDITED`` of them have links that a first beam could hold
+        (wider groups widen by themselves and show nothing). What has been compared is exact; where
+        links are too rare for an audit that is every query.
+        """
+        own = np.full(len(queries), -1) if own is None else own
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        drawn = np.random.default_rng(len(queries)).permutation(len(queries))
+        linked: list[int] = []
+        at = 0
+        while at < len(drawn) and len(linked) < AUDITED:
+            some = drawn[at : at + TOGETHER]
+            near = queries[some] @ self.vectors.T >= least
+            for query, true in zip(some.tolist(), near, strict=True):
+                found[query] = np.flatnonzero(true)
+                if 0 < (found[query] != own[query]).sum() < BEAM:
+                    linked.append(query)
+            at += len(some)
+        rest, audit, beam = drawn[at:], np.array(linked, np.int64), BEAM
+        if not len(rest):
+            return found
+        while beam <= WHOLE * len(self.vectors):
+            shown = self.within(queries[audit], least, beam)
+            if all(
+                np.isin(found[query], got)[found[query] != own[query]].mean() >= RECALL
+                for query, got in zip(audit.tolist(), shown, strict=True)
+            ):
+                break
             beam *= 2
+        for query, got in zip(rest.tolist(), self.within(queries[rest], least, beam), strict=True):
+            found[query] = got
+        return found
 
     def packed(self) -> list[bytes]:
         return [np.array([self.top], np.int64).tobytes(), *[layer.astype(np.int32).tobytes() for layer in self.layers]]
@@ -281,7 +306,9 @@ def find_links(shard: pd.DataFrame, part: pd.DataFrame, least: float) -> pd.Data
     if len(shard) and len(part):
         ids, weights, vectors = unpack(shard)
         query_ids, _, queries = unpack(part)
-        hits = Graph.unpacked(_unit(vectors), shard["layers"].iloc[0]).audited(_unit(queries), least)
+        place = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
+        own_points = np.where(ids[place] == query_ids, place, -1)
+        hits = Graph.unpacked(_unit(vectors), shard["layers"].iloc[0]).audited(_unit(queries), least, own_points)
         up = np.arange(len(ids)).tolist()
 
         def root(at: int) -> int:
