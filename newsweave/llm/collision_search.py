@@ -8,7 +8,8 @@ that has been inside enough windows is verified by its true inner product. The s
 ends when as many verified vectors as are wanted lie within the radius that the windows
 stand for, or when the windows hold the whole shard. Nothing limits how many are verified.
 
-Null, zero, non-finite and short vectors and null ids take no part. Ties go to the smaller id.
+Null, zero and non-finite vectors and null ids take no part; vectors are compared within their own
+length, scaled by the largest norm of the shard. Ties go to the smaller id.
 """
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsweave.llm.vectors import blocks, meet, parts_of, shards_of, unpack, usable_rows
+from newsweave.llm.vectors import blocks, dealt, layout, meet, unpack, usable_rows
 from newsweave.session import write_out
 
 PROJECTIONS = 112
@@ -104,24 +105,23 @@ def search(embeddings: DataFrame, is_query: Column, wanted: int = 20) -> DataFra
     each shard gives the result.
     """
     rows, _ = write_out(usable_rows(embeddings), "vectors")
-    squared = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
-    count, largest, asked = rows.agg(F.count("*"), F.sqrt(F.max(squared)), F.count_if(is_query)).first()
-    n_shards, n_parts = shards_of(count), parts_of(asked)
     packed = rows.select(F.col("vec_id").alias("id"), F.lit(1).alias("weight"), F.col("embedding").alias("vector"), is_query.alias("asked"))
-    shards = blocks(packed.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")))
-    queries = blocks(packed.where("asked").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int")))
+    places = layout(packed, F.col("asked"))
+    shards = blocks(dealt(packed, places, "shard"))
+    queries = blocks(dealt(packed.where("asked"), places, "part"))
 
     def run(shard: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
         if len(shard) and len(part):
             ids, _, vectors = unpack(shard)
+            largest = np.linalg.norm(vectors, axis=1).max()
             query_ids, _, asked_vectors = unpack(part)
             for at in range(0, len(query_ids), ROWS):
                 some = slice(at, at + ROWS)
                 out += nearest(ids, vectors, largest, query_ids[some], asked_vectors[some], wanted)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = meet(shards, n_shards, queries, n_parts, run, FOUND)
+    found = meet(shards, queries, places, run, FOUND)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(place))

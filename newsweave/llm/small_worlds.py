@@ -11,8 +11,8 @@ compared point by point. What is found is verified by its cosine in double preci
 Links are not listed: a query returns how many it has in a shard and one star link for the
 component of what it found, so a group of equal or near vectors never becomes all its pairs.
 
-Null, zero, non-finite and short vectors and null ids link with nothing: no links, a
-component of their own. Rows that repeat an id stay rows of their own, in the component of
+Null, zero and non-finite vectors and null ids link with nothing: no links, a component of
+their own. Vectors link within their own length. Rows that repeat an id stay rows of their own, in the component of
 their vectors.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.llm.graph import components
-from newsweave.llm.vectors import blocks, meet, parts_of, shards_of, unpack, usable_rows
+from newsweave.llm.vectors import blocks, dealt, layout, meet, unpack, usable_rows
 from newsweave.session import write_out
 
 # Links of a point in a layer (twice as many in the lowest), and the beam while building.
@@ -333,17 +333,16 @@ def similar_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     rows = usable_rows(embeddings)
     grouped = rows.groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     points, _ = write_out(grouped.withColumn("id", F.monotonically_increasing_id()), "points")
-    count = points.count()
-    n_shards, n_parts = shards_of(count), parts_of(count)
     packed = points.select("id", "weight", F.col("embedding").alias("vector"))
-    shards = blocks(packed.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")))
+    places = layout(packed, F.lit(True))
+    shards = blocks(dealt(packed, places, "shard"))
     graphs, _ = write_out(shards.groupBy("at").applyInPandas(build_shard, GRAPH), "graphs")
-    queries = blocks(packed.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int")))
+    queries = blocks(dealt(packed, places, "part"))
 
     def run(shard: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         return find_links(shard, part, least)
 
-    found, _ = write_out(meet(graphs, n_shards, queries, n_parts, run, "id long, n long, star long"), "found")
+    found, _ = write_out(meet(graphs, queries, places, run, "id long, n long, star long"), "found")
     joined = components(found.select(F.col("id").alias("a"), F.col("star").alias("b")))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     rooted = (

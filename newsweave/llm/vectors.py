@@ -1,7 +1,7 @@
 """Vectors as packed blocks, dealt to shards and query parts.
 
 A shard is a bounded number of vectors whose index one task can hold; queries are dealt into
-parts of a bounded number, and every part meets every shard once.
+parts of a bounded number, and every part meets every shard of its length once.
 """
 
 from collections.abc import Callable, Iterator
@@ -26,15 +26,10 @@ def usable(vector: Column) -> Column:
 
 
 def usable_rows(embeddings: DataFrame) -> DataFrame:
-    """vec_id and embedding (double) of the rows that take part.
-
-    A null id takes no part, nor does a vector shorter than the longest.
-    """
-    rows = embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
+    """vec_id and embedding (double) of the rows that take part. A null id takes no part."""
+    return embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    longest = rows.agg(F.max(F.size("embedding"))).first()[0]
-    return rows.where(F.size("embedding") == F.lit(longest))
 
 
 def shards_of(rows: int) -> int:
@@ -45,6 +40,28 @@ def parts_of(rows: int) -> int:
     return max(1, -(-rows // PART_ROWS))
 
 
+def layout(rows: DataFrame, asked: Column) -> DataFrame:
+    """Per length of ``vector``: its first shard and part, and how many of each it has.
+
+    Vectors are compared within their own length, so each length has shards and parts of its
+    own. One row per length that occurs reaches the driver.
+    """
+    counted = rows.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("all"), F.count_if(asked).alias("asked"))
+    placed, shard, part = [], 0, 0
+    for length, every, some in sorted(map(tuple, counted.collect())):
+        placed.append((length, shard, shards_of(every), part, parts_of(some)))
+        shard, part = shard + shards_of(every), part + parts_of(some)
+    names = "length int, shard int, shards int, part int, parts int"
+    return rows.sparkSession.createDataFrame(placed, names)
+
+
+def dealt(rows: DataFrame, places: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with ``at``: their ``shard`` or ``part``, by length and hash of the id."""
+    mine = F.broadcast(places.select("length", F.col(kind).alias("_first"), F.col(f"{kind}s").alias("_count")))
+    at = F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_count")).cast("int")
+    return rows.withColumn("length", F.size("vector")).join(mine, "length").withColumn("at", at)
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """Rows of at, id, weight and vector, packed into ``BLOCK`` by ``at`` before any shuffle."""
 
@@ -72,15 +89,18 @@ def unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[order], weights[order], vectors[order]
 
 
-def meet(
-    shards: DataFrame, n_shards: int, queries: DataFrame, n_parts: int, search: Callable, schema: str
-) -> DataFrame:
-    """``search(shard rows, query blocks)`` for every shard and every part of the queries.
+def meet(shards: DataFrame, queries: DataFrame, places: DataFrame, search: Callable, schema: str) -> DataFrame:
+    """``search(shard rows, query blocks)`` for every shard and every part of queries of its length.
 
     Shards travel once per part and queries once per shard; a group is one of each.
     """
-    left = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    right = queries.withColumnRenamed("at", "part").withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
-    )
+
+    def others(own: str, other: str) -> DataFrame:
+        every = F.sequence(F.col(own), F.col(own) + F.col(f"{own}s") - 1)
+        last = F.col(other) + F.col(f"{other}s") - 1
+        return F.broadcast(places.select(F.explode(every).alias("at"), F.col(other).alias("_first"), last.alias("_last")))
+
+    each = F.explode(F.sequence("_first", "_last"))
+    left = shards.join(others("shard", "part"), "at").withColumn("part", each).drop("_first", "_last")
+    right = queries.join(others("part", "shard"), "at").withColumnRenamed("at", "part").withColumn("at", each).drop("_first", "_last")
     return left.groupBy("at", "part").cogroup(right.groupBy("at", "part")).applyInPandas(search, schema)

@@ -114,3 +114,20 @@ def test_recall_on_given_vectors(spark, tables):
     true = {int(ids[i]): set(ids[np.lexsort((ids, -products[i]))[:20]].tolist()) for i in np.flatnonzero(ids % 20 == 0)}
     assert got.keys() == true.keys()
     assert sum(len(got[q] & true[q]) for q in true) >= 0.9 * 20 * len(true)
+
+
+def test_overlong_row(spark):
+    """One row with a component too many takes no other row out, nor links with any."""
+    vectors = clustered(np.random.default_rng(7), 200, 16, 5, 0.1)
+    two = [(5000, [1.0] * 17, 0, 1, 2), (5001, [1.0] * 3, 0, 1, 2), (5002, [2.0] * 3, 0, 1, 2)]
+    frame = spark.createDataFrame(rows_of(vectors) + two, SCHEMA)
+    got = {r.vec_id: r for r in small_worlds.similar_vectors(frame).collect()}
+    links, label = expected_links(vectors, 0.9)
+    assert sum(links) > 0 and [got[i].n_links for i in range(200)] == links.tolist()
+    assert [got[i].component_id for i in range(200)] == label.tolist()
+    assert [(got[i].n_links, got[i].component_id) for i in (5000, 5001, 5002)] == [(0, 5000), (1, 5001), (1, 5001)]
+    ranked = {}
+    for row in collision_search.search(frame, F.col("vec_id").isin(0, 5000, 5001)).collect():
+        ranked.setdefault(row.query_id, []).append(row.vec_id)
+    assert len(ranked[0]) == 20 and max(ranked[0]) < 200
+    assert ranked.keys() == {0, 5001} and ranked[5001] == [5002]
