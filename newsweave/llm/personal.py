@@ -30,6 +30,18 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"://[^\s:/?#@]+:[^\s:/?#@]+@")
 ACCOUNT = re.compile(r"(?:[ ]?(?:no|nr|number|id))?\.?[ ]?[:#=]?[ ]?([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}|[0-9]{8,34})")
+# Characters of an IBAN by its country; others have 15 to 34.
+IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 CUES = ("account", "iban", "konto", "compte", "cuenta", "passport")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 
@@ -58,6 +70,22 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def account_end(text: str, start: int, end: int) -> int:
+    """Where the account that begins at ``start`` ends, by its check digits, or 0.
+
+    ``end`` is that of the run of capitals, digits and single blanks, which what follows the
+    account may be part of. The country's size goes first, then the whole run, then, where the
+    country is not known, the run's blanks from the last.
+    """
+    ends = [at + 1 for at in range(start, end) if text[at] != " "]
+    size = IBAN_SIZES.get(text[start : start + 2])
+    tried = [ends[size - 1]] if size and size <= len(ends) else []
+    tried.append(end)
+    if not size:
+        tried += [at for at in reversed(ends[14:-1]) if text[at] == " "]
+    return next((at for at in tried if iban(text[start:at].replace(" ", ""))), 0)
+
+
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int, str]]:
     """Spans of a text as (start, place of the kind, end, kind), in order.
 
@@ -95,9 +123,9 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int,
                 scheme = SCHEME.search(text[max(0, start - 20) : start])
                 keep("login", start - len(scheme[0]) if scheme else start, m.end(), bool(scheme))
         elif last + 1 >= after["account"] and (m := ACCOUNT.match(text, last + 1)):
-            number = m[1].replace(" ", "")
-            if number.isdigit() or iban(number):
-                keep("account", m.start(1), m.end(1))
+            end = m.end(1) if m[1].isdigit() else account_end(text, m.start(1), m.end(1))
+            if end:
+                keep("account", m.start(1), end)
     out.sort()
     return out
 

@@ -50,6 +50,19 @@ def test_added():
     assert shown("on account of it, 1 2 3") == []
 
 
+def test_account_before_capitals_and_digits():
+    def shown(text):
+        return [text[start:end] for start, _, end, kind in personal.find(text, ANCHORS) if kind == "account"]
+
+    spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    for after in (" BIC COBADEFFXXX", " 12 May", " A new", " X", " 1", " GB82 WEST 1234 5698 7654 32", ".", "", "x", "BIC", "12"):
+        assert shown(f"IBAN: {spaced}{after}") == [spaced]
+        assert shown(f"IBAN {plain}{after}") == [plain]
+    assert shown("IBAN: NO93 8601 1117 947 BIC DNBANOKK") == ["NO93 8601 1117 947"]
+    assert shown("IBAN DE89370400440532013001 A new") == []
+    assert personal.mask(f"IBAN: {spaced} BIC COBADEFFXXX", ANCHORS) == "IBAN: [account] BIC COBADEFFXXX"
+
+
 def test_long_texts_are_linear():
     for text in ("1" * 300_000, "a@" * 100_000, "+1(" * 100_000, "1.2.3." * 50_000, "://a:" * 60_000):
         personal.find(text, ANCHORS)
