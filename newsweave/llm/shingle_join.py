@@ -367,9 +367,8 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     return inner.unionByName(between)
 
 
-def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, linking where den * I >= num * U."""
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _placed_rows(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Per document: doc_id, size, class and the component of its class (its smallest doc_id)."""
     sketches, _ = write_out(_sketches(documents, words), "sketches")
     links = _links(documents, sketches.where("doc_id is not null and size > 0"), words, num, den)
     joined = components(links).select(F.col("node").alias("class"), F.col("component").alias("root"))
@@ -377,7 +376,13 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     rooted = least.join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.join(named, "root").select("class", "component_id")
-    return sketches.join(by_class, "class", "left").select(
+    return sketches.join(by_class, "class", "left")
+
+
+def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, linking where den * I >= num * U."""
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _placed_rows(documents, words, num, den).select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(F.col("size") == 0, F.col("doc_id"))
@@ -387,9 +392,24 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
 
 
 def one_of_each(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``documents`` without those whose component has a smaller doc_id; columns stay."""
-    found = similar_documents(documents, words, num, den)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return documents.join(broadcast_if_small(write_out(gone, "gone")[0]), "doc_id", "left_anti").select(
-        *documents.columns
+    """``documents`` with one row of each component; columns stay.
+
+    Rows are told apart by a key of their own, so repeated rows, rows that share an id and rows
+    without one take part each with its text. The row with the smallest doc_id stays, then that
+    of the smallest class; a row with an id goes before one without. Of rows without shingles one
+    for each id stays, and all that have no id.
+    """
+    keyed = documents.withColumn("_row", F.monotonically_increasing_id())
+    rows, _ = write_out(keyed, "rows")
+    texts = rows.select(F.col("_row").alias("doc_id"), "text")
+    found = _placed_rows(texts, words, num, den).select(
+        F.col("doc_id").alias("_row"), "class", F.when(F.col("size") > 0, F.col("component_id")).alias("_component")
     )
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id"))
+    members, _ = write_out(found.join(ids, "_row").where("_component is not null or _id is not null"), "members")
+    # Without shingles the id stands for the component.
+    alone = F.when(F.col("_component").isNull(), F.col("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "class", "_row"))["_row"]
+    kept = members.groupBy("_component", alone).agg(first.alias("_row")).select("_row")
+    gone = members.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(broadcast_if_small(write_out(gone, "gone")[0]), "_row", "left_anti").select(*documents.columns)

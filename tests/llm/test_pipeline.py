@@ -10,7 +10,7 @@ from test_personal import base
 from test_shingle_join import brute
 
 import corpus_pipeline
-from newsweave.llm import mixing
+from newsweave.llm import mixing, shingle_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MASK = re.compile(r"\[(email|ip|card|phone|login|account)\]")
@@ -66,3 +66,18 @@ def test_run(spark, tables):
     rows = corpus_pipeline.run(spark, tables)
     assert rows.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"]
     assert rows.count() > 0 and rows.where("not round_trip").count() == 0
+
+
+def test_one_of_each_keeps_one_row_of_each(spark):
+    """Repeated rows, one id with two texts, and copies without an id."""
+    one, two, three = (" ".join(f"{word}{i}" for i in range(40)) for word in "abc")
+    rows = [
+        (1, one), (1, one), (1, one), (3, one + " more"), (3, two), (4, two), (4, two), (None, two), (None, three),
+        (None, three), (None, three), (7, ""), (7, ""), (8, ""), (None, ""), (None, None),
+    ]
+    frame = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = shingle_join.one_of_each(frame.repartition(5))
+    assert got.columns == frame.columns
+    expected = [(1, one), (3, two), (None, three), (7, ""), (8, ""), (None, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+    assert shingle_join.one_of_each(frame.limit(0)).collect() == []
