@@ -32,10 +32,10 @@ from newsweave.llm.language import fold
 from newsweave.llm.words import Hashes
 from newsweave.session import write_out
 
-DEPTH = 4
+DEPTH = 5
 # Bytes of text in a block, unless one text alone is longer, and of input for each bucket.
 BLOCK = 12 << 20
-BUCKET = 16 << 20
+BUCKET = 6 << 20
 # Rows read from a batch at once.
 ROWS = 500
 # Keys that wait at most before a block sums them.

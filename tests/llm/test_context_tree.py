@@ -125,3 +125,8 @@ def test_nothing_to_learn_from(spark):
     assert tree.context_tree_scores(frame.limit(0)).collect() == []
     with pytest.raises(ValueError):
         tree.score_documents(frame, F.lit(True), 9)
+
+
+def test_default_depth():
+    """The model is not made smaller to fit a limit."""
+    assert tree.DEPTH >= 5
