@@ -27,7 +27,7 @@ SHARE = 0.66
 # The first radius, and how much wider each step is.
 FIRST = 0.3
 WIDER = 1.25
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "key long, query_id long, vec_id long, score double"
 
 
 class Arrays:
@@ -50,9 +50,9 @@ class Arrays:
 
 
 def nearest(
-    ids: np.ndarray, vectors: np.ndarray, largest: float, query_ids: np.ndarray, queries: np.ndarray, wanted: int
-) -> list[tuple[int, int, float]]:
-    """The nearest found in a shard for each query: (query, id, inner product)."""
+    ids: np.ndarray, vectors: np.ndarray, largest: float, keys: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, wanted: int
+) -> list[tuple[int, int, int, float]]:
+    """The nearest found in a shard for each query: (its key and id, id, inner product)."""
     scaled = vectors / largest
     lifted = np.hstack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1, keepdims=True)))])
     arrays = Arrays(lifted)
@@ -90,7 +90,7 @@ def nearest(
     out = []
     for query, (found, where) in enumerate(zip(scores, places, strict=True)):
         best = np.lexsort((ids[where], -found))[:wanted]
-        out += [(int(query_ids[query]), int(ids[where[b]]), float(found[b])) for b in best]
+        out += [(int(keys[query]), int(query_ids[query]), int(ids[where[b]]), float(found[b])) for b in best]
     return out
 
 
@@ -101,6 +101,8 @@ ROWS = 256
 def search(embeddings: DataFrame, is_query: Column, wanted: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest vectors.
 
+    A query row that repeats is searched once; an id with several vectors is a query for each of them.
+
     A shard returns its own nearest; one ranking per query over a bounded number of rows from
     each shard gives the result.
     """
@@ -108,21 +110,24 @@ def search(embeddings: DataFrame, is_query: Column, wanted: int = 20) -> DataFra
     packed = rows.select(F.col("vec_id").alias("id"), F.lit(1).alias("weight"), F.col("embedding").alias("vector"), is_query.alias("asked"))
     places = layout(packed, F.col("asked"))
     shards = blocks(dealt(packed, places, "shard"))
-    queries = blocks(dealt(packed.where("asked"), places, "part"))
+    distinct = packed.where("asked").dropDuplicates(["id", "vector"])
+    # Each query's key travels as its weight.
+    keyed, _ = write_out(distinct.withColumn("weight", F.monotonically_increasing_id()), "queries")
+    queries = blocks(dealt(keyed, places, "part"))
 
     def run(shard: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, float]] = []
         if len(shard) and len(part):
             ids, _, vectors = unpack(shard)
             largest = np.linalg.norm(vectors, axis=1).max()
-            query_ids, _, asked_vectors = unpack(part)
+            query_ids, keys, asked_vectors = unpack(part)
             for at in range(0, len(query_ids), ROWS):
                 some = slice(at, at + ROWS)
-                out += nearest(ids, vectors, largest, query_ids[some], asked_vectors[some], wanted)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += nearest(ids, vectors, largest, keys[some], query_ids[some], asked_vectors[some], wanted)
+        return pd.DataFrame(out, columns=["key", "query_id", "vec_id", "score"])
 
     found = meet(shards, queries, places, run, FOUND)
-    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    place = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(place))
         .where(F.col("rank") <= wanted)

@@ -131,3 +131,16 @@ def test_overlong_row(spark):
         ranked.setdefault(row.query_id, []).append(row.vec_id)
     assert len(ranked[0]) == 20 and max(ranked[0]) < 200
     assert ranked.keys() == {0, 5001} and ranked[5001] == [5002]
+
+
+def test_repeated_query_row(spark):
+    """A query row that repeats, and an id with two vectors, get all of their nearest."""
+    vectors = clustered(np.random.default_rng(9), 100, 16, 5, 0.1)
+    rows = rows_of(vectors)
+    once = {(r["rank"], r.vec_id) for r in collision_search.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 3).collect()}
+    frame = spark.createDataFrame([*rows, rows[3], rows[3]], SCHEMA)
+    again = [(r["rank"], r.vec_id) for r in collision_search.search(frame, F.col("vec_id") == 3).collect()]
+    assert len(again) == 20 and set(again) == once
+    frame = spark.createDataFrame([*rows, (3, rows[7][1], 0, 1, 2)], SCHEMA)
+    two = [r["rank"] for r in collision_search.search(frame, F.col("vec_id") == 3).collect()]
+    assert sorted(two) == sorted([*range(1, 21)] * 2)
