@@ -80,10 +80,11 @@ def newest_unique(
     if size is not None and size <= ONE_TASK:
         unique = newest_first(unique, arrival).limit(size)
     elif size is not None:
-        numbered = number_rows(unique.drop("url", "published"), digest_order(arrival), "_place")
+        numbered = number_rows(unique.drop("published"), digest_order(arrival), "_place")
         unique = numbered.where(F.col("_place") <= size)
-    chosen = materialize(unique.select("published_ts", *arrival))
-    return articles.join(broadcast_if_small(chosen), arrival)
+    # Arrival ids of files may meet by chance, so the address is part of the key.
+    chosen = materialize(unique.select("url", "published_ts", *arrival))
+    return articles.join(broadcast_if_small(chosen), ["url", *arrival])
 
 
 def digest(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsweave.operators import images, ranking, upsert
-from newsweave.plans.digest import digest
+from newsweave.plans.digest import digest, newest_unique
 from newsweave.sources import feeds, listing
 
 ARRIVAL = ["source_rank", "payload_id", "position"]
@@ -98,3 +98,20 @@ def test_digest_reread_shuffles_no_text(table):
 def test_page_scan_reads_two_columns(table):
     text = plan(images.page_images(table[1], ["bbc.com"]))
     assert "ReadSchema: struct<url:string,html:string>" in text
+
+
+@pytest.mark.parametrize("size", [1, 200_000])
+def test_two_files_with_one_arrival_id(spark, size):
+    """Rows of another file that met the same arrival do not come with a chosen one."""
+    rows = [("https://a/1", "2025-01-02", 7, 1), ("https://b/1", "2025-01-01", 7, 1), ("https://b/1", "2025-01-01", 9, 1)]
+    articles = spark.createDataFrame(rows, "url string, published string, payload_id long, position long")
+    got = newest_unique(articles, size, ["payload_id", "position"], False).collect()
+    assert sorted(r.url for r in got) == ["https://a/1", "https://b/1"][: min(size, 2)]
+
+
+def test_first_of_each_address_with_one_arrival_id(spark):
+    """The later row of an address stays out though a chosen row shares its arrival."""
+    rows = [("https://a/1", "2025-01-02", 7, 1), ("https://b/1", "2025-01-01", 7, 1), ("https://b/1", "2025-01-01", 5, 1)]
+    articles = spark.createDataFrame(rows, "url string, published string, payload_id long, position long")
+    got = newest_unique(articles, None, ["payload_id", "position"], False).collect()
+    assert sorted((r.url, r.payload_id) for r in got) == [("https://a/1", 7), ("https://b/1", 5)]
