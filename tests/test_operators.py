@@ -13,14 +13,14 @@ from newsweave.plans.reports import article_preview, url_list
 RUN_TS = datetime(2025, 1, 13, 15, 30)
 ARRIVAL = ["source_rank", "payload_id", "position"]
 SAMPLE = [
-    {"title": "One", "url": "https://example.com/article1", "published": "2025-01-01T10:00:00Z"},
-    {"title": "Two", "url": "https://example.com/article2", "published": "2025-01-02T10:00:00Z"},
+    {"title": "One", "url": "https://north.test/tides?id=1", "published": "2025-01-01T10:00:00Z"},
+    {"title": "Two", "url": "https://south.test/winds", "published": "2025-01-02T10:00:00Z"},
 ]
 
 
 def test_dedupe_keeps_first_of_each_url(make_articles):
     given = make_articles(SAMPLE + [SAMPLE[0] | {"title": "Again"}, {"url": ""}, {"url": None},
-                                    {"url": "HTTPS://example.com/article1", "title": "Other case"}])
+                                    {"url": "HTTPS://north.test/tides?id=1", "title": "Other case"}])
     kept = ranking.keep_first(given, ARRIVAL).orderBy(*ARRIVAL).collect()
     assert [row.title for row in kept] == ["One", "Two", "Other case"]
     (counts,) = statistics.dedup_metrics(given).collect()
