@@ -12,6 +12,7 @@ from newsweave.llm import (
     language,
     licences,
     mixing,
+    periodic_runs,
     personal,
     pieces,
     secret_ledger,
@@ -90,6 +91,11 @@ def op10_anchored_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_digest(personal.find_personal(documents))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document."""
+    return periodic_runs.run_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_small_worlds,
         op9_collision_counts,
         op10_anchored_personal,
+        op11_periodic_runs,
     )
 }
 
