@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsweave.llm import (
     collision_search,
     context_tree,
+    exact_copies,
     language,
     licences,
     mixing,
@@ -96,6 +97,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of every document's exact copies stays."""
+    return exact_copies.exact_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_collision_counts,
         op10_anchored_personal,
         op11_periodic_runs,
+        op12_digest_merge,
     )
 }
 
@@ -208,9 +215,15 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+_OP12 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_ledger": _OP1,
     "op2_sentence_licences": _OP2,
     "op6_source_mix": _OP6,
     "op7_count_tree": _OP7,
+    "op12_digest_merge": _OP12,
 }

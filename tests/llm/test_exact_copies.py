@@ -1,0 +1,130 @@
+"""Exact copies against plain grouping."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from newsweave.llm import exact_copies as exact
+
+SCHEMA = "doc_id long, text string, digest string, row int, part string, _row int"
+
+
+def by_hand(rows, largest=True, normal=lambda text: text):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[normal(text or "")].append(doc_id)
+    found = []
+    for text, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        keep = (max if largest else min)(known) if known else None
+        shown = hashlib.sha256(text.encode()).hexdigest()
+        first = ids.index(keep)  # of rows that repeat the id one stays
+        found += [(doc_id, keep, len(ids), at == first, shown) for at, doc_id in enumerate(ids)]
+    return sorted(found, key=repr)
+
+
+def make(spark, rows, parts=5):
+    return spark.createDataFrame([(*row, "x", 7, "p", 9) for row in rows], SCHEMA).repartition(parts)
+
+
+def some(rng, count):
+    texts = ["", None, "hot", "hot ", "Hot", "é", "long " * 5000]
+    return [(rng.choice([at, at, at, None, at // 3, -at]), rng.choice([rng.choice(texts), "hot", f"text {rng.randrange(60)}", f"t{at}"]))
+            for at in range(count)]
+
+
+@pytest.mark.parametrize("largest", [True, False])
+@pytest.mark.parametrize("run_rows,digit", [(1 << 16, 4), (3, 1), (7, 2)])
+def test_by_hand(spark, monkeypatch, largest, run_rows, digit):
+    """Few rounds, and many: binary merging of runs of three."""
+    monkeypatch.setattr(exact, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(exact, "DIGIT", digit)
+    monkeypatch.setattr(exact, "FAN", 1 << digit)
+    rows = some(random.Random(run_rows), 150)
+    with_limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", run_rows)
+    try:
+        found = exact.exact_copies(make(spark, rows), largest=largest).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_limit)
+    assert sorted(map(tuple, found), key=repr) == by_hand(rows, largest)
+
+
+def test_normalised(spark):
+    rows = some(random.Random(9), 80)
+    found = exact.exact_copies(make(spark, rows), F.lower(F.trim("text"))).collect()
+    assert sorted(map(tuple, found), key=repr) == by_hand(rows, normal=lambda text: text.strip(" ").lower())
+
+
+def test_drop_copies(spark):
+    rows = some(random.Random(4), 120)
+    given = make(spark, rows)
+    kept = exact.drop_copies(given)
+    assert kept.schema == given.schema
+    wanted = sorted(((r[0], r[4]) for r in by_hand(rows) if r[3]), key=repr)
+    got = sorted(((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in kept.collect()), key=repr)
+    assert got == wanted
+    assert {r._row for r in kept.collect()} == {9}
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], SCHEMA)
+    assert exact.exact_copies(frame).collect() == []
+    assert exact.drop_copies(frame).collect() == []
+
+
+def test_agreeing_digests_alone_stay_apart():
+    """Entries of one digest with another length or second hash are other texts."""
+    base = np.arange(exact.COUNT + 1, dtype=np.uint64)
+    base[exact.HAS] = 1
+    other, same = base.copy(), base.copy()
+    other[4] += np.uint64(1)
+    same[exact.ID] += np.uint64(5)
+    out = exact.merged([base[None], other[None], same[None]], largest=True)
+    assert len(out) == 2
+    assert sorted(out[:, exact.COUNT].tolist()) == sorted([2 * int(base[exact.COUNT]), int(base[exact.COUNT])])
+    assert max(out[:, exact.ID].tolist()) == int(same[exact.ID])
+
+
+def test_slots_meet():
+    """Pieces of one part of the digests come from every run to one slot, round after round."""
+    rng = np.random.default_rng(3)
+    texts = rng.integers(0, 1 << 63, (400, exact.COUNT + 1)).astype(np.uint64) << np.uint64(1)
+    texts[:, exact.HAS] = texts[:, exact.COUNT] = 1
+    sent = defaultdict(list)
+    for address in range(300):
+        own = texts[rng.integers(0, 400, 9)].copy()
+        for slot, piece in exact.pieces(exact.merged([own], True), address, 0, 0):
+            sent[slot].append(np.frombuffer(piece, np.uint64).reshape(-1, exact.COUNT + 1))
+    last = exact.rounds(300)
+    assert last == 3
+    for level in range(1, last):
+        after = defaultdict(list)
+        for slot, parts in sent.items():
+            own = exact.merged(parts, True)
+            for to, piece in exact.pieces(own, slot >> 4 * level, slot & (1 << 4 * level) - 1, level):
+                after[to].append(np.frombuffer(piece, np.uint64).reshape(-1, exact.COUNT + 1))
+        sent = after
+    ends = [exact.merged(parts, True) for parts in sent.values()]
+    held = np.concatenate(ends)
+    assert max(sent) < 16**3
+    assert len(np.unique(held[:, 0])) == len(held)
+    assert held[:, exact.COUNT].sum() == 2700
+
+
+def test_rounds():
+    assert [exact.rounds(n) for n in (0, 1, 2, 16, 17, 256, 257)] == [1, 1, 1, 1, 2, 2, 3]
+
+
+def test_hot_text_returns_by_parts(spark):
+    """No task of the plan gathers a text's rows by its digest alone."""
+    rows = spark.range(0, 9000, numPartitions=6).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    found = exact.exact_copies(rows)
+    (last,) = found.groupBy("keep_id").count().where("count > 1").collect()
+    assert tuple(last) == (8997, 3000)
+    assert found.where("kept").count() == 6001
