@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweave.llm.words import plain_row_name
 from newsweave.session import write_out
 
 # Runs merged at once, as a power of two, and entries of a run before the first round.
@@ -213,9 +214,7 @@ def exact_copies(documents: DataFrame, text: Column | None = None, largest: bool
 def drop_copies(documents: DataFrame, text: Column | None = None, largest: bool = True) -> DataFrame:
     """``documents`` with one row of each text; columns stay."""
     text = F.col("text") if text is None else text
-    own = "_row"
-    while own in documents.columns:
-        own += "_"
+    own = plain_row_name(documents.columns)
     rows, _ = write_out(documents.withColumn(own, F.monotonically_increasing_id()), "rows")
     digests, _ = write_out(_digests(rows, text, F.col(own)), "digests")
     gone = _copies(digests, largest).where("row != keep_row").select(F.col("row").alias(own))

@@ -19,6 +19,7 @@ from newsweave.llm import (
     secret_ledger,
     shingle_join,
     small_worlds,
+    target_resampling,
 )
 from newsweave.session import scratch_path, write_out
 
@@ -102,6 +103,11 @@ def op12_digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.exact_copies(_table(spark, sf_dir, "documents"))
 
 
+def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document against the benchmark."""
+    return target_resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_anchored_personal,
         op11_periodic_runs,
         op12_digest_merge,
+        op13_crc_resampling,
     )
 }
 
@@ -220,10 +227,35 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
     doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""
 
+# CRC-32 byte by byte, of each distinct word once.
+_OP13 = """
+WITH RECURSIVE k(b, v, step) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+    SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM k WHERE step < 8),
+c AS (SELECT list(v ORDER BY b) AS l FROM k WHERE step = 8),
+f AS (SELECT side, doc_id, unnest(w) AS word FROM (SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+      FROM (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark))),
+h AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        range(1, octet_length(encode(word))::BIGINT + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::BIGINT)),
+        lambda a, x: xor(l[xor(a & 255, x) + 1], a >> 8))) % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), c),
+n AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM f JOIN h USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM n) + 10000))::DOUBLE
+        / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))::DOUBLE))::BIGINT AS gain FROM n),
+w AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+      FROM f JOIN h USING (word) JOIN g USING (bucket) WHERE side = 's' GROUP BY doc_id),
+r AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT
+        AS score FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS eligible FROM r)
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN n_features >= 20 AND place <= eligible * 10 // 100 THEN place END AS rank FROM o"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_ledger": _OP1,
     "op2_sentence_licences": _OP2,
     "op6_source_mix": _OP6,
     "op7_count_tree": _OP7,
     "op12_digest_merge": _OP12,
+    "op13_crc_resampling": _OP13,
 }

@@ -1,4 +1,4 @@
-"""Words as 64-bit hashes."""
+"""Words as 64-bit hashes, and names for columns of one's own."""
 
 import xxhash
 
@@ -15,3 +15,11 @@ class Hashes(dict):
             self.clear()
         self[word] = value
         return value
+
+
+def plain_row_name(columns: list[str]) -> str:
+    """A name for a key of the rows that no given column has."""
+    own = "_row"
+    while own in columns:
+        own += "_"
+    return own

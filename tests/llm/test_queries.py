@@ -14,7 +14,7 @@ def connection(tables):
 
 def test_registered():
     assert QUERIES.items() <= queries().items() and ORACLE.items() <= oracle_sql().items()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert "pipeline" in queries()
 
 
