@@ -14,7 +14,8 @@ the tasks as bytes: its size is that of the model file.
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -26,10 +27,12 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
-# Chunks and pairs remembered by a task; older ones are worked out again.
-REMEMBERED = 1_000_000
+# Short chunks that a Python worker remembers: twice so many at most, some 200 bytes each.
+REMEMBERED = 300_000
 # A longer chunk is not worth remembering.
 LONGEST = 64
+# Pairs of pieces remembered; older ones are worked out again.
+PAIRS = 400_000
 # Rows of a batch returned to Spark.
 ROWS = 500
 
@@ -69,13 +72,17 @@ class Vocabulary:
             elif piece.type == kinds.CONTROL:
                 shown = b""
             self.bytes.append(shown)
-        self.found = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.found.add_word(piece, len(piece))
-        self.found.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks = Chunks(self)
 
+    @cached_property
+    def found(self) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton()
+        for piece in self.ids:
+            found.add_word(piece, len(piece))
+        found.make_automaton()
+        return found
+
     def merged(self, text: str) -> list[str]:
         """The merges of a short text, best score first, leftmost among equals."""
         parts = list(text)
@@ -94,7 +101,7 @@ class Vocabulary:
         key = (before, piece)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.merged(before + piece) == ([before, piece] if before else [piece])
             self.pairs[key] = known
@@ -150,74 +157,100 @@ class Vocabulary:
         return b"".join([self.chunks[chunk] for chunk in chunks]) + end
 
     def decode(self, ids: list[int]) -> str:
-        shown = b"".join([self.bytes[number] for number in ids])
+        shown = b"".join(map(self.bytes.__getitem__, ids))
         return shown.decode("utf-8", "replace").removeprefix(" ")
 
 
 class Chunks(dict):
-    """Packed ids by chunk, filled when asked; of a bounded size."""
+    """Packed ids by chunk, filled when asked; keeps those used since it was last half renewed."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.before = vocabulary, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        packed = self.vocabulary.chunk_ids(chunk)
+        packed = self.before.get(chunk)
+        if packed is None:
+            packed = self.vocabulary.chunk_ids(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed
 
 
+class Shared:
+    """A model as it is handed to the workers; each reads it once for all its tasks."""
+
+    def __init__(self, model: bytes) -> None:
+        self.model = model
+
+    def __getstate__(self) -> dict:
+        return {"model": self.model}
+
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary(self.model)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
 
 
-def encode_documents(documents: DataFrame, model: bytes, column: str = "ids") -> DataFrame:
-    """``documents`` with the ids of its ``text``, an end id last. A map over the rows."""
-    others = [name for name in documents.columns if name != column]
-    schema = T.StructType([documents.schema[n] for n in others]).add(column, T.ArrayType(T.IntegerType()))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _mapped(documents: DataFrame, model: bytes, added: dict[str, T.DataType], work: Callable) -> DataFrame:
+    """``documents`` with columns added by ``work`` from some rows and the vocabulary. A map over the rows."""
+    others = [name for name in documents.columns if name not in added]
+    schema = T.StructType([documents.schema[n] for n in others] + [T.StructField(n, t) for n, t in added.items()])
+    shared = documents.sparkSession.sparkContext.broadcast(Shared(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = shared.value.vocabulary
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
-                packed = [vocabulary.encode(t) for t in rows.column("text").to_pylist()]
-                ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(ends), values)
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in others], ids], [*others, column])
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in others], *work(vocabulary, rows)], schema.names)
 
     return documents.select(*others).mapInArrow(run, schema)
 
 
+def _encoded(vocabulary: Vocabulary, rows: pa.RecordBatch) -> tuple[pa.Array, list[np.ndarray]]:
+    packed = [np.frombuffer(vocabulary.encode(text), np.int32) for text in rows.column("text").to_pylist()]
+    ends = np.cumsum([0, *map(len, packed)], dtype=np.int32)
+    values = np.concatenate(packed) if packed else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), packed
+
+
+def encode_documents(documents: DataFrame, model: bytes, column: str = "ids") -> DataFrame:
+    """``documents`` with the ids of its ``text``, an end id last."""
+    return _mapped(documents, model, {column: T.ArrayType(T.IntegerType())}, lambda v, rows: [_encoded(v, rows)[0]])
+
+
 def decode_documents(encoded: DataFrame, model: bytes, column: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ``ids``; null ids give null. A map over the rows."""
-    others = [name for name in encoded.columns if name != column]
-    schema = T.StructType([encoded.schema[n] for n in others]).add(column, T.StringType())
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    """``encoded`` with the text of its ``ids``; null ids give null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(start, ROWS)
-                each = (v.values.to_numpy().tolist() if v.is_valid else None for v in rows.column("ids"))
-                texts = pa.array([None if i is None else vocabulary.decode(i) for i in each], pa.string())
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in others], texts], [*others, column])
+    def work(vocabulary: Vocabulary, rows: pa.RecordBatch) -> list[pa.Array]:
+        each = (v.values.to_numpy().tolist() if v.is_valid else None for v in rows.column("ids"))
+        return [pa.array([None if ids is None else vocabulary.decode(ids) for ids in each], pa.string())]
+
+    return _mapped(encoded, model, {column: T.StringType()}, work)
+
+
+def round_trip(documents: DataFrame, model: bytes) -> DataFrame:
+    """``documents`` with the ``ids`` of its ``text`` and their text, ``decoded``."""
+
+    def work(vocabulary: Vocabulary, rows: pa.RecordBatch) -> list[pa.Array]:
+        ids, packed = _encoded(vocabulary, rows)
+        return [ids, pa.array([vocabulary.decode(own.tolist()) for own in packed], pa.string())]
 
-    return encoded.select(*others).mapInArrow(run, schema)
+    return _mapped(documents, model, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, work)
 
 
 def encoding_digest(documents: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens and the hashes of the ids and of the decoded text."""
-    encoded = encode_documents(documents.select("doc_id", "text"), model).drop("text")
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return decode_documents(encoded, model).select(
+    return round_trip(documents.select("doc_id", "text"), model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"),

@@ -139,16 +139,17 @@ def _sketches(documents: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            sets = [gram_set(t, words, hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([class_of(s) for s in sets], pa.int64()),
-                    pa.array([point(s).astype(np.int32).tobytes() for s in sets], pa.binary()),
-                ],
-                ["doc_id", "size", "class", "point"],
-            )
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                found = []
+                for text in rows.column("text"):  # a set is let go before the next is made
+                    grams = gram_set(text.as_py(), words, hashes)
+                    found.append((len(grams), class_of(grams), point(grams).astype(np.int32).tobytes()))
+                sizes, classes, points = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(points, pa.binary())],
+                    ["doc_id", "size", "class", "point"],
+                )
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long, point binary")
 
@@ -159,11 +160,10 @@ def _keys(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, met = Hashes(), Bands(num, den), set()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start in range(0, len(texts), ROWS):
+            for start in range(0, batch.num_rows, ROWS):
                 keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for text in texts[start : start + ROWS]:
-                    grams = gram_set(text, words, hashes)
+                for text in batch.column("text").slice(start, ROWS):
+                    grams = gram_set(text.as_py(), words, hashes)
                     if (own := class_of(grams)) not in met:
                         met.add(own)
                         keys.append(bands.keys(grams))
