@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with whether decoding them gives the text back."""
     model = pieces.read_model(public_tokenizers.path(TOKENIZER))
-    encoded = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    encoded = pieces.round_trip(docs, model)
     return encoded.select(
         "doc_id",
         "lang",
