@@ -58,10 +58,16 @@ def failed_purge(spark: SparkSession, cutoff: datetime) -> DataFrame:
     return spark.createDataFrame([(False, False, 0, None, None, cutoff.isoformat())], kinds)
 
 
-def purge_report(articles: DataFrame, cutoff: datetime, dry_run: bool = False) -> DataFrame:
-    """Outcome of a purge as one row; nothing matched gives the same shape."""
-    expired = F.count_if(scraped_before(cutoff))
-    total = F.count("*")
+def purge_report(
+    articles: DataFrame, cutoff: datetime, dry_run: bool = False, weight: Column | None = None
+) -> DataFrame:
+    """Outcome of a purge as one row; nothing matched gives the same shape.
+
+    ``weight`` says how many articles a row stands for.
+    """
+    each = F.lit(1).cast("bigint") if weight is None else weight
+    expired = F.coalesce(F.sum(F.when(scraped_before(cutoff), each)), F.lit(0))
+    total = F.coalesce(F.sum(each), F.lit(0))
     nothing = F.lit(None).cast("bigint")
     return articles.agg(
         F.lit(True).alias("success"),

@@ -14,8 +14,15 @@ from newsweave.operators.images import has_image
 from newsweave.operators.retention import scraped_before, scraped_since
 
 
-def article_count(articles: DataFrame) -> DataFrame:
-    return articles.agg(F.count("*").alias("total_articles"))
+def _weighed(weight: Column | None, which: Column | None = None) -> Column:
+    """How many articles the rows that are meant stand for: one each, or their weight."""
+    if weight is None:
+        return F.count("*") if which is None else F.count_if(which)
+    return F.coalesce(F.sum(weight if which is None else F.when(which, weight)), F.lit(0))
+
+
+def article_count(articles: DataFrame, weight: Column | None = None) -> DataFrame:
+    return articles.agg(_weighed(weight).alias("total_articles"))
 
 
 def age_buckets(
@@ -24,25 +31,31 @@ def age_buckets(
     week_days: int = 7,
     month_days: int = 30,
     old_days: int = settings.STATS_OLD_DAYS,
+    weight: Column | None = None,
 ) -> DataFrame:
-    """All, last week, last month and old articles: overlapping counts, one scan."""
+    """All, last week, last month and old articles: overlapping counts, one scan.
+
+    ``weight`` says how many articles a row stands for.
+    """
 
     def days_ago(days: int) -> datetime:
         return as_of - timedelta(days=days)
 
     return articles.agg(
-        F.count("*").alias("total_articles"),
-        F.count_if(scraped_since(days_ago(week_days))).alias("last_week"),
-        F.count_if(scraped_since(days_ago(month_days))).alias("last_month"),
-        F.count_if(scraped_before(days_ago(old_days))).alias("older"),
+        _weighed(weight).alias("total_articles"),
+        _weighed(weight, scraped_since(days_ago(week_days))).alias("last_week"),
+        _weighed(weight, scraped_since(days_ago(month_days))).alias("last_month"),
+        _weighed(weight, scraped_before(days_ago(old_days))).alias("older"),
     )
 
 
-def top_sources(articles: DataFrame, size: int = settings.TOP_SOURCES) -> DataFrame:
+def top_sources(
+    articles: DataFrame, size: int = settings.TOP_SOURCES, weight: Column | None = None
+) -> DataFrame:
     """Sources with most articles; articles without one form their own group."""
     return (
         articles.groupBy("source")
-        .agg(F.count("*").alias("count"))
+        .agg(_weighed(weight).alias("count"))
         .orderBy(F.desc("count"), "source")
         .limit(size)
     )

@@ -74,12 +74,13 @@ def daily_run(
         snapshot = chosen.orderBy(*order).drop("had_image", "published_ts", *arrival)
         save_json(snapshot, snapshots, run_ts.date())
         shown["outcome"] = store.save(chosen, run_ts.strftime("%Y%m%dT%H%M%S"), arrival, run_ts)
-    shown["total"] = article_count(store.newest_times())
+    shown["total"] = article_count(store.counts(), F.col("articles"))
     shown["urls"] = url_list(chosen, order)
     return shown
 
 
 def store_statistics(store: ArticleStore, as_of: datetime) -> dict[str, DataFrame]:
-    """Age counts and the sources with most articles, from one scan of the current rows."""
-    current = materialize(store.current().select("url", "source", "scraped_at"))
-    return {"ages": age_buckets(current, as_of), "sources": top_sources(current)}
+    """Age counts and the sources with most articles, from what the saves changed."""
+    counts = materialize(store.counts())
+    weight = F.col("articles")
+    return {"ages": age_buckets(counts, as_of, weight=weight), "sources": top_sources(counts, weight=weight)}

@@ -51,9 +51,27 @@ def write_out(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
+def _placed(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _placed(spark, folder)
+    files.delete(path, True)
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _placed(spark, folder)
+    files.mkdirs(path)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds, none if it is not there."""
+    files, path = _placed(spark, folder)
+    if not files.exists(path):
+        return []
+    return sorted(found.getPath().getName() for found in files.listStatus(path))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

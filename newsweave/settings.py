@@ -100,3 +100,6 @@ PURGE_SAMPLE = 5
 COVERAGE_GOAL_PERCENT = 95.0
 PREVIEW_CHARS = 150
 MAX_PAGE_URL_CHARS = 200
+
+# Partitions of the addresses a store knows, for new versions of its index.
+STORE_BUCKETS = 16
