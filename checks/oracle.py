@@ -334,6 +334,10 @@ BODIES = {
         where url <> '' qualify row_number() over (partition by url order by saved desc, l.scraped_at desc, ord desc) = 1""",
     "store_purge": f"""select url, article_id, {stamp('scraped_at')} as scraped_at from merged
         where scraped_at >= {CUTOFF}""",
+    "store_known_addresses": f"""select url, article_id, source, {stamp('scraped_at')} as scraped_at, 1 as saved from stored
+        where url in (select url from articles where scraped_at >= {SPLIT})""",
+    "store_changes": f"""select {stamp('scraped_at')} as scraped_at, source, count(*) as articles from merged
+        where scraped_at >= {CUTOFF} group by all""",
     "purge_keep": f"select ord, url, {stamp('scraped_at')} as scraped_at from articles where scraped_at >= {CUTOFF}",
     "purge_report": f"""select true as success, false as dry_run,
           count(*) filter (where scraped_at < {CUTOFF}) as deleted_count,

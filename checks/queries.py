@@ -21,7 +21,7 @@ from newsweave.operators import images, ranking, retention, statistics, upsert
 from newsweave.plans import daily_run as daily
 from newsweave.plans import digest as digests
 from newsweave.plans import reports
-from newsweave.session import scratch_path
+from newsweave.session import scratch_path, write_out
 from newsweave.sources import api, dims, feeds, listing, sinks
 from newsweave.sources.store import ArticleStore
 from newsweave.streaming import articles as streaming
@@ -436,6 +436,26 @@ def store_purge(spark, sf_dir):
     return kept.log().select("url", "article_id", moment("scraped_at"))
 
 
+@query
+def store_known_addresses(spark, sf_dir):
+    """What a saved store knows of the addresses of the next batch, from its index."""
+    store = ArticleStore(spark, scratch_path(spark, "store"))
+    store.save(_stored(spark, sf_dir), "1", ["ord"])
+    batch, _ = write_out(_incoming(spark, sf_dir).select("url"), "incoming")
+    return store.index.near(batch).select("url", "article_id", "source", moment("scraped_at"), "saved")
+
+
+@query
+def store_changes(spark, sf_dir):
+    """Current articles by time and source, from what two saves, a repeated one and a purge changed."""
+    store = ArticleStore(spark, scratch_path(spark, "store"))
+    store.save(_stored(spark, sf_dir), "1", ["ord"])
+    store.save(_incoming(spark, sf_dir), "2", ["scraped_at", "ord"])
+    store.save(_stored(spark, sf_dir), "1", ["ord"])
+    store.purge(AS_OF, cutoff=CUTOFF)
+    return store.counts().select(moment("scraped_at"), "source", "articles")
+
+
 @query
 def purge_keep(spark, sf_dir):
     kept = retention.purge_keep(views.articles(spark, sf_dir), CUTOFF)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from newsweave import settings
 from newsweave.schema import conform, ddl
-from newsweave.session import make_folder, names_in, remove_folder
+from newsweave.session import BROADCAST_BYTES, ROW_BYTES, make_folder, names_in, remove_folder
 
 ENTRY_FIELDS = {
     "url": "string",
@@ -81,11 +81,16 @@ class AddressIndex:
         return self.spark.read.schema(ddl(ENTRY_FIELDS)).parquet(path)
 
     def near(self, urls: DataFrame) -> DataFrame:
-        """The entries in the partitions that the addresses of a stored table fall into."""
+        """The entries of the addresses of a stored table, from the partitions they fall into."""
         buckets = self._version("addresses")[1]
-        # No more values than there are buckets.
-        met = urls.select(self.bucket(F.col("url"), buckets).alias("bucket")).distinct().collect()
-        return self.entries().where(F.col("url_bucket").isin([row.bucket for row in met]))
+        url = F.col("url")
+        width = F.coalesce(F.octet_length(url), F.lit(0)) + ROW_BYTES
+        # One row, with no more values than there are buckets.
+        met, size = urls.agg(F.collect_set(self.bucket(url, buckets)), F.coalesce(F.sum(width), F.lit(0))).first()
+        wanted = urls.select("url").distinct()
+        return self.entries().where(F.col("url_bucket").isin(met)).join(
+            F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "url", "left_semi"
+        )
 
     def add(self, rows: DataFrame) -> None:
         """Enter a batch's rows, in the place of its earlier ones."""

@@ -43,6 +43,11 @@ def _newest() -> list[Column]:
     return [F.desc_nulls_last("saved"), F.desc("scraped_at"), F.desc("batch")]
 
 
+def newest_times(entries: DataFrame) -> DataFrame:
+    last = F.max(F.struct("saved", "scraped_at"))["scraped_at"]
+    return entries.groupBy("url").agg(last.alias("scraped_at"))
+
+
 class ArticleStore:
     """Current articles by address, kept in a folder of Parquet partitions."""
 
@@ -70,9 +75,8 @@ class ArticleStore:
         return self.index.entries()
 
     def newest_times(self) -> DataFrame:
-        """Address and current scrape time: enough to count, without any text."""
-        last = F.max(F.struct("saved", "scraped_at"))["scraped_at"]
-        return self.entries().groupBy("url").agg(last.alias("scraped_at"))
+        """Address and current scrape time, without any text."""
+        return newest_times(self.entries())
 
     def counts(self) -> DataFrame:
         """Current articles by time and source, from the saves' changes: scraped_at, source, articles."""
@@ -128,13 +132,12 @@ class ArticleStore:
         ready = prepare(staged, run_ts).withColumns({"batch": F.lit(batch), "saved": number})
         incoming = conform(ready, STORE_FIELDS, extra)
         latest = keep_last(incoming, order)
-        arriving = broadcast_if_small(incoming.select("url").distinct())
         other = F.col("batch") != batch
         if newer_only:  # a replay meets what its first attempt met
             other &= F.col("saved") < number
-        others = self.index.near(staged).where(other)
+        others = self.index.near(staged.select("url")).where(other)
         known = materialize(
-            keep_first(others.join(arriving, "url", "left_semi"), _newest()).select(
+            keep_first(others, _newest()).select(
                 "url", F.col("article_id").alias("known_id"), F.col("scraped_at").alias("_known_at"),
                 F.col("source").alias("_known_source"),
             )
@@ -205,8 +208,8 @@ class ArticleStore:
             return report
         self.index.begin(PURGE)
         day = F.lit(cutoff.date())
-        gone = materialize(self.newest_times().where(scraped_before(cutoff)).select("url"))
-        expired = broadcast_if_small(gone)
+        times = newest_times(self.index.entries())
+        expired = broadcast_if_small(materialize(times.where(scraped_before(cutoff)).select("url")))
         # Entries after the cutoff whose address expired would come to light again without its last save.
         after = self.entries_of(scraped_since(cutoff)).join(expired, "url", "left_semi")
         boundary = self.log().where(F.col("scraped_date") == day).select(*PARTITIONS)
