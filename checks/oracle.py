@@ -209,6 +209,15 @@ COVERAGE = (
     "round(100.0 * cast(count(*) filter (where trim(image) <> '') as double) / count(*), 1) as percent"
 )
 
+TOP_N = f"""select e.ord, e.title, e.url, e.published, e.final_image as image, e.had_image,
+      row_number() over (order by e.had_image desc,
+    coalesce({published_ts('e.published')}, timestamp '0001-01-01 00:00:00') desc, e.ord) as place
+    from (select * from articles where url <> ''
+      qualify row_number() over (partition by url order by ord) = 1
+      order by coalesce({published_ts('published')}, timestamp '0001-01-01 00:00:00') desc, ord
+      limit 50) top
+    join enriched e on e.ord = top.ord"""
+
 BODIES = {
     "dedup_first": """select ord, url, title, source from articles where url <> ''
         qualify row_number() over (partition by url order by ord) = 1""",
@@ -219,14 +228,8 @@ BODIES = {
             as place from articles""",
     "number_articles": f"""select row_number() over (order by {published_ts('published')} desc nulls last, ord) as place,
         ord from articles""",
-    "top_n_digest": f"""select e.ord, e.title, e.url, e.published, e.final_image as image, e.had_image,
-          row_number() over (order by e.had_image desc,
-            coalesce({published_ts('e.published')}, timestamp '0001-01-01 00:00:00') desc, e.ord) as place
-        from (select * from articles where url <> ''
-              qualify row_number() over (partition by url order by ord) = 1
-              order by coalesce({published_ts('published')}, timestamp '0001-01-01 00:00:00') desc, ord
-              limit 50) top
-        join enriched e on e.ord = top.ord""",
+    "top_n_digest": TOP_N,
+    "top_n_by_candidates": TOP_N,
     "image_valid": f"select ord, image, {valid('image')} as valid from articles",
     "image_normalize": f"select ord, {normal('image')} as image from articles",
     "html_first_image": """select doc_id, case doc_id % 7
@@ -235,6 +238,8 @@ BODIES = {
           when 4 then '' when 6 then ''
           else 'https://cdn.example.com/d/' || doc_id || '.jpg' end as image from documents""",
     "page_meta_image": "select url, page_image from page_images",
+    "page_image_lookup": f"""select url, page_image, (select count(*) from pages where {trusted('url')}) as parsed_first,
+          0 as parsed_again from page_images""",
     "srcset_first": """select ord, split_part(trim(split_part('  ' || image || ' 1x', ',', 1)), ' ', 1)
         as candidate from articles""",
     "enrich_images": """select ord, url, final_image as image, had_image,
@@ -360,6 +365,11 @@ BODIES = {
                else strftime(scraped_at, '.%f') end as scraped_at from articles""",
     "snapshot_backup": f"""select n as source_rows, n as copied_rows, true as identical
         from (select count(*) + count(*) filter (where scraped_at < {CUTOFF}) as n from articles)""",
+    "backup_incremental": f"""with n as (select count(*) as whole, count(*) filter (where scraped_at < {CUTOFF}) as old from articles)
+        select backup, 2 as snapshots, source_rows, copied_snapshots, copied_rows, true as identical, source_rows as restored_rows
+        from (select 0 as backup, whole + old as source_rows, 2 as copied_snapshots, whole + old as copied_rows from n
+              union all select 1, whole + old, 0, 0 from n
+              union all select 2, whole + whole - old, 1, whole - old from n)""",
     "daily_job": f"""select count(*) filter (where not known) as inserted,
           count(*) filter (where known) as updated, 0 as rejected,
           (select count(*) from stored where scraped_at < {PURGED}) as deleted_count,
@@ -403,9 +413,14 @@ BODIES = {
     "stream_ingest": "select source_rank, payload_id, position, title, url, image from feed_articles",
     "stream_dedup": "select distinct url, true as whole from articles where url <> ''",
     "stream_upsert": f"select url, title, {stamp('scraped_at')} as scraped_at from merged",
+    "stream_late_rows": f"""select cast(cast(scraped_at as date) as varchar) as day, source,
+          count(*) filter (where not late) as articles, count(*) filter (where late) as late
+        from (select *, scraped_at < {SPLIT} and scraped_at < (select max(scraped_at) from articles) - interval 20 day as late
+              from articles) group by 1, 2""",
     "stream_daily_arrivals": """select cast(cast(scraped_at as date) as varchar) as day, source,
           count(*) as articles from articles group by 1, 2""",
 }
+BODIES["stream_first_arrivals"] = BODIES["dedup_first"]
 BODIES["store_recent"] = BODIES["recent_articles"]
 
 ORACLE = {name: over_views(body) for name, body in BODIES.items()}

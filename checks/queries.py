@@ -23,8 +23,11 @@ from newsweave.plans import digest as digests
 from newsweave.plans import reports
 from newsweave.session import scratch_path, write_out
 from newsweave.sources import api, dims, feeds, listing, sinks
+from newsweave.sources.backups import SnapshotBackups
+from newsweave.sources.page_images import PageImages
 from newsweave.sources.store import ArticleStore
 from newsweave.streaming import articles as streaming
+from newsweave.streaming.firsts import DailyCounts, firsts_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,6 +109,20 @@ def top_n_digest(spark, sf_dir):
     return placed(chosen.select("ord", "title", "url", "published", "image", "had_image"))
 
 
+@query
+def top_n_by_candidates(spark, sf_dir):
+    """The same digest, its cut found among the addresses that may make it."""
+    chosen = digests.digest(
+        views.articles(spark, sf_dir),
+        views.pages_meta(spark, sf_dir),
+        arrival=["ord"],
+        domains=DOMAINS,
+        reread=True,
+        by_candidates=True,
+    )
+    return placed(chosen.select("ord", "title", "url", "published", "image", "had_image"))
+
+
 # Images
 
 
@@ -135,6 +152,17 @@ def page_meta_image(spark, sf_dir):
     return images.page_images(views.pages_meta(spark, sf_dir), DOMAINS)
 
 
+@query
+def page_image_lookup(spark, sf_dir):
+    """Images of pages from a table kept over two runs, of which the second parses none."""
+    pages = views.pages_meta(spark, sf_dir)
+    kept = PageImages(spark, scratch_path(spark, "page-images"), ["page_id"], domains=DOMAINS)
+    parsed = [kept.extend(pages) for _ in range(2)]
+    return images.page_images(kept.pages(pages), DOMAINS).withColumns(
+        {"parsed_first": F.lit(parsed[0]).cast("long"), "parsed_again": F.lit(parsed[1]).cast("long")}
+    )
+
+
 @query
 def srcset_first(spark, sf_dir):
     srcset = F.concat(
@@ -522,6 +550,25 @@ def snapshot_backup(spark, sf_dir):
     return sinks.backup(spark, root, scratch_path(spark, "backups"), AS_OF)
 
 
+@query
+def backup_incremental(spark, sf_dir):
+    """Three backups: the second finds nothing to copy, the third one changed snapshot; and what each restores."""
+    a = views.articles(spark, sf_dir)
+    root, kept = scratch_path(spark, "snapshots"), SnapshotBackups(spark, scratch_path(spark, "backups"))
+    old = a.where(retention.scraped_before(CUTOFF))
+    sinks.save_json(a, root, AS_OF.date())
+    sinks.save_json(old, root, CUTOFF.date())
+    checks = []
+    for n in range(3):
+        if n == 2:
+            sinks.save_json(a.where(retention.scraped_since(CUTOFF)), root, CUTOFF.date())
+        at = AS_OF + timedelta(hours=n)
+        check = kept.take(root, at)
+        restored = kept.restore(at).agg(F.count("*").alias("restored_rows"))
+        checks.append(check.select(F.lit(n).alias("backup"), "*", restored.scalar().alias("restored_rows")))
+    return digests.union_sources(checks)
+
+
 @query
 def daily_job(spark, sf_dir):
     """The whole daily run over a filled store, told by its counts."""
@@ -644,6 +691,29 @@ def stream_dedup(spark, sf_dir):
     )
 
 
+@query
+def stream_first_arrivals(spark, sf_dir):
+    """The table of first arrivals per address that a stream keeps, whatever file lands first."""
+    out = scratch_path(spark, "firsts")
+    firsts_available(_landed_articles(spark, sf_dir), out, scratch_path(spark, "progress"), "60 days", ["ord"])
+    return spark.read.parquet(out).select("ord", "url", "title", "source")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Daily counts of a stream whose older half lands last, with the rows that came too late to count."""
+    folder = scratch_path(spark, "landed")
+    a = views.articles(spark, sf_dir)
+    for part in (a.where(retention.scraped_since(SPLIT)), a.where(retention.scraped_before(SPLIT))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    counts = DailyCounts(spark, scratch_path(spark, "counts"), timedelta(days=20))
+    counts.update(streaming.landed(spark, folder, a.schema, files_per_trigger=1), scratch_path(spark, "progress"))
+    late = counts.late(a).groupBy(F.to_date("scraped_at").alias("day"), "source").agg(F.count("*").alias("late"))
+    both = counts.counts().withColumn("late", F.lit(0)).unionByName(late.withColumn("articles", F.lit(0)))
+    summed = both.groupBy("day", "source").agg(F.sum("articles").alias("articles"), F.sum("late").alias("late"))
+    return summed.withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def stream_upsert(spark, sf_dir):
     store = ArticleStore(spark, scratch_path(spark, "store"))

@@ -5,7 +5,8 @@
 
 Payload folders are laid out as ``newsweave.sources.landing`` describes; listings
 and pages are Parquet tables ``page_id, url, html``. Pages may have a time column, named
-by --newest-page, by which the latest of an address counts. After --compact the store goes on
+by --newest-page, by which the latest of an address counts. With --page-images only pages that
+landed since the last run are parsed. After --compact the store goes on
 in the new folder.
 """
 
@@ -25,6 +26,7 @@ from newsweave.sources.dims import source_dim
 from newsweave.sources.feeds import feed_rejects, unconfigured_feeds, with_source
 from newsweave.sources.landing import read_documents
 from newsweave.sources.listing import listing_rejects
+from newsweave.sources.page_images import PageImages
 from newsweave.sources.store import ArticleStore
 
 
@@ -42,6 +44,8 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     daily.add_argument("--size", type=int, default=settings.DIGEST_SIZE)
     daily.add_argument("--no-cleanup", action="store_true", help="keep expired articles")
     daily.add_argument("--newest-page", nargs="*", default=[], help="columns that order pages")
+    daily.add_argument("--page-images", metavar="FOLDER", help="keep the images found in pages there")
+    daily.add_argument("--page-key", nargs="*", default=["page_id"], help="columns that name a landed page")
     daily.add_argument("--parse-rfc822", action="store_true", help="read mail dates of feeds")
     maintain = jobs.add_parser("maintain", help="purge or describe the store")
     maintain.add_argument("--dry-run", action="store_true")
@@ -61,9 +65,14 @@ def run(spark: SparkSession, options: argparse.Namespace) -> dict:
         filed, configured = read_documents(spark, options.feeds), source_dim(spark)
         feeds, api = with_source(filed, configured), read_documents(spark, options.api)
         listings = spark.read.parquet(options.listings)
+        pages = spark.read.parquet(options.pages)
+        if options.page_images:
+            kept = PageImages(spark, options.page_images, options.page_key, options.newest_page)
+            kept.extend(pages)
+            pages = kept.pages(pages)
         shown = daily_run(
             collect_articles(feeds, api, listings, options.as_of),
-            spark.read.parquet(options.pages),
+            pages,
             store,
             options.snapshots,
             options.as_of,

@@ -35,6 +35,16 @@ def fallback_image(articles: DataFrame, defaults: DataFrame | None = None) -> Da
     )
 
 
+def guarded_pages(pages: DataFrame, domains: list[str] = settings.TRUSTED_DOMAINS) -> DataFrame:
+    """The pages that may name an image, told without reading any HTML.
+
+    Where pages carry a ``status``, only those answered with 200 count.
+    """
+    if "status" in pages.columns:
+        pages = pages.where(F.col("status") == 200)
+    return pages.where(may_have_page_image(F.col("url"), domains, settings.MAX_PAGE_URL_CHARS))
+
+
 def page_images(
     pages: DataFrame,
     domains: list[str] = settings.TRUSTED_DOMAINS,
@@ -45,16 +55,11 @@ def page_images(
     The guards run before any HTML is read. An address landed more than once counts
     with its latest page by the ``newest`` columns; only the short image address is
     shuffled for that, never the HTML, and a join on the address needs that
-    shuffle anyway. Where pages carry a ``status``, only those answered with 200 count.
+    shuffle anyway. Pages that come with a ``page_image`` were parsed before.
     """
-    if "status" in pages.columns:
-        pages = pages.where(F.col("status") == 200)
-    trusted = pages.where(
-        may_have_page_image(F.col("url"), domains, settings.MAX_PAGE_URL_CHARS)
-    )
-    found = trusted.select(
-        "url", *(newest or []), page_image(F.col("html")).alias("page_image")
-    )
+    parsed = "page_image" in pages.columns
+    image = F.col("page_image") if parsed else page_image(F.col("html"))
+    found = guarded_pages(pages, domains).select("url", *(newest or []), image.alias("page_image"))
     latest = keep_last(found, newest or ["page_image"])
     return latest.where(present(F.col("page_image"))).select("url", "page_image")
 
