@@ -365,11 +365,10 @@ BODIES = {
                else strftime(scraped_at, '.%f') end as scraped_at from articles""",
     "snapshot_backup": f"""select n as source_rows, n as copied_rows, true as identical
         from (select count(*) + count(*) filter (where scraped_at < {CUTOFF}) as n from articles)""",
-    "backup_incremental": f"""with n as (select count(*) as whole, count(*) filter (where scraped_at < {CUTOFF}) as old from articles)
-        select backup, 2 as snapshots, source_rows, copied_snapshots, copied_rows, true as identical, source_rows as restored_rows
-        from (select 0 as backup, whole + old as source_rows, 2 as copied_snapshots, whole + old as copied_rows from n
-              union all select 1, whole + old, 0, 0 from n
-              union all select 2, whole + whole - old, 1, whole - old from n)""",
+    "backup_incremental": f"""select backup, 2 as snapshots, source_rows, copied_snapshots, copied_rows, true as identical, source_rows as restored_rows
+        from (select unnest([0, 1, 2]) as backup, unnest([whole + old, whole + old, whole + whole - old]) as source_rows,
+                unnest([2, 0, 1]) as copied_snapshots, unnest([whole + old, 0, whole - old]) as copied_rows
+              from (select count(*) as whole, count(*) filter (where scraped_at < {CUTOFF}) as old from articles))""",
     "daily_job": f"""select count(*) filter (where not known) as inserted,
           count(*) filter (where known) as updated, 0 as rejected,
           (select count(*) from stored where scraped_at < {PURGED}) as deleted_count,
