@@ -177,23 +177,21 @@ def _keys(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return kept.mapInArrow(run, "key long, class long")
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class, size and sorted set of the wanted classes, each from one document."""
+def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the documents named by ``wanted`` (class, doc_id), with its columns.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        for batch in batches:
-            for start in range(0, len(batch), ROWS):
-                part = batch.iloc[start : start + ROWS]
-                sets = [gram_set(t, words, hashes) for t in part["text"]]
-                good = [s if class_of(s) == c else None for s, c in zip(sets, part["class"], strict=True)]
-                yield pd.DataFrame(
-                    [(c, len(s), s.tobytes()) for s, c in zip(good, part["class"], strict=True) if s is not None],
-                    columns=["class", "size", "grams"],
-                )
+    A class comes from one id; only rows that repeat it with another text do not belong, and are
+    told by their set.
+    """
+    return documents.select("doc_id", "text").join(broadcast_if_small(wanted), "doc_id").drop("doc_id")
 
-    chosen = documents.select("doc_id", "text").join(broadcast_if_small(wanted), "doc_id")
-    return chosen.select("class", "text").mapInPandas(run, "class long, size long, grams binary")
+
+def _with_sets(frame: pd.DataFrame, words: int) -> pd.DataFrame:
+    """The rows of ``class`` and ``text`` whose text is of the class, with its set."""
+    hashes = Hashes()
+    sets = [gram_set(text, words, hashes) for text in frame["text"]]
+    own = [class_of(grams) == known for grams, known in zip(sets, frame["class"], strict=True)]
+    return frame.drop(columns="text").assign(grams=sets)[own]
 
 
 class Forest:
@@ -288,7 +286,7 @@ def linked(group: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     """Stars of the components among the classes of a group, given what is connected."""
     group = group.drop_duplicates("class")
     classes = group["class"].to_numpy()
-    sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
+    sets = group["grams"].tolist()
     sizes = np.array([len(s) for s in sets])
     forest = Forest(group["label"].to_numpy())
     left, right = candidates(np.array([point(s) for s in sets]), sizes, num, den)
@@ -301,11 +299,14 @@ def linked(group: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     return [(int(classes[at]), int(classes[forest.root(at)])) for at in range(len(classes)) if forest.root(at) != at]
 
 
-def _link(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within each group of ``task`` and ``tile``."""
+def _link(tiles: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) within each group of ``task`` and ``tile``; sets are made anew from the texts.
+
+    A text is smaller than its set, and shuffles compress it.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [pair for _, own in frame.groupby("tile") for pair in linked(own, num, den)]
+        found = [pair for _, own in frame.groupby("tile") for pair in linked(_with_sets(own, words), num, den)]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return tiles.groupBy("task").applyInPandas(run, "a long, b long")
@@ -318,28 +319,27 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     held = shared.select("*", *[F.expr(f"{what} over (partition by key)").alias(name) for name, what in by_key.items()])
     buckets, _ = write_out(held.where("first != last").drop("last"), "buckets")
     members, _ = write_out(_families(buckets, sketches, num, den), "families")
-    wanted = sketches.join(members.select("class"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    # A class comes from one id; only rows that repeat it give it again, and are dropped where it is used.
-    sets, _ = write_out(_sets(documents, write_out(wanted, "wanted")[0], words), "sets")
-    sized = sets.select("class", "size").distinct().join(members, "class")
+    chosen = sketches.join(members, "class").groupBy("class", "family")
+    sized, _ = write_out(chosen.agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size")), "chosen")
     weights = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
     weights = weights.select(
         "family", F.ceil(F.greatest(F.col("n") / TILE, F.col("grams") / TILE_GRAMS)).cast("long").alias("tiles")
     )
-    total = sets.agg(F.sum("size")).first()[0] or 0
+    total = sized.agg(F.sum("size")).first()[0] or 0
     # A small family is one tile, and a task takes many of them; a tile of a large one has its own.
     tile = F.pmod(F.xxhash64("class"), F.col("tiles"))
     placed, _ = write_out(
-        sized.select("class", "family").join(weights, "family").select("class", "family", "tiles", tile.alias("at")), "placed"
+        sized.join(weights, "family").select("class", "doc_id", "family", "tiles", tile.alias("at")), "placed"
     )
-    joined = sets.join(broadcast_if_small(placed), "class").withColumn("label", F.col("class"))
+    joined = _texts(documents, placed).withColumn("label", F.col("class"))
     small = F.pmod(F.xxhash64("family"), F.lit(8 + total // TILE_GRAMS)).cast("string")
     alone = F.concat_ws("/", "family", "at")
     inner, _ = write_out(
         _link(
             joined.select(
-                F.when(F.col("tiles") == 1, small).otherwise(alone).alias("task"), alone.alias("tile"), "class", "label", "grams"
+                F.when(F.col("tiles") == 1, small).otherwise(alone).alias("task"), alone.alias("tile"), "class", "label", "text"
             ),
+            words,
             num,
             den,
         ),
@@ -351,7 +351,9 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     # Between tiles: only pairs of tiles that are not wholly one component yet.
     known = components(inner).select(F.col("node").alias("class"), "component")
     labelled, _ = write_out(
-        large.join(known, "class", "left").select("class", "family", "tiles", "at", F.coalesce("component", "class").alias("label")),
+        large.join(known, "class", "left").select(
+            "class", "doc_id", "family", "tiles", "at", F.coalesce("component", "class").alias("label")
+        ),
         "labelled",
     )
     spread = labelled.groupBy("family", "at", "tiles").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -362,8 +364,8 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
         .select("family", "at", "to", F.concat_ws("/", "family", "at", "to").alias("tile"))
     )
     ends = open_pairs.select("family", "at", "tile").unionByName(open_pairs.select("family", F.col("to").alias("at"), "tile"))
-    pairs = labelled.join(ends, ["family", "at"]).join(sets, "class")
-    between = _link(pairs.select(F.col("tile").alias("task"), "tile", "class", "label", "grams"), num, den)
+    pairs = _texts(documents, labelled.join(ends, ["family", "at"]).select("class", "doc_id", "label", "tile"))
+    between = _link(pairs.select(F.col("tile").alias("task"), "tile", "class", "label", "text"), words, num, den)
     return inner.unionByName(between)
 
 
