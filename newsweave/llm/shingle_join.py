@@ -9,8 +9,9 @@ same in both. Classes that agree in a group meet in a bucket.
 A tree of boxes over points bounds the overlap of two boxes, and of two points, by the sum of
 the smaller coordinates. In a bucket, pairs that the bound lets through make families (a
 bucket too large for one task is one family). Within a family the same tree finds the
-pairs again, which are then verified on their sets. A large family is cut into tiles, joined
-within and then pairwise, and pairs already connected are not compared again. Links are
+pairs again, which are then verified on their sets. A large family is cut into tiles of sets of like
+size, joined within and then with the tiles of the same and the next sizes, and pairs already
+connected are not compared again. Links are
 never listed pair by pair: a bucket or tile gives a star for each of its components.
 
 Documents without words or text have an empty set and link with nothing. Those without an
@@ -326,14 +327,21 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
         "family", F.ceil(F.greatest(F.col("n") / TILE, F.col("grams") / TILE_GRAMS)).cast("long").alias("tiles")
     )
     total = sized.agg(F.sum("size")).first()[0] or 0
-    # A small family is one tile, and a task takes many of them; a tile of a large one has its own.
-    tile = F.pmod(F.xxhash64("class"), F.col("tiles"))
+    # A small family is one tile, and a task takes many of them; a tile of a large one has its own. Tiles
+    # of a large one hold sets of like size: those of bands that are no neighbours cannot link.
+    step = math.log(den / num) + 1e-6
+    band = F.when(F.col("tiles") > 1, F.floor(F.log("size") / step)).otherwise(-1)
+    banded = sized.join(weights, "family").withColumn("band", band)
+    fill = banded.groupBy("family", "band").agg(
+        F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("long").alias("fill")
+    )
+    tile = F.pmod(F.xxhash64("class"), F.col("fill"))
     placed, _ = write_out(
-        sized.join(weights, "family").select("class", "doc_id", "family", "tiles", tile.alias("at")), "placed"
+        banded.join(fill, ["family", "band"]).select("class", "doc_id", "family", "tiles", "band", tile.alias("at")), "placed"
     )
     joined = _texts(documents, placed).withColumn("label", F.col("class"))
     small = F.pmod(F.xxhash64("family"), F.lit(8 + total // TILE_GRAMS)).cast("string")
-    alone = F.concat_ws("/", "family", "at")
+    alone = F.concat_ws("/", "family", "band", "at")
     inner, _ = write_out(
         _link(
             joined.select(
@@ -352,19 +360,21 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     known = components(inner).select(F.col("node").alias("class"), "component")
     labelled, _ = write_out(
         large.join(known, "class", "left").select(
-            "class", "doc_id", "family", "tiles", "at", F.coalesce("component", "class").alias("label")
+            "class", "doc_id", "family", "band", "at", F.coalesce("component", "class").alias("label")
         ),
         "labelled",
     )
-    spread = labelled.groupBy("family", "at", "tiles").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    other = spread.select("family", F.col("at").alias("to"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    spread = labelled.groupBy("family", "band", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = spread.select("family", *[F.col(name).alias(f"{name}2") for name in ("band", "at", "low", "high")])
     open_pairs = (
         spread.join(other, "family")
-        .where("at < to and not (low = high and low2 = high2 and low = low2)")
-        .select("family", "at", "to", F.concat_ws("/", "family", "at", "to").alias("tile"))
+        .where("(band2 = band + 1 or band2 = band and at < at2) and not (low = high and low2 = high2 and low = low2)")
+        .select("family", "band", "at", "band2", "at2", F.concat_ws("/", "family", "band", "at", "band2", "at2").alias("tile"))
+    )
+    ends = open_pairs.select("family", "band", "at", "tile").unionByName(
+        open_pairs.select("family", F.col("band2").alias("band"), F.col("at2").alias("at"), "tile")
     )
-    ends = open_pairs.select("family", "at", "tile").unionByName(open_pairs.select("family", F.col("to").alias("at"), "tile"))
-    pairs = _texts(documents, labelled.join(ends, ["family", "at"]).select("class", "doc_id", "label", "tile"))
+    pairs = _texts(documents, labelled.join(ends, ["family", "band", "at"]).select("class", "doc_id", "label", "tile"))
     between = _link(pairs.select(F.col("tile").alias("task"), "tile", "class", "label", "text"), words, num, den)
     return inner.unionByName(between)
 
