@@ -65,13 +65,15 @@ def gram_keys(data: bytes, depth: int) -> np.ndarray:
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Compressed 64-bit values."""
-    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    """Compressed 64-bit values: all first bytes, then all second ones, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def spread(data: bytes, kind: type = np.int64) -> np.ndarray:
-    size = 8 * int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
+    count = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=8 * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def squeeze_keys(keys: np.ndarray) -> bytes:
@@ -130,8 +132,7 @@ class Block:
     def rows(self, name: str, buckets: int) -> Iterator[tuple]:
         for kind, tally in ((WORDS, self.words), (GRAMS, self.grams)):
             keys, counts = tally.sums()
-            dealt = bucket_of(keys >> 8 if kind == GRAMS else keys, buckets)
-            order = np.lexsort((keys, dealt))
+            dealt, order = asked_order(keys, kind, buckets)
             edges = np.searchsorted(dealt[order], np.arange(buckets + 1))
             for bucket in np.flatnonzero(np.diff(edges)):
                 part = order[edges[bucket] : edges[bucket + 1]]
@@ -149,6 +150,12 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+def asked_order(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a block's distinct keys, and the order in which the block asks for them."""
+    dealt = bucket_of(keys >> 8 if kind == GRAMS else keys, buckets)
+    return dealt, np.lexsort((keys, dealt))
+
+
 def pack(documents: DataFrame, held_out: Column, depth: int, buckets: int) -> DataFrame:
     """The blocks of all documents and what they ask for: rows of ``PACK``."""
 
@@ -284,25 +291,35 @@ def _suffix(node: Column, level: int) -> Column:
     return node.bitwiseAND((1 << 8 * (level + 1)) - 1)
 
 
-def block_scores(group: pd.DataFrame, depth: int, total: int, distinct: int) -> pd.DataFrame:
-    """The documents of a block with their scores."""
-    parts = {kind: rows.sort_values("bucket") for kind, rows in group.groupby("kind")}
-
-    def table(keys: int, values: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        asked = np.concatenate([spread_keys(own) for own in parts[keys]["keys"]])
-        order = np.argsort(asked)
-        return asked[order], np.concatenate([spread(own, kind) for own in parts[values]["counts"]])[order]
+def block_scores(group: pd.DataFrame, depth: int, buckets: int, total: int, distinct: int) -> pd.DataFrame:
+    """The documents of a block with their scores.
 
-    words, counts = table(WORDS, WORD_VALUES, np.int64)
-    grams, logs = table(GRAMS, GRAM_VALUES, np.float64)
-    unigram = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
+    Answers come without the keys: the block finds these again in its text, in the order asked.
+    """
+    parts = {kind: rows.sort_values("bucket") for kind, rows in group.groupby("kind")}
     docs = parts[DOCS].iloc[0]
     sizes = np.frombuffer(docs["sizes"], np.int64)
     text = pa.decompress(docs["keys"], decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True)
     ids, flags = np.frombuffer(docs["ids"], np.int64), np.frombuffer(docs["flags"], np.uint8)
-    hashes, out, at = Hashes(), [], 0
-    for number, flag, size in zip(ids.tolist(), flags.tolist(), sizes.tolist(), strict=True):
-        data, at = text[at : at + size], at + size
+    hashes, ends = Hashes(), np.cumsum(sizes)
+    spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+
+    def table(kind: int, values: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+        tally = Tally()
+        for start, end in spans:
+            data = text[start:end]
+            tally.add(word_keys(data, hashes) if kind == WORDS else gram_keys(data, depth), False)
+        keys, _ = tally.sums()
+        answers = np.empty(len(keys), dtype)
+        answers[asked_order(keys, kind, buckets)[1]] = np.concatenate([spread(own, dtype) for own in parts[values]["counts"]])
+        return keys, answers
+
+    words, counts = table(WORDS, WORD_VALUES, np.int64)
+    grams, logs = table(GRAMS, GRAM_VALUES, np.float64)
+    unigram = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
+    out = []
+    for number, flag, (start, end) in zip(ids.tolist(), flags.tolist(), spans, strict=True):
+        data = text[start:end]
         own = np.searchsorted(words, word_keys(data, hashes))
         score = float(logs[np.searchsorted(grams, gram_keys(data, depth))].sum())
         out.append(
@@ -314,7 +331,7 @@ def block_scores(group: pd.DataFrame, depth: int, total: int, distinct: int) ->
                 total,
                 float(unigram[own].sum()),
                 score,
-                -score / np.log10(2) / (size + 1),
+                -score / np.log10(2) / (end - start + 1),
             )
         )
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
@@ -337,7 +354,8 @@ def score_documents(documents: DataFrame, held_out: Column, depth: int = DEPTH)
     if not 1 <= depth <= 6:
         raise ValueError("a context has one to six bytes")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed, _ = write_out(pack(documents, held_out, depth, 1 + size // BUCKET), "blocks")
+    buckets = 1 + size // BUCKET
+    packed, _ = write_out(pack(documents, held_out, depth, buckets), "blocks")
     words = packed.where(F.col("kind") == WORDS).select(*PART.replace(",", "").split()[::2])
     grams = packed.where(F.col("kind") == GRAMS).select(*PART.replace(",", "").split()[::2])
     counted, _ = write_out(
@@ -351,9 +369,11 @@ def score_documents(documents: DataFrame, held_out: Column, depth: int = DEPTH)
     total, distinct = total or 0, distinct or 0
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
-        return block_scores(group, depth, total, distinct)
+        return block_scores(group, depth, buckets, total, distinct)
 
-    every = packed.unionByName(returned, allowMissingColumns=True)
+    # A block's text and the answers alone: what it asked for it can find again.
+    texts = packed.where(F.col("kind") == DOCS).drop("counts")
+    every = texts.unionByName(returned.drop("keys"), allowMissingColumns=True)
     return every.groupBy("block").applyInPandas(score, SCORES)
 
 
