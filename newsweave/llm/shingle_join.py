@@ -8,7 +8,8 @@ same in both. Classes that agree in a group meet in a bucket.
 
 A tree of boxes over points bounds the overlap of two boxes, and of two points, by the sum of
 the smaller coordinates. In a bucket, pairs that the bound lets through make families (a
-bucket too large for one task is one family). Within a family the same tree finds the
+bucket too large for one task is one family). Families too large for one task are split by the same
+bound on points of more coordinates. Within a family the same tree finds the
 pairs again, which are then verified on their sets. A large family is cut into tiles of sets of like
 size, joined within and then with the tiles of the same and the next sizes, and pairs already
 connected are not compared again. Links are
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.llm.graph import components
@@ -35,6 +36,9 @@ from newsweave.session import broadcast_if_small, write_out
 # Coordinates of a point, and children of a box.
 GROUPS = 32
 FAN = 16
+# Coordinates of a fine point, and classes in a tile of these.
+FINE = 256
+FINE_TILE = 4096
 # Growth of the size bands that share a number of groups.
 BAND = 1.5
 # Classes and n-grams in a tile, and n-grams in a task of small families.
@@ -44,6 +48,8 @@ TILE_GRAMS = 2_000_000
 BUCKET_ROWS = 50_000
 # Pairs whose bounds are computed at once.
 PAIRS = 1 << 16
+# Fine points compared with a tile at once.
+TOGETHER = 64
 ROWS = 500
 
 
@@ -130,8 +136,8 @@ def class_of(grams: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def point(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((mixed(grams, 7) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+def point(grams: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((mixed(grams, 7) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
 
 
 def _sketches(documents: DataFrame, words: int) -> DataFrame:
@@ -195,6 +201,22 @@ def _with_sets(frame: pd.DataFrame, words: int) -> pd.DataFrame:
     return frame.drop(columns="text").assign(grams=sets)[own]
 
 
+def _fine_points(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``wanted`` (class, doc_id and others) with ``fine``, the compressed fine point of the class."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), ROWS):
+                own = _with_sets(frame.iloc[start : start + ROWS], words)
+                counts = [point(grams, FINE).astype(np.int32).tobytes() for grams in own["grams"]]
+                fine = [pa.compress(each, codec="zstd", asbytes=True) for each in counts]
+                yield own.drop(columns="grams").assign(fine=fine)
+
+    texts = _texts(documents, wanted)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+    return texts.mapInPandas(run, f"{kept}, fine binary")
+
+
 class Forest:
     """Disjoint sets of numbers 0 to n - 1."""
 
@@ -283,6 +305,82 @@ def _families(buckets: DataFrame, sketches: DataFrame, num: int, den: int) -> Da
     return components(links).select(F.col("node").alias("class"), F.col("component").alias("family"))
 
 
+def fine_stars(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Stars of the classes whose fine points allow a link: within a tile, or between the two given.
+
+    ``side`` tells the tiles apart. Each point of the first meets those of like size of the other.
+    """
+    frame = frame.drop_duplicates("class").sort_values(["side", "size", "class"])
+    classes, sizes = frame["class"].to_numpy(), frame["size"].to_numpy()
+    width = 4 * FINE
+    data = b"".join(pa.decompress(each, decompressed_size=width, codec="zstd", asbytes=True) for each in frame["fine"])
+    points = np.frombuffer(data, np.int32).reshape(-1, FINE)
+    # A bound is at most the smaller set's size.
+    points = points.astype(np.uint16 if len(sizes) and sizes.max() < 1 << 16 else np.int64)
+    first = int((frame["side"].to_numpy() == frame["side"].iloc[0]).sum()) if len(frame) else 0
+    other = first if first < len(frame) else 0
+    across, far = np.ascontiguousarray(points[other:].T), sizes[other:]
+    labels = np.arange(len(frame))
+    for at in range(0, first, TOGETHER):
+        own = sizes[at : min(at + TOGETHER, first)]
+        low = int(np.searchsorted(far, own[0] * num // den, side="left"))
+        high = int(np.searchsorted(far, -(-own[-1] * den // num), side="right"))
+        bound = np.zeros((len(own), high - low), points.dtype)
+        for group in range(FINE):
+            bound += np.minimum(points[at : at + len(own), group, None], across[group, low:high])
+        passing = bound.astype(np.int64) * (num + den) >= num * (own[:, None] + far[low:high])
+        for row in np.flatnonzero(passing.any(axis=1)):
+            met = np.unique(np.append(labels[other + low + np.flatnonzero(passing[row])], labels[at + row]))
+            if len(met) > 1:
+                labels[np.isin(labels, met)] = met[0]
+    away = np.flatnonzero(labels != np.arange(len(labels)))
+    return pd.DataFrame({"a": classes[away], "b": classes[labels[away]]}, dtype=np.int64)
+
+
+def _size_band(num: int, den: int) -> Column:
+    """Sets whose bands are no neighbours cannot link."""
+    return F.floor(F.log("size") / (math.log(den / num) + 1e-6))
+
+
+def _tile_pairs(tiles: DataFrame) -> DataFrame:
+    """Pairs of tiles (family, band, at, and band2, at2) of the same and the next band of a family."""
+    other = tiles.select("family", *[F.col(name).alias(f"{name}2") for name in tiles.columns if name != "family"])
+    return tiles.join(other, "family").where("band2 = band + 1 or band2 = band and at <= at2")
+
+
+def _refined(documents: DataFrame, sized: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``sized`` with families of more than one tile split into those that fine points allow.
+
+    A large bucket is one family, and the bound of coarse points lets many through; a fine point is
+    far smaller than a text, so tiles of these meet before any text travels. Classes whose bound
+    allows no link leave.
+    """
+    weights = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    large = weights.where((F.col("n") > TILE) | (F.col("grams") > TILE_GRAMS)).select("family")
+    large, _ = write_out(large, "large")
+    if large.isEmpty():
+        return sized
+    own = sized.join(broadcast_if_small(large), "family").withColumn("band", _size_band(num, den))
+    fill = own.groupBy("family", "band").agg(F.ceil(F.count("*") / FINE_TILE).cast("long").alias("fill"))
+    placed = own.join(fill, ["family", "band"]).withColumn("at", F.pmod(F.xxhash64("class"), F.col("fill"))).drop("fill")
+    points, _ = write_out(_fine_points(documents, placed, words), "points")
+    names = ["family", "band", "at"]
+    pairs = _tile_pairs(points.select(*names).distinct()).withColumn("tile", F.concat_ws("/", *names, "band2", "at2"))
+    same = (F.col("band") == F.col("band2")) & (F.col("at") == F.col("at2"))
+    ends = pairs.select(*names, "tile", F.lit(0).alias("side")).unionByName(
+        pairs.where(~same).select("family", F.col("band2").alias("band"), F.col("at2").alias("at"), "tile", F.lit(1).alias("side"))
+    )
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return fine_stars(frame, num, den)
+
+    met = points.join(broadcast_if_small(write_out(ends, "ends")[0]), names).select("tile", "side", "class", "size", "fine")
+    found = components(met.groupBy("tile").applyInPandas(run, "a long, b long"))
+    found = found.select(F.col("node").alias("class"), F.col("component").alias("family"))
+    split = sized.drop("family").join(found, "class").select(*sized.columns)
+    return sized.join(broadcast_if_small(large), "family", "left_anti").select(*sized.columns).unionByName(split)
+
+
 def linked(group: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     """Stars of the components among the classes of a group, given what is connected."""
     group = group.drop_duplicates("class")
@@ -322,6 +420,7 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     members, _ = write_out(_families(buckets, sketches, num, den), "families")
     chosen = sketches.join(members, "class").groupBy("class", "family")
     sized, _ = write_out(chosen.agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size")), "chosen")
+    sized, _ = write_out(_refined(documents, sized, words, num, den), "refined")
     weights = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
     weights = weights.select(
         "family", F.ceil(F.greatest(F.col("n") / TILE, F.col("grams") / TILE_GRAMS)).cast("long").alias("tiles")
@@ -329,8 +428,7 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
     total = sized.agg(F.sum("size")).first()[0] or 0
     # A small family is one tile, and a task takes many of them; a tile of a large one has its own. Tiles
     # of a large one hold sets of like size: those of bands that are no neighbours cannot link.
-    step = math.log(den / num) + 1e-6
-    band = F.when(F.col("tiles") > 1, F.floor(F.log("size") / step)).otherwise(-1)
+    band = F.when(F.col("tiles") > 1, _size_band(num, den)).otherwise(-1)
     banded = sized.join(weights, "family").withColumn("band", band)
     fill = banded.groupBy("family", "band").agg(
         F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("long").alias("fill")
@@ -365,10 +463,9 @@ def _links(documents: DataFrame, sketches: DataFrame, words: int, num: int, den:
         "labelled",
     )
     spread = labelled.groupBy("family", "band", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    other = spread.select("family", *[F.col(name).alias(f"{name}2") for name in ("band", "at", "low", "high")])
     open_pairs = (
-        spread.join(other, "family")
-        .where("(band2 = band + 1 or band2 = band and at < at2) and not (low = high and low2 = high2 and low = low2)")
+        _tile_pairs(spread)
+        .where("not (band = band2 and at = at2) and not (low = high and low2 = high2 and low = low2)")
         .select("family", "band", "at", "band2", "at2", F.concat_ws("/", "family", "band", "at", "band2", "at2").alias("tile"))
     )
     ends = open_pairs.select("family", "band", "at", "tile").unionByName(

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +78,40 @@ def test_tiles_of_a_large_family(spark, monkeypatch):
     check(spark, list(enumerate(texts)), 3, 90, 100)
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_fine_points_lose_no_pair(two):
+    """Components of all pairs whose bound allows a link, of one tile and between two."""
+    rng = np.random.default_rng(7)
+    points = rng.integers(0, 4, (300, join.FINE))
+    points[150:] = points[:150] + (rng.random((150, join.FINE)) < 0.2) * (rng.random((150, 1)) < 0.5) * 2
+    points[7] = 70_000
+    sizes, side = points.sum(axis=1), (np.arange(300) // 50 % 2 if two else np.zeros(300, int))
+    fine = [pa.compress(p.astype(np.int32).tobytes(), codec="zstd", asbytes=True) for p in points]
+    stars = join.fine_stars(pd.DataFrame({"class": np.arange(300), "size": sizes, "fine": fine, "side": side}), 90, 100)
+    forest, direct = join.Forest(np.arange(300)), join.Forest(np.arange(300))
+    for a, b in stars.itertuples(index=False):
+        forest.up[forest.root(a)] = forest.root(b)
+    for a in range(300):
+        for b in range(a):
+            if (not two or side[a] != side[b]) and np.minimum(points[a], points[b]).sum() * 190 >= 90 * (sizes[a] + sizes[b]):
+                direct.up[direct.root(a)] = direct.root(b)
+    same = {(a, b) for a in range(300) for b in range(a) if forest.root(a) == forest.root(b)}
+    assert same == {(a, b) for a in range(300) for b in range(a) if direct.root(a) == direct.root(b)}
+    assert same
+
+
+def test_a_passage_in_many_documents(spark, monkeypatch):
+    """Documents that share a passage and little else; tiles of fine points smaller than the family."""
+    monkeypatch.setattr(join, "TILE", 8)
+    monkeypatch.setattr(join, "FINE_TILE", 16)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [[*passage, *(f"w{rng.randrange(500)}" for _ in range(rng.choice([12, 15, 30, 60])))] for _ in range(80)]
+    texts += [[*own[:-1], "changed"] for own in texts[:20]]
+    check(spark, list(enumerate(map(" ".join, texts))), 3, 90, 100)
+    check(spark, list(enumerate(map(" ".join, texts))), 2, 70, 100)
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert join.similar_documents(frame).collect() == []
