@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from weakref import proxy
 
 import ahocorasick
 import numpy as np
@@ -166,7 +167,8 @@ class Chunks(dict):
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.vocabulary, self.before = vocabulary, {}
+        # No circle of references: what a worker remembers goes when the broadcast does.
+        self.vocabulary, self.before = proxy(vocabulary), {}
 
     def __missing__(self, chunk: str) -> bytes:
         packed = self.before.get(chunk)
