@@ -40,6 +40,8 @@ BUCKET = 6 << 20
 ROWS = 500
 # Keys that wait at most before a block sums them.
 SUMMED = 1 << 19
+# Keys of a block's texts whose distinct ones are taken at once when they are found again.
+DISTINCT = 1 << 20
 # Stands for what precedes a text and for its end.
 EDGE = b"\0"
 # The end counts as a word; no word can be a blank.
@@ -151,9 +153,9 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def asked_order(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a block's distinct keys, and the order in which the block asks for them."""
+    """The buckets of a block's distinct keys, which rise, and the order in which the block asks for them."""
     dealt = bucket_of(keys >> 8 if kind == GRAMS else keys, buckets)
-    return dealt, np.lexsort((keys, dealt))
+    return dealt, np.argsort(dealt, kind="stable")
 
 
 def pack(documents: DataFrame, held_out: Column, depth: int, buckets: int) -> DataFrame:
@@ -305,13 +307,22 @@ def block_scores(group: pd.DataFrame, depth: int, buckets: int, total: int, dist
     spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
 
     def table(kind: int, values: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-        tally = Tally()
+        met, waiting, held = [], [], 0
         for start, end in spans:
             data = text[start:end]
-            tally.add(word_keys(data, hashes) if kind == WORDS else gram_keys(data, depth), False)
-        keys, _ = tally.sums()
+            waiting.append(word_keys(data, hashes) if kind == WORDS else gram_keys(data, depth))
+            held += len(waiting[-1])
+            if held >= DISTINCT:
+                met.append(np.unique(np.concatenate(waiting)))
+                waiting, held = [], 0
+        keys = np.unique(np.concatenate([*met, *waiting]))
+        del met, waiting
         answers = np.empty(len(keys), dtype)
-        answers[asked_order(keys, kind, buckets)[1]] = np.concatenate([spread(own, dtype) for own in parts[values]["counts"]])
+        order, at = asked_order(keys, kind, buckets)[1], 0
+        for packed in parts[values]["counts"]:
+            own = spread(packed, dtype)
+            answers[order[at : at + len(own)]] = own
+            at += len(own)
         return keys, answers
 
     words, counts = table(WORDS, WORD_VALUES, np.int64)
