@@ -148,8 +148,11 @@ class Block:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    mixed = keys.astype(np.uint64)  # a copy, worked on in place
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed >>= np.uint64(33)
+    mixed %= np.uint64(buckets)
+    return mixed.view(np.int64)
 
 
 def asked_order(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,8 +318,10 @@ def block_scores(group: pd.DataFrame, depth: int, buckets: int, total: int, dist
             if held >= DISTINCT:
                 met.append(np.unique(np.concatenate(waiting)))
                 waiting, held = [], 0
-        keys = np.unique(np.concatenate([*met, *waiting]))
+        keys = np.concatenate([*met, *waiting])
         del met, waiting
+        keys.sort()
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
         answers = np.empty(len(keys), dtype)
         order, at = asked_order(keys, kind, buckets)[1], 0
         for packed in parts[values]["counts"]:
