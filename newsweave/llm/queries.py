@@ -160,24 +160,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN l USING (doc_id)"""
 )
 
-_KNOWN = ", ".join(
-    f"('{sentence}', '{name}')" for name, listed in licences.SENTENCES.items() for sentence in listed
+_KNOWN, _NAMED = (
+    "MAP {" + ", ".join(f"'{known}': '{name}'" for name, listed in table.items() for known in listed) + "}"
+    for table in (licences.SENTENCES, licences.NAMES)
+)
+_PLAIN = "lower(text)"
+for _pattern, _instead in licences.STEPS:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_instead.replace('$', chr(92))}', 'g')"
+# Every blank and end stands twice here, so that what is found can take one on either side.
+_BLANK = "(?:  |//)"
+_FOUND = (
+    "[|/](?:" + licences.known_pattern([k for listed in licences.SENTENCES.values() for k in listed], _BLANK) + ")[|/]"
+    "|[|/ ]" + licences.NOTICE.replace(" ", _BLANK)
+    + "(?:" + licences.known_pattern([k for listed in licences.NAMES.values() for k in listed], _BLANK) + ")[|/ ]"
 )
 _TAKEN = "line"
 for _licence, _parts in licences.RULES:
     _TAKEN = f"replace({_TAKEN}, '{''.join(f'|{part}|' for part in _parts)}', '|={_licence}|')"
 _OP2 = f"""
-WITH known(sentence, name) AS (VALUES {_KNOWN}),
-s AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        lower(parts[i]), '[^a-z0-9.]+', ' ', 'g'), '\\.+([^0-9.]|$)', ' \\1 ', 'g'),
-        '(^|[^0-9.])\\.+', ' \\1 ', 'g'), ' +', ' ', 'g')) AS sentence
-      FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
-            SELECT doc_id, string_split_regex(text, '[.!?]+([ \\t\\n\\r]+|$)|[\\n\\r]+') AS parts FROM documents))),
-l AS (SELECT doc_id, '|' || string_agg(coalesce(name, '-'), '||' ORDER BY i) || '|' AS line,
-        count(name) AS n_known, coalesce(string_agg(name, ',' ORDER BY i), '') AS sentence_ids
-      FROM s LEFT JOIN known USING (sentence) WHERE sentence <> '' GROUP BY doc_id),
+WITH p AS (SELECT doc_id, regexp_replace('|' || trim({_PLAIN}) || '|', '([|/ ])', '\\1\\1', 'g') AS plain
+      FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, string_split_regex(plain, '{_FOUND}') AS gaps,
+        list_transform(regexp_extract_all(plain, '{_FOUND}'), lambda x: trim(regexp_replace(x, '[|/ ]+', ' ', 'g'))) AS known
+      FROM p),
+n AS (SELECT doc_id, gaps, list_transform(known, lambda k:
+        coalesce({_KNOWN}[k], {_NAMED}[regexp_replace(k, '^{licences.NOTICE}', '')])) AS names FROM f),
+l AS (SELECT doc_id, '|' || array_to_string(flatten(list_transform(range(1, len(gaps) + 1), lambda i: list_filter([
+        CASE WHEN regexp_matches(gaps[i], '[a-z0-9]') THEN '-' END, names[i]], lambda x: x IS NOT NULL))), '||') || '|' AS line,
+        len(names) AS n_known, array_to_string(names, ',') AS sentence_ids FROM n),
 t AS (SELECT doc_id, n_known, sentence_ids, {_TAKEN} AS taken FROM l)
-SELECT doc_id, coalesce(array_to_string(regexp_extract_all(taken, '\\|=([^|]+)\\|', 1), ','), '') AS licences,
+SELECT documents.doc_id, coalesce(array_to_string(regexp_extract_all(taken, '\\|=([^|]+)\\|', 1), ','), '') AS licences,
     coalesce(len(regexp_extract_all(taken, '\\|=([^|]+)\\|', 1)), 0) AS n_licences, coalesce(n_known, 0) AS n_known,
     coalesce(len(regexp_extract_all(taken, '\\|([^|=-][^|]*)\\|', 1)), 0) AS n_left,
     coalesce(sentence_ids, '') AS sentence_ids

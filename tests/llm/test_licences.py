@@ -1,6 +1,11 @@
 import re
+import time
 
-from newsweave.llm.licences import CUES, SENTENCES, scan_licences
+import duckdb
+import pytest
+
+from newsweave.llm.licences import CUES, NAMES, RULES, SENTENCES, scan_licences
+from newsweave.llm.queries import ORACLE
 
 GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
@@ -138,5 +143,133 @@ def test_real_licences(spark):
         assert known - 1 <= row.n_known <= known, text
 
 
+ISC = '''Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+'''
+ZLIB = '''This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+'''
+MPL = '''This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+'''
+UNLICENSE = '''This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+'''
+
+
+def gnu(words, version, work="program"):
+    return (
+        GPL.replace("GNU General", f"GNU {words} General")
+        .replace("version 3", f"version {version}")
+        .replace("program", work)
+    )
+
+
+NOTICES = [
+    ("Licensed under the Apache License, Version 2.0. This file is ours.", "Apache-2.0"),
+    ("Licensed under the Apache License, Version\n# 2.0. This file is ours.", "Apache-2.0"),
+    ("This work is licensed under CC BY 4.0. Please credit us.", "CC-BY-4.0"),
+    ("this work is licensed under CC BY 4.0, thanks", "CC-BY-4.0"),
+    ("Our text is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "CC-BY-NC-SA-3.0"),
+    ("licensed under Creative Commons Attribution-Non Commercial 2.5", "CC-BY-NC-2.5"),
+    ("// SPDX-License-Identifier: LGPL-2.1-or-later\nint main() {}", "LGPL-2.1"),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("# SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"),
+    ("It is released under the GNU GPL v2 or later.", "GPL-2.0"),
+    ("released under the GPLv3", "GPL-3.0"),
+    ("Distributed under the Boost Software License, Version 1.0. (See it.)", "BSL-1.0"),
+    ("available under the terms of the Eclipse Public License v. 2.0 which is", "EPL-2.0"),
+    ("provided under the ISC licence; and more", "ISC"),
+    ("released under CC0 1.0 Universal", "CC0-1.0"),
+    ("licensed under the mitre plan", ""),
+    ("sublicensed under the MIT license", ""),
+    ("licensed under\n\nthe MIT license", ""),
+    ("1) All rights reserved. 2) Released into the public domain. c) nothing", "All-Rights-Reserved,Public-Domain"),
+    (ISC, "ISC"),
+    (ZLIB, "Zlib"),
+    (" ".join(ZLIB.split()), "Zlib"),
+    (MPL, "MPL-2.0"),
+    ("/* " + MPL.replace("\n", "\n * "), "MPL-2.0"),
+    (UNLICENSE, "Unlicense"),
+    (gnu("Lesser", "2.1", "library"), "LGPL-2.1"),
+    (gnu("Lesser", "3"), "LGPL-3.0"),
+    (gnu("Affero", "3"), "AGPL-3.0"),
+]
+
+
+def test_notices(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(NOTICES)]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, licences) in enumerate(NOTICES):
+        assert (got[i].licences, got[i].n_left) == (licences, 0), (text, got[i])
+
+
+def test_sql_on_wrapped_notices(spark):
+    """The SQL does the same with wrapped lines, addresses, numerals, marks and odd texts."""
+    texts = [text for text, _ in NOTICES] + [text for text, _ in REAL.values()] + [t[0] for t in TEXTS.values()]
+    texts += ["# " + text.replace("\n", "\r\n# ") for text, _ in REAL.values()]
+    texts += [" ".join(text.split()) for text, _ in REAL.values()]
+    texts += ["....5....x. 5.5..5 .5 5.\n\n\n\n. . .", "\u2028. \u0130 All rights reserved.\u2028", "v. v.2 v", ": ; : ;", "\n" * 50]
+    rows = list(enumerate(texts))
+    columns = ["doc_id", "licences", "n_licences", "n_known", "n_left", "sentence_ids"]
+    got = scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").select(columns)
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    sql = connection.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['op2_sentence_licences']}) ORDER BY doc_id").fetchall()
+    for mine, other in zip(got.collect(), sql, strict=True):
+        assert tuple(mine) == other, texts[mine.doc_id]
+
+
+@pytest.mark.parametrize("run", ["; ", ";", ": ", ":", " ", ".", ". ", "\n", " \n", "\t", "# \n", "\u3002:", "5.", "1. ", "v", "version ", "are "])
+def test_long_runs(spark, run):
+    """A megabyte of marks or blanks takes time in proportion to its length."""
+    text = "All rights reserved. 5" + run * (1_000_000 // len(run)) + "x 5. Licensed under the MIT license."
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    row = scan_licences(frame).first()
+    assert "MIT" in row.licences and time.monotonic() - start < 20
+
+
+def test_tables():
+    """Every identifier has one meaning, and every rule consists of known ones."""
+    known = SENTENCES.keys() | NAMES.keys()
+    assert all(part in known for _, parts in RULES for part in parts)
+    assert {part for _, parts in RULES for part in parts} >= NAMES.keys()
+    for table in (SENTENCES, NAMES):
+        listed = [text for texts in table.values() for text in texts]
+        assert len(listed) == len(set(listed))
+        assert all(re.fullmatch("[a-z0-9]+(\\.[0-9]+)?( [a-z0-9]+(\\.[0-9]+)?)*", text) for text in listed)
+
+
 def test_every_sentence_has_a_cue():
     assert all(re.search(CUES, known) for listed in SENTENCES.values() for known in listed if not known.startswith("if not see"))
