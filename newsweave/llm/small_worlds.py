@@ -2,18 +2,22 @@
 
 Equal vectors are one point with a weight. Points are dealt to shards by hash; a shard's task
 builds a layered graph whose links are chosen for diversity, and every point queries every
-shard: greedily down the layers, then with a beam over the lowest. A query whose beam ends
-full of links searches again with twice the beam. An audit compares queries of each group with
-the whole shard until enough of them have links; while the beam finds less than the wanted share
-of the links of any of these, it is widened. A group with too few such queries is compared whole. A beam as wide as a good part of the shard is the shard itself,
-compared point by point. What is found is verified by its cosine in double precision.
-
-Links are not listed: a query returns how many it has in a shard and one star link for the
-component of what it found, so a group of equal or near vectors never becomes all its pairs.
+shard: greedily down the layers, then with a beam over the lowest. Two audits widen the beam until
+the wanted share of links is found: when a shard is built, queries planted at the least cosine from drawn
+points must find these; when queries meet it, a drawn number of them is compared with the whole shard.
+A query that finds many links in a shard is compared with all of it, so that its number of links there is exact, and a
+beam as wide as a good part of the shard is the shard itself, compared point by point. What is found is
+verified by its cosine in double precision.
+
+A link that either end found counts for both: a query lists what it found where that is little, and tells
+points that few queries of its part have found. So the lists stay short, and a group of equal or near vectors never becomes
+all its pairs; their counts are exact on their own. One star link per query and shard connects the
+component of what it found.
 
 Null, zero and non-finite vectors and null ids link with nothing: no links, a component of
 their own. Vectors link within their own length. Rows that repeat an id stay rows of their own, in the component of
-their vectors.
+their vectors. Vectors are named by 64-bit hashes (a second hash keeps rows apart that share one), so
+reruns build the same shards and graphs.
 """
 
 import numpy as np
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.llm.graph import components
-from newsweave.llm.vectors import blocks, dealt, layout, meet, unpack, usable_rows
+from newsweave.llm.vectors import blocks, dealt, layout, meet, unpack, usable, usable_rows
 from newsweave.session import write_out
 
 # Links of a point in a layer (twice as many in the lowest), and the beam while building.
@@ -35,10 +39,19 @@ WHOLE = 1 / 8
 TOGETHER = 256
 # Beam entries opened in one step.
 STEP = 4
-# Queries with links that are audited in a group, and the share of each one's links to be found.
-AUDITED = 192
+# Links in a shard from which on a query is compared with all of it.
+MANY = 24
+# Queries planted in a shard, queries of a part compared with a whole shard, and the share of links to be found.
+PLANTED = 256
+AUDITED = 512
 RECALL = 0.995
-GRAPH = "at int, ids binary, weights binary, vectors binary, layers array<binary>"
+# A length has several shards only if they hold so many vectors.
+FILL = 1024
+GRAPH = "at int, ids binary, weights binary, vectors binary, layers array<binary>, beam int"
+FOUND = (
+    "id long, weight long, length int, shard int, whole boolean, n long, star long,"
+    " others array<long>, weights array<long>, told array<boolean>"
+)
 
 
 def search_layer(
@@ -138,6 +151,7 @@ class Graph:
         return built
 
     top = 0
+    beam = BEAM
 
     def _insert(self, batch: np.ndarray, tall: np.ndarray) -> None:
         queries = self.vectors[batch]
@@ -215,58 +229,67 @@ class Graph:
             entries = search_layer(self.vectors, layer, queries, entries, STEP)[0][:, :1]
         return search_layer(self.vectors, self.layers[0], queries, entries, min(beam, len(self.vectors)))
 
+    def whole(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
+        """Points at a cosine of ``least`` or more, by comparison with each."""
+        found = []
+        for at in range(0, len(queries), TOGETHER):
+            found += [np.flatnonzero(near) for near in queries[at : at + TOGETHER] @ self.vectors.T >= least]
+        return found
+
     def within(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """Points at a cosine of ``least`` or more, with beams as wide as that needs."""
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-        left = np.arange(len(queries))
-        while len(left):
-            if beam > WHOLE * len(self.vectors):
-                for at in range(0, len(left), TOGETHER):
-                    near = queries[left[at : at + TOGETHER]] @ self.vectors.T >= least
-                    for query, own in zip(left[at : at + TOGETHER].tolist(), near, strict=True):
-                        found[query] = np.flatnonzero(own)
-                break
-            more = []
-            for at in range(0, len(left), TOGETHER):
-                some = left[at : at + TOGETHER]
-                points, cosines = self.query(queries[some], beam)
-                full = (cosines[:, -1] >= least) & (points.shape[1] < len(self.vectors))
-                for query, own, close in zip(some.tolist(), points, cosines, strict=True):
-                    found[query] = own[close >= least]
-                more.append(some[full])
-            left, beam = np.concatenate(more), beam * 2
+        """Points at a cosine of ``least`` or more that a beam finds, and all of them where they are many."""
+        if beam > WHOLE * len(self.vectors):
+            return self.whole(queries, least)
+        found: list[np.ndarray] = []
+        for at in range(0, len(queries), TOGETHER):
+            points, cosines = self.query(queries[at : at + TOGETHER], beam)
+            found += [own[close >= least] for own, close in zip(points, cosines, strict=True)]
+        many = np.array([at for at, own in enumerate(found) if len(own) >= MANY], np.int64)
+        for at, own in zip(many.tolist(), self.whole(queries[many], least), strict=True):
+            found[at] = own
         return found
 
+    def settle(self, least: float, seed: int = 2) -> None:
+        """Widen the beam until queries planted at a cosine of ``least`` from drawn points find these.
+
+        Real links may be too rare to judge a beam by; a planted one is of the hardest kind.
+        """
+        rng = np.random.default_rng(seed)
+        drawn = rng.permutation(len(self.vectors))[:PLANTED]
+        points = self.vectors[drawn]
+        aside = rng.standard_normal(points.shape)
+        aside -= np.einsum("nd,nd->n", aside, points)[:, None] * points
+        size = np.linalg.norm(aside, axis=1, keepdims=True)
+        aside = np.where(size > 1e-9, aside / np.maximum(size, 1e-9), 0.0)
+        queries = _unit(least * points + np.sqrt(max(0.0, 1 - least * least)) * aside)
+        while self.beam <= WHOLE * len(self.vectors):
+            found, cosines = self.query(queries, self.beam)
+            shown = (found == drawn[:, None]).any(axis=1) | ((cosines >= least).sum(axis=1) >= MANY)
+            if shown.mean() >= RECALL:
+                break
+            self.beam *= 2
+
     def audited(self, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
-        """``within``, with a beam that finds the wanted share of the links of each audited query.
+        """``within``, with a beam that finds the wanted share of the links of drawn queries.
 
-        ``own`` is a query's own point, or -1: it is no link. Queries are compared with the whole
-        shard, in a drawn order, until ``AUDITED`` of them have links that a first beam could hold
-        (wider groups widen by themselves and show nothing). What has been compared is exact; where
-        links are too rare for an audit that is every query.
+        ``own`` is a query's own point, or -1: it is no link. ``AUDITED`` queries are compared with the
+        whole shard; each that has links weighs the same. All others are answered by the beam.
         """
         own = np.full(len(queries), -1) if own is None else own
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         drawn = np.random.default_rng(len(queries)).permutation(len(queries))
-        linked: list[int] = []
-        at = 0
-        while at < len(drawn) and len(linked) < AUDITED:
-            some = drawn[at : at + TOGETHER]
-            near = queries[some] @ self.vectors.T >= least
-            for query, true in zip(some.tolist(), near, strict=True):
-                found[query] = np.flatnonzero(true)
-                if 0 < (found[query] != own[query]).sum() < BEAM:
-                    linked.append(query)
-            at += len(some)
-        rest, audit, beam = drawn[at:], np.array(linked, np.int64), BEAM
-        if not len(rest):
-            return found
-        while beam <= WHOLE * len(self.vectors):
-            shown = self.within(queries[audit], least, beam)
-            if all(
-                np.isin(found[query], got)[found[query] != own[query]].mean() >= RECALL
-                for query, got in zip(audit.tolist(), shown, strict=True)
-            ):
+        audit, rest = drawn[:AUDITED], drawn[AUDITED:]
+        for query, true in zip(audit.tolist(), self.whole(queries[audit], least), strict=True):
+            found[query] = true
+        linked = np.array([q for q in audit.tolist() if (found[q] != own[q]).any()], np.int64)
+        beam = self.beam
+        while len(rest) and len(linked) and beam <= WHOLE * len(self.vectors):
+            shown = self.within(queries[linked], least, beam)
+            shares = [
+                np.isin(found[query], got)[found[query] != own[query]].mean()
+                for query, got in zip(linked.tolist(), shown, strict=True)
+            ]
+            if np.mean(shares) >= RECALL:
                 break
             beam *= 2
         for query, got in zip(rest.tolist(), self.within(queries[rest], least, beam), strict=True):
@@ -290,25 +313,30 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def build_shard(frame: pd.DataFrame) -> pd.DataFrame:
+def build_shard(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     ids, weights, vectors = unpack(frame)
     graph = Graph.build(_unit(vectors))
-    row = (int(frame["at"].iloc[0]), ids.tobytes(), weights.tobytes(), vectors.tobytes(), graph.packed())
-    return pd.DataFrame([row], columns=["at", "ids", "weights", "vectors", "layers"])
+    graph.settle(least)
+    row = (int(frame["at"].iloc[0]), ids.tobytes(), weights.tobytes(), vectors.tobytes(), graph.packed(), graph.beam)
+    return pd.DataFrame([row], columns=["at", "ids", "weights", "vectors", "layers", "beam"])
 
 
 def find_links(shard: pd.DataFrame, part: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Per query: the weight of what it links with in a shard, and one link to its component.
+    """Per query that links with points of a shard: one row of ``FOUND``.
 
-    What one query links with is connected through it, so each query needs one star link.
+    ``whole`` says that ``n``, the weight of its links there, is exact. Else ``others`` lists its links. Among
+    them, or alone, are those to be ``told``: points that few of the part's queries have found, so that
+    they may have missed a link themselves. What one query links with is connected through it, so each needs one star link.
     """
     out = []
     if len(shard) and len(part):
         ids, weights, vectors = unpack(shard)
-        query_ids, _, queries = unpack(part)
+        query_ids, query_weights, queries = unpack(part)
         place = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
         own_points = np.where(ids[place] == query_ids, place, -1)
-        hits = Graph.unpacked(_unit(vectors), shard["layers"].iloc[0]).audited(_unit(queries), least, own_points)
+        graph = Graph.unpacked(_unit(vectors), shard["layers"].iloc[0])
+        graph.beam = int(shard["beam"].iloc[0])
+        hits = graph.audited(_unit(queries), least, own_points)
         up = np.arange(len(ids)).tolist()
 
         def root(at: int) -> int:
@@ -317,51 +345,88 @@ def find_links(shard: pd.DataFrame, part: pd.DataFrame, least: float) -> pd.Data
                 at = up[at]
             return at
 
+        times = np.zeros(len(ids), np.int64)
         for own in hits:
+            times[own] += 1
             roots = {root(at) for at in own.tolist()}
             for other in roots:
                 up[other] = min(roots)
-        for query, own in zip(query_ids.tolist(), hits, strict=True):
+        # A point found this often links with many of every shard, and is compared whole itself.
+        few = times < 2 * MANY * max(1.0, len(queries) / len(ids))
+        at, length = int(shard["at"].iloc[0]), queries.shape[1]
+        for query, weight, own in zip(query_ids.tolist(), query_weights.tolist(), hits, strict=True):
             others = own[ids[own] != query]
-            if len(others):
-                out.append((query, int(weights[others].sum()), int(ids[root(int(others[0]))])))
-    return pd.DataFrame(out, columns=["id", "n", "star"])
+            if not len(others):
+                continue
+            whole, star = len(own) >= MANY, int(ids[root(int(others[0]))])
+            n = int(weights[others].sum())
+            listed = others[few[others]] if whole else others
+            told = few[listed].tolist()
+            out.append((query, weight, length, at, whole, n, star, ids[listed].tolist(), weights[listed].tolist(), told))
+    return pd.DataFrame(out, columns=[field.split()[0] for field in FOUND.split(", ")])
+
+
+def link_counts(found: DataFrame, places: DataFrame) -> DataFrame:
+    """id and n, the weight of all it links with by a search of its own or by another's."""
+    homes = F.broadcast(places.select("length", F.col("shard").alias("_first"), F.col("shards").alias("_count")))
+    each = found.select(
+        "id", "weight", "length", "shard", "whole", F.explode(F.arrays_zip("others", "weights", "told")).alias("link")
+    )
+    listed = each.where(~F.col("whole")).select("id", "shard", F.col("link.others").alias("other"), F.col("link.weights").alias("weight"))
+    home = F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_count")).cast("int")
+    told = (
+        each.where(F.col("link.told"))
+        .join(homes, "length")
+        .select(F.col("link.others").alias("id"), home.alias("shard"), F.col("id").alias("other"), "weight")
+    )
+    exact = found.where("whole").select("id", "shard", "n")
+    known = listed.union(told).groupBy("id", "shard", "other").agg(F.max("weight").alias("n"))
+    open_ends = known.join(exact.select("id", "shard"), ["id", "shard"], "left_anti").select("id", "n")
+    return open_ends.union(exact.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def similar_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row of ``embeddings``."""
-    rows = usable_rows(embeddings)
+    # Zeros of either sign are equal.
+    plain = F.transform(F.col("embedding"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    hashes = {"id": F.xxhash64("embedding"), "mark": F.hash("embedding")}
+    rows = usable_rows(embeddings).select("vec_id", plain.alias("embedding"))
     grouped = rows.groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
-    points, _ = write_out(grouped.withColumn("id", F.monotonically_increasing_id()), "points")
+    points, _ = write_out(grouped.withColumns(hashes), "points")
     packed = points.select("id", "weight", F.col("embedding").alias("vector"))
-    places = layout(packed, F.lit(True))
+    places = layout(packed, F.lit(True), FILL)
     shards = blocks(dealt(packed, places, "shard"))
-    graphs, _ = write_out(shards.groupBy("at").applyInPandas(build_shard, GRAPH), "graphs")
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        return build_shard(frame, least)
+
+    graphs, _ = write_out(shards.groupBy("at").applyInPandas(build, GRAPH), "graphs")
     queries = blocks(dealt(packed, places, "part"))
 
     def run(shard: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         return find_links(shard, part, least)
 
-    found, _ = write_out(meet(graphs, queries, places, run, "id long, n long, star long"), "found")
+    found, _ = write_out(meet(graphs, queries, places, run, FOUND), "found")
     joined = components(found.select(F.col("id").alias("a"), F.col("star").alias("b")))
-    links = found.groupBy("id").agg(F.sum("n").alias("n"))
     rooted = (
         points.drop("embedding")
-        .join(links, "id", "left")
+        .join(link_counts(found, places), "id", "left")
         .join(joined.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("root", F.coalesce("component", "id"))
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     n_links = F.coalesce("n", F.lit(0)) + F.col("weight") - 1
-    by_point = rooted.join(named, "root").select("id", n_links.alias("n_links"), "component_id")
-    by_vector = points.select("id", "embedding").join(by_point, "id").drop("id")
+    by_point = rooted.join(named, "root").select("id", "mark", n_links.alias("n_links"), "component_id")
     mine = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     # Rows that take no part have no partner here: they stand alone.
     taking = F.col("vec_id").isNotNull()
     component = F.when(taking, F.coalesce("component_id", "vec_id"))
-    return mine.join(by_vector, "embedding", "left").select(
+    keys = mine.select("vec_id", F.when(usable(F.col("embedding")), plain).alias("embedding")).select(
+        "vec_id", *[F.when(F.col("embedding").isNotNull(), key).alias(name) for name, key in hashes.items()]
+    )
+    return keys.join(by_point, ["id", "mark"], "left").select(
         "vec_id",
         F.when(taking, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),

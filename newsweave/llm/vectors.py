@@ -32,15 +32,17 @@ def usable_rows(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def shards_of(rows: int) -> int:
-    return max(SHARDS, -(-rows // SHARD_ROWS))
+def shards_of(rows: int, fill: int = 1) -> int:
+    """Shards for so many vectors; fewer than ``SHARDS`` if each would hold less than ``fill``."""
+    few = SHARDS if fill == 1 else min(SHARDS, max(1, rows // fill))
+    return max(few, -(-rows // SHARD_ROWS))
 
 
 def parts_of(rows: int) -> int:
     return max(1, -(-rows // PART_ROWS))
 
 
-def layout(rows: DataFrame, asked: Column) -> DataFrame:
+def layout(rows: DataFrame, asked: Column, fill: int = 1) -> DataFrame:
     """Per length of ``vector``: its first shard and part, and how many of each it has.
 
     Vectors are compared within their own length, so each length has shards and parts of its
@@ -49,8 +51,8 @@ def layout(rows: DataFrame, asked: Column) -> DataFrame:
     counted = rows.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("all"), F.count_if(asked).alias("asked"))
     placed, shard, part = [], 0, 0
     for length, every, some in sorted(map(tuple, counted.collect())):
-        placed.append((length, shard, shards_of(every), part, parts_of(some)))
-        shard, part = shard + shards_of(every), part + parts_of(some)
+        placed.append((length, shard, shards_of(every, fill), part, parts_of(some)))
+        shard, part = shard + shards_of(every, fill), part + parts_of(some)
     names = "length int, shard int, shards int, part int, parts int"
     return rows.sparkSession.createDataFrame(placed, names)
 
