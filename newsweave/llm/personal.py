@@ -9,6 +9,7 @@ Null and empty texts hold nothing. Spans are code points, the end exclusive.
 """
 
 import re
+import string
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -43,7 +44,9 @@ IBAN_SIZES = {
     for country in countries.split()
 }
 CUES = ("account", "iban", "konto", "compte", "cuenta", "passport")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+# A scheme is a letter and more of these.
+LETTERS = frozenset(string.ascii_letters)
+SCHEME = LETTERS | frozenset(string.digits + "+.-")
 
 
 def _anchors() -> ahocorasick.Automaton:
@@ -120,8 +123,12 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int,
         elif anchor == "://":
             start = last - 2
             if start >= after["login"] and (m := LOGIN.match(text, start)):
-                scheme = SCHEME.search(text[max(0, start - 20) : start])
-                keep("login", start - len(scheme[0]) if scheme else start, m.end(), bool(scheme))
+                first = start
+                while first and text[first - 1] in SCHEME:
+                    first -= 1
+                while first < start and text[first] not in LETTERS:
+                    first += 1
+                keep("login", first, m.end(), first < start)
         elif last + 1 >= after["account"] and (m := ACCOUNT.match(text, last + 1)):
             end = m.end(1) if m[1].isdigit() else account_end(text, m.start(1), m.end(1))
             if end:

@@ -44,6 +44,9 @@ def test_added():
         return [(kind, text[start:end]) for start, _, end, kind in personal.find(text, ANCHORS)]
 
     assert shown("see ftp://me:pw@host now") == [("login", "ftp://me:pw@")]
+    assert shown("see verylongschemenameabcdefghij://user:pass@host") == [("login", "verylongschemenameabcdefghij://user:pass@")]
+    assert shown("1.-a+b://u:p@h") == [("login", "a+b://u:p@")]
+    assert shown("12://u:p@h ://u:p@h") == []
     assert shown("IBAN: GB82 WEST 1234 5698 7654 32.") == [("account", "GB82 WEST 1234 5698 7654 32")]
     assert shown("IBAN: GB82 WEST 1234 5698 7654 33.") == []
     assert shown("account no. 123456789") == [("account", "123456789")]
@@ -64,7 +67,7 @@ def test_account_before_capitals_and_digits():
 
 
 def test_long_texts_are_linear():
-    for text in ("1" * 300_000, "a@" * 100_000, "+1(" * 100_000, "1.2.3." * 50_000, "://a:" * 60_000):
+    for text in ("1" * 300_000, "a@" * 100_000, "+1(" * 100_000, "1.2.3." * 50_000, "://a:" * 60_000, "a" * 300_000 + "://u:p@h", "a://u:p@" * 40_000):
         personal.find(text, ANCHORS)
 
 
