@@ -1,0 +1,45 @@
+"""What grows with the tables stays within a task: landing files, carried text, Python's objects."""
+
+import tracemalloc
+from datetime import datetime, timedelta
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from checks import queries, views
+from newsweave.functions import anchors
+from newsweave.llm import context_tree
+from newsweave.session import names_in
+from newsweave.sources import backups, sinks
+
+DAY = datetime(2024, 1, 1)
+
+
+@pytest.fixture
+def sf_dir(spark, tmp_path):
+    """Small tables whose keys repeat or are null."""
+    ids = [*range(40), 3, 3, None]
+    documents = [(i, f"text {n} " * 20, "en", f"src{n % 3}") for n, i in enumerate(ids)]
+    events = [(i, DAY + timedelta(days=i % 30)) for i in [*range(20), 4, 22]] + [(None, DAY)]
+    pages = [(i, f"https://e.com/{n}") for n, i in enumerate([*range(10), 2, None])]
+    for name, rows, schema in (
+        ("documents", documents, "doc_id long, text string, lang string, source string"),
+        ("events", events, "event_id long, ts timestamp_ntz"),
+        ("pages", pages, "page_id long, url string"),
+    ):
+        spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_articles_are_those_of_their_sql(spark, sf_dir):
+    given = {name: views.table(spark, sf_dir, name) for name in ("documents", "events", "pages")}
+    sql = views.ARTICLES.replace("{array_open}", "array(").replace("{array_close}", ")")
+    wanted, found = spark.sql(sql, **given), views.articles(spark, sf_dir)
+    assert found.schema == wanted.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) != []
+
+
+def test_a_title_travels_without_its_text(spark, sf_dir):
+    plan = views.articles(spark, sf_dir).select("ord", "title", "url")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan.split("Join")[0]
