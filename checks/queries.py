@@ -21,7 +21,7 @@ from newsweave.operators import images, ranking, retention, statistics, upsert
 from newsweave.plans import daily_run as daily
 from newsweave.plans import digest as digests
 from newsweave.plans import reports
-from newsweave.session import scratch_path, write_out
+from newsweave.session import names_in, scratch_path, write_out
 from newsweave.sources import api, dims, feeds, listing, sinks
 from newsweave.sources.backups import SnapshotBackups
 from newsweave.sources.page_images import PageImages
@@ -705,9 +705,10 @@ def stream_late_rows(spark, sf_dir):
     folder = scratch_path(spark, "landed")
     a = views.articles(spark, sf_dir)
     for part in (a.where(retention.scraped_since(SPLIT)), a.where(retention.scraped_before(SPLIT))):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    counts = DailyCounts(spark, scratch_path(spark, "counts"), timedelta(days=20))
-    counts.update(streaming.landed(spark, folder, a.schema, files_per_trigger=1), scratch_path(spark, "progress"))
+        # A half lands in as many files as it has, and is one micro-batch.
+        part.write.mode("append").parquet(folder)
+        files = len(names_in(spark, folder))
+        counts.update(streaming.landed(spark, folder, a.schema, files_per_trigger=files), progress)
     late = counts.late(a).groupBy(F.to_date("scraped_at").alias("day"), "source").agg(F.count("*").alias("late"))
     both = counts.counts().withColumn("late", F.lit(0)).unionByName(late.withColumn("articles", F.lit(0)))
     summed = both.groupBy("day", "source").agg(F.sum("articles").alias("articles"), F.sum("late").alias("late"))

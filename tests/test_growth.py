@@ -43,3 +43,22 @@ def test_articles_are_those_of_their_sql(spark, sf_dir):
 def test_a_title_travels_without_its_text(spark, sf_dir):
     plan = views.articles(spark, sf_dir).select("ord", "title", "url")._jdf.queryExecution().optimizedPlan().toString()
     assert "text#" not in plan.split("Join")[0]
+
+
+def test_a_half_lands_in_several_files(spark, sf_dir, monkeypatch):
+    paths, plain = [], queries.scratch_path
+
+    def kept(*given):
+        paths.append(plain(*given))
+        return paths[-1]
+
+    monkeypatch.setattr(queries, "scratch_path", kept)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = queries.stream_late_rows(spark, sf_dir).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = [name for name in names_in(spark, paths[0]) if name.endswith(".parquet")]
+    assert len(files) > 2
+    assert len(names_in(spark, f"{paths[2]}/seen")) == 2  # a half is one micro-batch
+    assert sum(row.articles + row.late for row in found) == views.articles(spark, sf_dir).count()
