@@ -32,6 +32,8 @@ from newsweave.streaming.firsts import DailyCounts, firsts_available
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CUTOFF = AS_OF - timedelta(days=RETENTION_DAYS)
+# Bytes of text in a file that lands.
+LANDED_BYTES = 64 << 20
 ARRIVAL = ["source_rank", "payload_id", "position"]
 DETAIL = ["title", "url", "published", "summary", "source", "tags_text", "image"]
 
@@ -657,12 +659,19 @@ def daily_arrivals(spark, sf_dir):
 # Streaming
 
 
+def _landing_files(spark, sf_dir, least: int = 4) -> int:
+    """Files that the articles land in: more of them with more text, none larger for it."""
+    text = views.table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return least * max(1, -(-text // (least * LANDED_BYTES)))
+
+
 def _landed_articles(spark, sf_dir, files: int = 4) -> DataFrame:
-    """The articles as files in a landing folder, read as a stream."""
+    """The articles as files in a landing folder, read as a stream of two micro-batches."""
     folder = scratch_path(spark, "landed")
     landing = views.articles(spark, sf_dir)
+    files = _landing_files(spark, sf_dir, files)
     landing.repartition(files, "ord").write.parquet(folder)
-    return streaming.landed(spark, folder, landing.schema, files_per_trigger=2)
+    return streaming.landed(spark, folder, landing.schema, files_per_trigger=files // 2)
 
 
 @query

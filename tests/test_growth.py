@@ -45,6 +45,13 @@ def test_a_title_travels_without_its_text(spark, sf_dir):
     assert "text#" not in plan.split("Join")[0]
 
 
+def test_landing_files_grow_with_the_text(spark, sf_dir, monkeypatch):
+    assert queries._landing_files(spark, sf_dir) == 4
+    monkeypatch.setattr(queries, "LANDED_BYTES", 500)
+    size = sum(len(row.text) for row in views.table(spark, sf_dir, "documents").collect())
+    assert queries._landing_files(spark, sf_dir) * 500 >= size
+
+
 def test_a_half_lands_in_several_files(spark, sf_dir, monkeypatch):
     paths, plain = [], queries.scratch_path
 
