@@ -689,7 +689,9 @@ def stream_ingest(spark, sf_dir):
 @query
 def stream_dedup(spark, sf_dir):
     out = scratch_path(spark, "unique")
-    unique = streaming.stream_unique(_landed_articles(spark, sf_dir), "60 days", ["ord"])
+    # The state's shuffles carry no more than is asked of them.
+    landed = _landed_articles(spark, sf_dir).select("ord", "url", "title", "source", "scraped_at")
+    unique = streaming.stream_unique(landed, "60 days", ["ord"])
     kept = unique.select("ord", "url", "title", "source")
     streaming.write_available(kept, out, scratch_path(spark, "progress"))
     # Any copy may pass, but it passes whole.

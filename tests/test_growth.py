@@ -69,3 +69,11 @@ def test_a_half_lands_in_several_files(spark, sf_dir, monkeypatch):
     assert len(files) > 2
     assert len(names_in(spark, f"{paths[2]}/seen")) == 2  # a half is one micro-batch
     assert sum(row.articles + row.late for row in found) == views.articles(spark, sf_dir).count()
+
+
+def test_streamed_copies_are_shuffled_without_their_text(spark, sf_dir, monkeypatch):
+    given = []
+    plain = queries.streaming.stream_unique
+    monkeypatch.setattr(queries.streaming, "stream_unique", lambda a, *rest: given.append(a.columns) or plain(a, *rest))
+    assert all(row.whole for row in queries.stream_dedup(spark, sf_dir).collect())
+    assert given and "summary" not in given[0]
