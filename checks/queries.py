@@ -555,7 +555,8 @@ def snapshot_backup(spark, sf_dir):
 @query
 def backup_incremental(spark, sf_dir):
     """Three backups: the second finds nothing to copy, the third one changed snapshot; and what each restores."""
-    a = views.articles(spark, sf_dir)
+    # Read three times, so joined once.
+    a, _ = write_out(views.articles(spark, sf_dir), "articles")
     root, kept = scratch_path(spark, "snapshots"), SnapshotBackups(spark, scratch_path(spark, "backups"))
     old = a.where(retention.scraped_before(CUTOFF))
     sinks.save_json(a, root, AS_OF.date())

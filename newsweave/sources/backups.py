@@ -63,9 +63,12 @@ class SnapshotBackups:
         new = materialize(found.where("held_by is null").select(*CONTENT))
         if not new.isEmpty():
             days = broadcast_if_small(new.select("run_date"))
+            # Copies are kept compressed: plain lines take several times the space of the articles.
             lines.join(days, "run_date", "left_semi").select("value", "run_date", F.lit(name).alias("held_by")).write.mode(
                 "overwrite"
-            ).option("partitionOverwriteMode", "dynamic").partitionBy("held_by", "run_date").text(f"{self.folder}/copies")
+            ).option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy(
+                "held_by", "run_date"
+            ).text(f"{self.folder}/copies")
             copied = materialize(contents(self._copies().where(F.col("held_by") == name)))
         else:
             copied = new

@@ -77,3 +77,11 @@ def test_streamed_copies_are_shuffled_without_their_text(spark, sf_dir, monkeypa
     monkeypatch.setattr(queries.streaming, "stream_unique", lambda a, *rest: given.append(a.columns) or plain(a, *rest))
     assert all(row.whole for row in queries.stream_dedup(spark, sf_dir).collect())
     assert given and "summary" not in given[0]
+
+
+def test_copies_of_snapshots_are_compressed(spark, make_articles, tmp_path):
+    source, kept = str(tmp_path / "snapshots"), backups.SnapshotBackups(spark, str(tmp_path / "kept"))
+    sinks.save_json(make_articles([{"url": "ü"}]), source, DAY.date())
+    kept.take(source, DAY)
+    copies = list((tmp_path / "kept" / "copies").rglob("part-*"))
+    assert copies and all(path.name.endswith(".gz") for path in copies)
