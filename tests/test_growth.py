@@ -85,3 +85,21 @@ def test_copies_of_snapshots_are_compressed(spark, make_articles, tmp_path):
     kept.take(source, DAY)
     copies = list((tmp_path / "kept" / "copies").rglob("part-*"))
     assert copies and all(path.name.endswith(".gz") for path in copies)
+
+
+def test_links_of_a_batch_are_not_all_objects_at_once(spark):
+    page = "".join(f'<p><a href="/p/{n}">A story, the {n}th</a><img src="{n}.jpg"></p>' for n in range(40))
+
+    def peak(pages: int) -> int:
+        html = pa.array([page, None] * (pages // 2))
+        tracemalloc.start()
+        found = anchors._links.func(html)
+        near = anchors._images.func(html, pa.array([[1, 4], None] * (pages // 2), pa.list_(pa.int32())))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == len(near) == pages and len(near[0]) == 2
+        assert found[1].as_py() == {"text": None, "links": None} and near[1].as_py() == []
+        return most
+
+    peak(100)
+    assert peak(1600) < 3 * peak(200)
