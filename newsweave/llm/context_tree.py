@@ -42,6 +42,8 @@ ROWS = 500
 SUMMED = 1 << 19
 # Keys of a block's texts whose distinct ones are taken at once when they are found again.
 DISTINCT = 1 << 20
+# Nodes whose logarithms are Python objects at once.
+LOGS = 10_000
 # Stands for what precedes a text and for its end.
 EDGE = b"\0"
 # The end counts as a word; no word can be a blank.
@@ -216,14 +218,18 @@ def decisions(grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def deepest_nodes(group: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of a bucket's contexts, with how often each decision was 0 and 1."""
+    """The nodes of a bucket's contexts, with how often each decision was 0 and 1, and ``log_kt`` of it.
+
+    The task that counts them takes the logarithms too: a second Python worker beside it would hold as much.
+    """
     grams, counts = _totals(group)
     parts = []
     for node, bit in decisions(grams):
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         ones = np.add.reduceat(counts * bit, first)
         zeros = np.add.reduceat(counts, first) - ones
-        parts.append(pd.DataFrame({"bucket": group["bucket"].iloc[0], "node": node[first], "zeros": zeros, "ones": ones}))
+        nodes = {"bucket": group["bucket"].iloc[0], "node": node[first], "zeros": zeros, "ones": ones}
+        parts.append(pd.DataFrame(nodes | {"pw": _log_kt(zeros, ones)}))
     return pd.concat(parts)
 
 
@@ -242,12 +248,19 @@ def gram_answers(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "keys", "counts"])
 
 
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    log_gamma, out = np.frompyfunc(lgamma, 1, 1), np.empty(len(zeros))
+    for at in range(0, len(zeros), LOGS):
+        own = slice(at, at + LOGS)
+        terms = log_gamma(zeros[own] + 0.5) + log_gamma(ones[own] + 0.5) - log_gamma(zeros[own] + ones[own] + 1.0)
+        out[own] = terms.astype(float) - 2 * lgamma(0.5)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def log_kt(zeros: pd.Series, ones: pd.Series) -> pd.Series:
     """Natural logarithm of the Krichevsky-Trofimov probability of a node's decisions."""
-    log_gamma = np.frompyfunc(lgamma, 1, 1)
-    terms = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0)
-    return pd.Series(terms, dtype=float) - 2 * lgamma(0.5)
+    return pd.Series(_log_kt(zeros.to_numpy(), ones.to_numpy()))
 
 
 def weighted_tree(deepest: DataFrame, depth: int) -> DataFrame:
@@ -259,7 +272,7 @@ def weighted_tree(deepest: DataFrame, depth: int) -> DataFrame:
     two topmost levels have at most 255 and 65,280 nodes, which is why they may be broadcast.
     """
     one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    lowest, _ = write_out(deepest.withColumn("pw", log_kt("zeros", "ones")), "tree")
+    lowest, _ = write_out(deepest, "tree")
     levels = [lowest]
     for level in range(depth - 1, -1, -1):
         own = F.col("kt") - F.col("below")
@@ -378,7 +391,7 @@ def score_documents(documents: DataFrame, held_out: Column, depth: int = DEPTH)
         words.groupBy("bucket").applyInPandas(word_answers, f"{PART}, total long, known long"), "words"
     )
     total, distinct = counted.agg(F.sum("total"), F.sum("known")).first()
-    nodes = grams.groupBy("bucket").applyInPandas(deepest_nodes, "bucket int, node long, zeros long, ones long")
+    nodes = grams.groupBy("bucket").applyInPandas(deepest_nodes, "bucket int, node long, zeros long, ones long, pw double")
     tree = weighted_tree(nodes, depth)
     answers = grams.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInPandas(gram_answers, PART)
     returned = counted.where("block is not null").drop("total", "known").unionByName(answers)

@@ -103,3 +103,13 @@ def test_links_of_a_batch_are_not_all_objects_at_once(spark):
 
     peak(100)
     assert peak(1600) < 3 * peak(200)
+
+
+def test_deepest_nodes_come_with_their_logarithms():
+    import pandas as pd
+
+    keys, counts = np.array([97, 98, 1 << 20], np.int64), np.array([3, 0, 2], np.int64)
+    group = pd.DataFrame({"bucket": [0], "keys": [context_tree.squeeze_keys(keys)], "counts": [context_tree.squeeze(counts)]})
+    nodes = context_tree.deepest_nodes(group)
+    wanted = context_tree.log_kt.func(nodes["zeros"], nodes["ones"])
+    assert nodes["pw"].tolist() == wanted.tolist()
