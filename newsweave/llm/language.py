@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,14 +141,16 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     parts = (model.languages, model.code, model.weights)
     shared = documents.sparkSession.sparkContext.broadcast(parts)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    added = ("lang_pred", "score", "ambiguous")
+    kinds = pa.string(), pa.float64(), pa.bool_()
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
-        for texts in batches:
-            found = [own.predict(text) for text in texts]
-            yield pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous"])
+        for texts in batches:  # one text at a time is a Python object
+            columns = zip(*(own.predict(text.as_py()) for text in texts), strict=True)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], added)
 
-    added = ("lang_pred", "score", "ambiguous")
     others = [name for name in documents.columns if name not in added]
     return (
         documents.select(*others)
