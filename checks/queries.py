@@ -714,8 +714,9 @@ def stream_first_arrivals(spark, sf_dir):
 @query
 def stream_late_rows(spark, sf_dir):
     """Daily counts of a stream whose older half lands last, with the rows that came too late to count."""
-    folder = scratch_path(spark, "landed")
+    folder, progress = scratch_path(spark, "landed"), scratch_path(spark, "progress")
     a = views.articles(spark, sf_dir)
+    counts = DailyCounts(spark, scratch_path(spark, "counts"), timedelta(days=20))
     for part in (a.where(retention.scraped_since(SPLIT)), a.where(retention.scraped_before(SPLIT))):
         # A half lands in as many files as it has, and is one micro-batch.
         part.write.mode("append").parquet(folder)
