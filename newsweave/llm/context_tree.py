@@ -23,13 +23,13 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsweave.llm.language import fold
-from newsweave.llm.words import Hashes
 from newsweave.session import write_out
 
 DEPTH = 5
@@ -38,34 +38,109 @@ BLOCK = 12 << 20
 BUCKET = 6 << 20
 # Rows read from a batch at once.
 ROWS = 500
-# Keys that wait at most before a block sums them.
+# Bytes of texts whose words and byte strings are sorted at once, unless one text alone is longer.
+TOGETHER = 1 << 20
+# Distinct keys that wait at most before a block sums them, unless it has summed more already.
 SUMMED = 1 << 19
-# Keys of a block's texts whose distinct ones are taken at once when they are found again.
-DISTINCT = 1 << 20
+# Words of more bytes are hashed one by one.
+LONG = 64
 # Nodes whose logarithms are Python objects at once.
 LOGS = 10_000
 # Stands for what precedes a text and for its end.
 EDGE = b"\0"
-# The end counts as a word; no word can be a blank.
-END_WORD = b"\n"
 WORDS, GRAMS, DOCS, WORD_VALUES, GRAM_VALUES = range(5)
 PART = "block string, kind int, bucket int, keys binary, counts binary"
 PACK = "block string, kind int, bucket int, keys binary, counts binary, sizes binary, ids binary, flags binary"
 
 
-def word_keys(data: bytes, hashes: Hashes) -> np.ndarray:
-    words = data.split()
-    return np.fromiter(map(hashes.__getitem__, [*words, END_WORD]), np.int64, len(words) + 1)
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+# The first bytes of eight that belong to a word, by how many are left of it.
+FIRST_BYTES = np.array([(1 << 8 * left) - 1 for left in range(9)], np.uint64)
 
 
-def gram_keys(data: bytes, depth: int) -> np.ndarray:
-    """Every byte of a text and its end, each with the ``depth`` bytes before it."""
-    padded = np.frombuffer(EDGE * depth + data + EDGE, dtype=np.uint8)
-    size, keys = len(data) + 1, np.zeros(len(data) + 1, dtype=np.int64)
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit values, worked on in place; different values stay different."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        values ^= values >> np.uint64(shift)
+        values *= np.uint64(factor)
+    values ^= values >> np.uint64(31)
+    return values
+
+
+# The end counts as a word; no word is empty.
+END_KEY = int(mixed(np.zeros(1, np.uint64) + np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts, with an end for each text, and the text each is of.
+
+    All words take their next eight bytes at once.
+    """
+    data = b" ".join([b"", *texts, bytes(8)])
+    joined = np.frombuffer(data, np.uint8)[:-8]
+    blank = BLANK[joined]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    keys = mixed(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero(sizes <= LONG)
+    for at in range(0, LONG, 8):
+        more = more[sizes[more] > at]
+        if not len(more):
+            break
+        part = eight[starts[more] + at]
+        part &= FIRST_BYTES[np.minimum(sizes[more] - at, 8)]
+        keys[more] = mixed(keys[more] ^ part)
+    for word in np.flatnonzero(sizes > LONG).tolist():
+        keys[word] = xxhash.xxh3_64_intdigest(data[starts[word] : ends[word]])
+    begins = np.cumsum([1, *(len(text) + 1 for text in texts)])[:-1]
+    text = np.searchsorted(begins, starts, side="right") - 1
+    every = np.arange(len(texts))
+    return np.r_[keys.view(np.int64), np.full(len(texts), END_KEY, np.int64)], np.r_[text, every]
+
+
+def gram_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte of some texts and their ends, each with the ``depth`` bytes before it, and the text each is of."""
+    padded = np.frombuffer(EDGE * depth + (EDGE * depth).join(texts) + EDGE, dtype=np.uint8)
+    size = len(padded) - depth
+    keys = np.zeros(size, dtype=np.int64)
     for back in range(depth + 1):
         keys <<= 8
         keys |= padded[back : back + size]
-    return keys
+    sizes = np.array([len(text) for text in texts])
+    # Between two texts stand depth edges, of which the first is an end.
+    between = (np.cumsum(sizes[:-1] + depth) - depth + 1)[:, None] + np.arange(depth - 1)
+    if between.size:
+        kept = np.ones(size, bool)
+        kept[between] = False
+        keys = keys[kept]
+    return keys, np.repeat(np.arange(len(texts)), sizes + 1)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each is there; sorts ``keys`` in place."""
+    keys.sort()
+    return lengths(keys)
+
+
+def lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of keys in order, and how often each is there."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def together(texts: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``TOGETHER`` bytes and ends, at most ``most`` of them."""
+    waiting, held = [], 0
+    for text in texts:
+        waiting.append(text)
+        held += len(text) + 1
+        if held >= TOGETHER or len(waiting) == most:
+            yield waiting
+            waiting, held = [], 0
+    if waiting:
+        yield waiting
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -93,18 +168,19 @@ class Tally:
     """Keys with their training counts; kept short by summing what has piled up."""
 
     def __init__(self) -> None:
-        self.keys, self.counts, self.waiting = [], [], 0
+        self.keys, self.counts, self.waiting, self.summed = [], [], 0, 0
 
     def add(self, keys: np.ndarray, learned: bool) -> None:
+        keys, counts = distinct(keys)
         self.keys.append(keys)
-        self.counts.append(np.full(len(keys), learned, np.int64))
+        self.counts.append(counts if learned else np.zeros(len(keys), np.int64))
         self.waiting += len(keys)
-        if self.waiting >= SUMMED:
+        if self.waiting >= max(SUMMED, self.summed):
             self.sums()
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.keys, self.counts, self.waiting = [keys], [counts], 0
+        self.keys, self.counts, self.waiting, self.summed = [keys], [counts], 0, len(keys)
         return keys, counts
 
 
@@ -122,19 +198,21 @@ class Block:
     def __init__(self, depth: int) -> None:
         self.depth, self.bytes = depth, 0
         self.data, self.ids, self.flags = [], [], []
-        self.words, self.grams = Tally(), Tally()
 
-    def add(self, number: int, flags: int, data: bytes, hashes: Hashes) -> None:
-        learned = not flags & 1
+    def add(self, number: int, flags: int, data: bytes) -> None:
         self.data.append(data)
         self.ids.append(number)
         self.flags.append(flags)
-        self.words.add(word_keys(data, hashes), learned)
-        self.grams.add(gram_keys(data, self.depth), learned)
         self.bytes += len(data)
 
     def rows(self, name: str, buckets: int) -> Iterator[tuple]:
-        for kind, tally in ((WORDS, self.words), (GRAMS, self.grams)):
+        words, grams = Tally(), Tally()
+        for learned in (True, False):
+            own = (d for d, flags in zip(self.data, self.flags, strict=True) if learned != flags & 1)
+            for texts in together(own, TOGETHER):
+                words.add(word_keys(texts)[0], learned)
+                grams.add(gram_keys(texts, self.depth)[0], learned)
+        for kind, tally in ((WORDS, words), (GRAMS, grams)):
             keys, counts = tally.sums()
             dealt, order = asked_order(keys, kind, buckets)
             edges = np.searchsorted(dealt[order], np.arange(buckets + 1))
@@ -160,7 +238,8 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def asked_order(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a block's distinct keys, which rise, and the order in which the block asks for them."""
     dealt = bucket_of(keys >> 8 if kind == GRAMS else keys, buckets)
-    return dealt, np.argsort(dealt, kind="stable")
+    # Numbers of 16 bits are sorted by their digits.
+    return dealt, np.argsort(dealt.astype(np.uint16) if buckets <= 1 << 16 else dealt, kind="stable")
 
 
 def pack(documents: DataFrame, held_out: Column, depth: int, buckets: int) -> DataFrame:
@@ -174,12 +253,12 @@ def pack(documents: DataFrame, held_out: Column, depth: int, buckets: int) -> Da
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block, task, made = Hashes(), Block(depth), TaskContext.get().partitionId(), 0
+        block, task, made = Block(depth), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS).to_pylist()
                 for row in rows:
-                    block.add(row["id"], row["flags"], (row["text"] or "").encode().lower(), hashes)
+                    block.add(row["id"], row["flags"], (row["text"] or "").encode().lower())
                     if block.bytes >= BLOCK:
                         yield packed(block, f"{task}-{made}")
                         block, made = Block(depth), made + 1
@@ -309,7 +388,7 @@ def _suffix(node: Column, level: int) -> Column:
     return node.bitwiseAND((1 << 8 * (level + 1)) - 1)
 
 
-def block_scores(group: pd.DataFrame, depth: int, buckets: int, total: int, distinct: int) -> pd.DataFrame:
+def block_scores(group: pd.DataFrame, depth: int, buckets: int, total: int, distinct_words: int) -> pd.DataFrame:
     """The documents of a block with their scores.
 
     Answers come without the keys: the block finds these again in its text, in the order asked.
@@ -319,22 +398,16 @@ def block_scores(group: pd.DataFrame, depth: int, buckets: int, total: int, dist
     sizes = np.frombuffer(docs["sizes"], np.int64)
     text = pa.decompress(docs["keys"], decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True)
     ids, flags = np.frombuffer(docs["ids"], np.int64), np.frombuffer(docs["flags"], np.uint8)
-    hashes, ends = Hashes(), np.cumsum(sizes)
-    spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+    ends = np.cumsum(sizes)
+    # A string of bytes and the number of its text are one value of 64 bits.
+    bits = np.uint64(64 - 8 * (depth + 1))
+
+    def runs() -> Iterator[list[bytes]]:
+        return together((text[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)), 1 << int(bits))
 
     def table(kind: int, values: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-        met, waiting, held = [], [], 0
-        for start, end in spans:
-            data = text[start:end]
-            waiting.append(word_keys(data, hashes) if kind == WORDS else gram_keys(data, depth))
-            held += len(waiting[-1])
-            if held >= DISTINCT:
-                met.append(np.unique(np.concatenate(waiting)))
-                waiting, held = [], 0
-        keys = np.concatenate([*met, *waiting])
-        del met, waiting
-        keys.sort()
-        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+        found = (word_keys(texts) if kind == WORDS else gram_keys(texts, depth) for texts in runs())
+        keys = distinct(np.concatenate([distinct(own)[0] for own, _ in found]))[0]
         answers = np.empty(len(keys), dtype)
         order, at = asked_order(keys, kind, buckets)[1], 0
         for packed in parts[values]["counts"]:
@@ -345,28 +418,36 @@ def block_scores(group: pd.DataFrame, depth: int, buckets: int, total: int, dist
 
     words, counts = table(WORDS, WORD_VALUES, np.int64)
     grams, logs = table(GRAMS, GRAM_VALUES, np.float64)
-    unigram = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-    out = []
-    for number, flag, (start, end) in zip(ids.tolist(), flags.tolist(), spans, strict=True):
-        data = text[start:end]
-        own = np.searchsorted(words, word_keys(data, hashes))
-        score = float(logs[np.searchsorted(grams, gram_keys(data, depth))].sum())
-        out.append(
-            (
-                None if flag & 2 else number,
-                bool(flag & 1),
-                len(own),
-                int((counts[own] > 0).sum()),
-                total,
-                float(unigram[own].sum()),
-                score,
-                -score / np.log10(2) / (end - start + 1),
-            )
-        )
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-    frame = pd.DataFrame(out, columns=names)
-    frame["doc_id"] = frame["doc_id"].astype("Int64")
-    return frame
+    unigram = np.log10((counts + 0.5) / (total + 0.5 * (distinct_words + 1)))
+    scored = []
+    for texts in runs():
+        keys, at = word_keys(texts)
+        own = np.searchsorted(words, keys)
+        scored.append([np.bincount(at, each, len(texts)) for each in (np.ones(len(at)), counts[own] > 0, unigram[own])])
+        keys, at = gram_keys(texts, depth)
+        keys = keys.view(np.uint64)
+        keys <<= bits
+        keys |= at.view(np.uint64)
+        # In order, each byte string is looked up once for all the places where it stands.
+        keys.sort()
+        at = (keys & np.uint64((1 << int(bits)) - 1)).view(np.int64)
+        keys >>= bits
+        own, times = lengths(keys)
+        own = logs[np.searchsorted(grams, own.view(np.int64))]
+        scored[-1].append(np.bincount(at, np.repeat(own, times), len(texts)))
+    tokens, known, base, score = (np.concatenate(each) for each in zip(*scored, strict=True))
+    return pd.DataFrame(
+        {
+            "doc_id": pd.arrays.IntegerArray(ids.copy(), flags & 2 > 0),
+            "held_out": flags & 1 > 0,
+            "n_tokens": tokens.astype(np.int64),
+            "n_known": known.astype(np.int64),
+            "train_tokens": total,
+            "base_score": base,
+            "score": score,
+            "bits_per_byte": -score / np.log10(2) / (sizes + 1),
+        }
+    )
 
 
 SCORES = (

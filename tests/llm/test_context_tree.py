@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,73 @@ def test_nothing_to_learn_from(spark):
 def test_default_depth():
     """The model is not made smaller to fit a limit."""
     assert tree.DEPTH >= 5
+
+
+def block_group(texts, depth, buckets):
+    """A block of texts with answers: the count of a word, and of a byte string minus a tenth of its last byte."""
+    block = tree.Block(depth)
+    for at, text in enumerate(texts):
+        block.add(at, 0, text)
+    names = tree.PACK.replace(",", "").split()[::2]
+    rows = [dict(zip(names, row, strict=True)) for row in block.rows("b", buckets)]
+    for row in rows:
+        if row["kind"] == tree.GRAMS:
+            row["counts"] = tree.squeeze(-(tree.spread_keys(row["keys"]) & 255) / 10)
+        if row["kind"] != tree.DOCS:
+            row["kind"] += tree.WORD_VALUES - tree.WORDS
+            row["keys"] = None
+    return pd.DataFrame(rows)
+
+
+def test_a_byte_string_is_looked_up_once_for_all_its_places(monkeypatch):
+    texts = [b"abcdefghijklmnopqrstuvwxyz " * 2000, b"", b"a-long-word-that-repeats " * 3000]
+    group, looked, search = block_group(texts, 5, 3), [], np.searchsorted
+
+    def counted(into, needles, **more):
+        looked.append(np.size(needles) if np.asarray(needles).dtype == np.int64 else 0)
+        return search(into, needles, **more)
+
+    monkeypatch.setattr(tree.np, "searchsorted", counted)
+    got = tree.block_scores(group, 5, 3, 10, 5)
+    monkeypatch.undo()
+    # Words may be looked up for each place; there are far fewer of them.
+    assert sum(looked) < sum(map(len, texts)) / 2
+    assert got["score"].tolist() == pytest.approx([-sum(text) / 10 for text in texts])
+    assert got["n_tokens"].tolist() == [2001, 1, 3001]
+
+
+def test_words_are_hashed_as_split_finds_them(monkeypatch):
+    """Words of all sizes, beside every blank; those of the same bytes share a key, others do not."""
+    texts = [b"", b" \t\n\x0b\x0c\r ", b"a" * 64 + b"\x0b" + b"a" * 65 + b" " + b"a" * 66, b"\x1c \x1c\x85 \xc2\xa0", b"x", b"x\x00 x"]
+    texts += [b" ".join(b"abcdefghij"[:n] * m for n in range(1, 11) for m in (1, 2, 3)), b"ab abc" * 40, b"\n"]
+    for own in (texts, texts[::-1], [b"one"], [b""]):
+        keys, at = tree.word_keys(own)
+        wanted = [(number, word) for number, text in enumerate(own) for word in [*text.split(), None]]
+        assert Counter(at.tolist()) == Counter(number for number, _ in wanted)
+        by_text = [Counter(keys[at == number].tolist()) for number in range(len(own))]
+        named = {}
+        for number, text in enumerate(own):
+            alone, _ = tree.word_keys([text])
+            assert by_text[number] == Counter(alone.tolist())
+            for key, word in zip(alone.tolist(), [*text.split(), None], strict=True):
+                assert named.setdefault(word, key) == key
+        assert len(set(named.values())) == len(named)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 6])
+def test_byte_strings_of_texts_together_are_those_of_each(depth):
+    texts = [b"", b"ab", b"", b"abcdefghij", b"\x00\x00"]
+    keys, at = tree.gram_keys(texts, depth)
+    for number, text in enumerate(texts):
+        padded = bytes(depth) + text + b"\0"
+        wanted = [int.from_bytes(padded[i : i + depth + 1], "big") for i in range(len(text) + 1)]
+        assert keys[at == number].tolist() == wanted
+
+
+def test_texts_beyond_the_number_that_fits_beside_a_byte_string(spark):
+    """With six bytes of context 256 texts at most are scored together."""
+    rows = [(i, f"text {i % 7}" if i % 3 else None) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = tree.score_documents(frame, F.lit(False), 6).collect()
+    assert sorted(r.doc_id for r in got) == list(range(700))
+    assert len({(len(rows[r.doc_id][1] or ""), rows[r.doc_id][1], round(r.score, 9)) for r in got}) == 8
