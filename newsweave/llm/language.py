@@ -151,10 +151,13 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             columns = zip(*(own.predict(text.as_py()) for text in texts), strict=True)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], added)
 
+    # A condition on a prediction would predict again below it, in another Python worker beside the first; Spark
+    # moves no condition through what it takes for non-deterministic.
+    once = predict.asNondeterministic()
     others = [name for name in documents.columns if name not in added]
     return (
         documents.select(*others)
-        .withColumn("_p", predict("text"))
+        .withColumn("_p", once("text"))
         .select(*others, *[F.col(f"_p.{name}").alias(name) for name in added])
     )
 

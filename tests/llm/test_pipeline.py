@@ -81,3 +81,10 @@ def test_one_of_each_keeps_one_row_of_each(spark):
     expected = [(1, one), (3, two), (None, three), (7, ""), (8, ""), (None, ""), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(expected, key=repr)
     assert shingle_join.one_of_each(frame.limit(0)).collect() == []
+
+
+def test_language_is_predicted_once(spark, tables):
+    """A condition on the prediction does not predict again, in a second Python worker of each task."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select(*COLUMNS)
+    plan = corpus_pipeline.identify_language(spark, docs, tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
